@@ -1,0 +1,4 @@
+"""Operators for training-data pipelines over documents, pages and labels.
+
+Nothing outside this subpackage imports it.
+"""
