@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ligamap.llm.mixing import mixed_sizes
 from ligamap.llm.packing import pack_documents
 from ligamap.llm.shared import table
+from ligamap.llm.simhash import near_duplicates
 from ligamap.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,12 +21,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op4_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op3_mixing, op4_token_counts, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
