@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ligamap.llm.extract import extract
 from ligamap.llm.mixing import mixed_sizes
 from ligamap.llm.packing import pack_documents
+from ligamap.llm.quality import quality
 from ligamap.llm.shared import table
 from ligamap.llm.simhash import near_duplicates
 from ligamap.llm.token_counts import token_counts
@@ -21,6 +23,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(table(spark, sf_dir, "documents"))
 
@@ -34,8 +40,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op3_mixing, op4_token_counts, op7_simhash)}
+    return {f.__name__: f for f in (op1_packing, op2_extraction, op3_mixing, op4_token_counts, op7_simhash, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
