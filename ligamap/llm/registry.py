@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ligamap.llm.extract import extract
 from ligamap.llm.mixing import mixed_sizes
+from ligamap.llm.order_minhash import edited_pairs
 from ligamap.llm.packing import pack_documents
 from ligamap.llm.quality import quality
 from ligamap.llm.shared import table
@@ -44,8 +45,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_extraction, op3_mixing, op4_token_counts, op7_simhash, op8_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_extraction, op3_mixing, op4_token_counts, op7_simhash, op8_quality, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
