@@ -2,3 +2,10 @@
 
 Nothing outside this subpackage imports it.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions for Python workers carry their code along, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

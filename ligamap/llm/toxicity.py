@@ -156,7 +156,8 @@ class Scorer:
             return self.blank, []
         found, cosines = self.index.nearest(*self.vectors.weights(counts), NEIGHBOURS)
         labels = self.index.labels[found]
-        votes = self.stands[labels] / (0.05 + 1 - np.minimum(cosines, 1))
+        # Far neighbours say little: the vote falls with the cosine's square beside the distance.
+        votes = self.stands[labels] * cosines**2 / (0.05 + 1 - np.minimum(cosines, 1))
         score = float((votes @ labels + 0.5 * self.blank) / (votes.sum() + 0.5))
         evidence = [{"doc_id": int(self.index.docs[i]), "cosine": float(c), "toxic": int(y)} for i, c, y in zip(found[:EVIDENCE], cosines, labels, strict=False)]
         return score, evidence
