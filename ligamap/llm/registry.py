@@ -15,6 +15,7 @@ from ligamap.llm.packing import pack_documents
 from ligamap.llm.quality import quality
 from ligamap.llm.shared import table
 from ligamap.llm.simhash import near_duplicates
+from ligamap.llm.substring import dedup_substrings
 from ligamap.llm.token_counts import token_counts
 from ligamap.llm.toxicity import toxicity
 
@@ -37,6 +38,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "removed")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "evidence")
 
@@ -55,7 +60,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_extraction, op3_mixing, op4_token_counts, op6_toxicity, op7_simhash, op8_quality, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_packing, op2_extraction, op3_mixing, op4_token_counts, op5_substrings, op6_toxicity, op7_simhash, op8_quality, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
