@@ -17,6 +17,7 @@ from ligamap.llm.shared import table
 from ligamap.llm.simhash import near_duplicates
 from ligamap.llm.substring import dedup_substrings
 from ligamap.llm.token_counts import token_counts
+from ligamap.llm.token_output import packed_rows
 from ligamap.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,12 +56,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_extraction, op3_mixing, op4_token_counts, op5_substrings, op6_toxicity, op7_simhash, op8_quality, op10_fingerprints)}
+    every = (op1_packing, op2_extraction, op3_mixing, op4_token_counts, op5_substrings, op6_toxicity, op7_simhash, op8_quality, op9_token_output, op10_fingerprints)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
