@@ -98,7 +98,7 @@ def intersection(a: Assembly, order: int, row: tuple[int, int, int, int], col: t
 
 def dense(spark: SparkSession, sparse: DataFrame, rows: int, cols: int) -> DataFrame:
     """Every cell (i, j, v) of a rows x cols window, zeros included; the window is a tile, its size is the caller's."""
-    grid = spark.range(rows).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).cast("bigint").alias("j"))
+    grid = spark.range(rows).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cols - 1).cast("bigint"))).alias("j"))
     return grid.join(sparse, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0)).alias("v"))
 
 
