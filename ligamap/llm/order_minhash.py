@@ -20,7 +20,7 @@ NO_ID = -(1 << 63)
 
 
 def sketch(text: str) -> Column:
-    """The bins' hashes as ARRAY<BIGINT>; the low bits of each are the number of its bin, empty bins are left out.
+    """The bins' hashes as ARRAY<INT>; the low bits of each are the number of its bin, empty bins are left out.
 
     A text of under K words is one k-mer, one without words gives an empty array.
     """
@@ -45,14 +45,14 @@ def sketch(text: str) -> Column:
     least = f"transform(array(sort_array({every})), e -> filter(e, (x, k) -> not coalesce(get(e, k - {TUPLE}).bin = x.bin, false)))[0]"
     # The least entries of a bin stand side by side: they are gathered at its first, in text order.
     ordered = f"array_sort(filter(slice(p, k + 1, {TUPLE}), y -> y.bin = x.bin), (a, b) -> a.i - b.i)"
-    hashed = f"transform(array(xxhash64(transform({ordered}, y -> y.h))), z -> z - (z & {SKETCHES - 1}) + x.bin)[0]"
-    heads = f"transform(array({least}), p -> filter(transform(p, (x, k) -> if(coalesce(get(p, k - 1).bin = x.bin, false), cast(null as bigint), {hashed})), y -> y is not null))[0]"
+    hashed = f"transform(array(cast(shiftright(xxhash64(transform({ordered}, y -> y.h)), 32) as int)), z -> z - (z & {SKETCHES - 1}) + x.bin)[0]"
+    heads = f"transform(array({least}), p -> filter(transform(p, (x, k) -> if(coalesce(get(p, k - 1).bin = x.bin, false), cast(null as int), {hashed})), y -> y is not null))[0]"
     return F.expr(f"transform(array({words}), w -> {heads})[0]")
 
 
 def as_text(bins: str) -> Column:
     """A fixed-length string: 8 hex digits a bin, dashes for an empty one."""
-    of_bin = f"map_from_entries(transform({bins}, x -> struct(cast(x & {SKETCHES - 1} as int) as b, lower(lpad(hex(shiftrightunsigned(x, 32)), 8, '0')) as t)))"
+    of_bin = f"map_from_entries(transform({bins}, x -> struct(x & {SKETCHES - 1} as b, lower(lpad(hex(cast(x as bigint) & 4294967295), 8, '0')) as t)))"
     return F.expr(f"transform(array({of_bin}), m -> array_join(transform(sequence(0, {SKETCHES - 1}), b -> coalesce(m[b], '--------')), ''))[0]")
 
 
@@ -94,10 +94,10 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     # Equal rows hold one text here.
     texts = keyed.groupBy("id", "key").agg(F.first("text").alias("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    wanted = pairs.select(F.col("id").alias("for_id"), F.col("key").alias("for_key"), F.col("next_id").alias("id"), F.col("next_key").alias("key"), half.alias("half")).distinct()
-    given = wanted.join(texts, ["id", "key"]).select(F.col("for_id").alias("id"), F.col("for_key").alias("key"), F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.substring("text", F.lit(1), F.col("half")).alias("tail"))
-    counted = pairs.groupBy("id", "key", "next_id", "next_key", "n_chars").agg(F.count("*").cast("int").alias("copies"))
-    met = texts.join(given, ["id", "key"]).join(counted, ["id", "key", "next_id", "next_key"])
+    wanted = pairs.groupBy("id", "key", "next_id", "next_key", "n_chars").agg(F.count("*").cast("int").alias("copies"))
+    wanted = wanted.select(F.col("id").alias("for_id"), F.col("key").alias("for_key"), F.col("next_id").alias("id"), F.col("next_key").alias("key"), "n_chars", "copies")
+    given = wanted.join(texts, ["id", "key"]).select(F.col("for_id").alias("id"), F.col("for_key").alias("key"), F.col("id").alias("next_id"), F.col("key").alias("next_key"), "n_chars", "copies", F.substring("text", F.lit(1), half).alias("tail"))
+    met = texts.join(given, ["id", "key"])
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("tail"))
     made = met.select("id", "key", "next_id", "next_key", "copies", "n_chars", "text", edited.alias("edited"))
     made = made.select("id", "key", "next_id", "next_key", "copies", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch("text").alias("bins"), sketch("edited").alias("edited_bins"))
