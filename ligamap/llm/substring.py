@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from ligamap.llm.shared import materialize
 
 #: One word end in so many ends a chunk; words of the shortest chunk that is compared and of the longest; words of the shortest run that is cut.
-ONE_IN, SHORTEST, LONGEST, LEAST_RUN = 5, 3, 64, 25
+ONE_IN, SHORTEST, LONGEST, LEAST_RUN = 4, 3, 64, 20
 
 SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
 
@@ -66,24 +66,25 @@ def chunks(text: str, gear: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray,
 
 
 def chunk_digests(docs: DataFrame) -> DataFrame:
-    """(doc, idx, digest) of each chunk of SHORTEST or more words of each row's whole text; idx counts all its chunks."""
+    """(doc, key, idx, digest) of each chunk of SHORTEST or more words of each row's whole text; key is a hash of the text, idx counts all its chunks."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear = _gear()
         for batch in batches:
-            ids, at, digests = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, keys, at, digests = [], [], [], []
+            for doc, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw, starts, ends, first, last = chunks(text or "", gear)
                 own = np.flatnonzero(last - first >= SHORTEST)
                 for i, a, b in zip(own.tolist(), starts[first[own]].tolist(), ends[last[own] - 1].tolist(), strict=True):
                     at.append(i)
                     digests.append(xxhash.xxh3_64_intdigest(raw[a:b]))
                 ids.append(np.full(len(own), doc, np.int64))
+                keys.append(np.full(len(own), key, np.int64))
             if ids:
                 whole = np.array(digests, dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(at, pa.int32()), pa.array(whole)], names=["doc", "idx", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys)), pa.array(at, pa.int32()), pa.array(whole)], names=["doc", "key", "idx", "digest"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc long, idx int, digest long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("key")).mapInArrow(scan, "doc long, key long, idx int, digest long")
 
 
 def cut_runs(text: str, repeated: list[int], gear: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
@@ -111,22 +112,24 @@ def cut_runs(text: str, repeated: list[int], gear: np.ndarray) -> tuple[str, lis
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc, repeated): the chunks of each document that belong to a lesser one, as an array; documents without any are left out."""
+    """(doc, key, repeated): the chunks of each text that belong to a lesser document, as an array; texts without any are left out."""
     found = materialize(chunk_digests(docs))
     owned = found.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("other")).where("owner < other").select("digest", "owner")
     owned = materialize(owned)
-    return found.join(owned, "digest").where("doc > owner").groupBy("doc").agg(F.collect_set("idx").alias("repeated"))
+    return found.join(owned, "digest").where("doc > owner").groupBy("doc", "key").agg(F.collect_set("idx").alias("repeated"))
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """``docs`` (``doc_id``, ``text`` and others) with the repeated passages cut from ``text``, and ``removed``: their (first byte, byte after).
 
-    The passage stays in the document of the least doc_id. Repeats within a document stay, and rows that share a doc_id
-    count as one document; a null doc_id counts as the greatest. Null texts stay null. ``n_chars`` is counted again
+    The passage stays in the document of the least doc_id. Repeats within a document and between rows that
+    share a doc_id stay; a null doc_id counts as the greatest. Null texts stay null. ``n_chars`` is counted again
     where a text was cut. Empty in, empty out. Digests have 64 bits; a run takes several chunks, so that one clash cuts nothing.
     """
     columns = docs.columns
-    marked = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(repeated_chunks(docs).withColumnRenamed("doc", "_of"), F.col("_doc") == F.col("_of"), "left").drop("_doc", "_of")
+    found = repeated_chunks(docs).select(F.col("doc").alias("_of"), F.col("key").alias("_of_key"), F.col("repeated").alias("_repeated"))
+    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", F.xxhash64(F.col("text").cast("string")))
+    marked = keyed.join(found, (F.col("_doc") == F.col("_of")) & (F.col("_key") == F.col("_of_key")), "left")
     schema = StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in docs.schema] + [StructField("removed", ArrayType(SPAN))])
     names = [*columns, "removed"]
 
@@ -142,7 +145,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             own = [pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(spans, kind)], names=names)
 
-    done = marked.select(*columns, "repeated").mapInArrow(cut, schema)
+    done = marked.select(*columns, "_repeated").mapInArrow(cut, schema)
     if "n_chars" in columns:
         done = done.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return done
