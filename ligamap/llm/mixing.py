@@ -163,7 +163,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     # Rows that are alike in every column are one here; their parts are all in `parts`.
     each = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64(*docs.columns).alias("_key"), F.struct(*docs.columns).alias("row")).groupBy("_doc", "_key").agg(F.first("row").alias("row"))
     met = each.join(parts.withColumnsRenamed({"_doc": "_doc2", "_key": "_key2"}), F.col("_doc").eqNullSafe(F.col("_doc2")) & (F.col("_key") == F.col("_key2"))).select("row.*", "parts", "whole")
-    cut = F.expr(r"array_join(flatten(transform(array(regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*', 0)), w -> flatten(transform(parts, p -> slice(w, cast(p.from_word + 1 as int), cast(p.n_words as int)))))), '')")
+    cut = F.expr(r"concat_ws('', flatten(transform(array(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0)), w -> flatten(transform(parts, p -> slice(w, cast(p.from_word + 1 as int), cast(p.n_words as int)))))))")
     met = met.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         met = met.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
