@@ -21,12 +21,29 @@ from ligamap.llm.vocab import WordEndIds
 
 CAPACITY = 2048
 END_ID = 1
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+
+#: Share of padding up to which documents' last pieces stay whole, and the least power of two that they are cut to beyond it.
+MOST_PADDING, LEAST_CUT = 0.01, 256
+
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cuts array<struct<start: bigint, length: bigint, ids_crc32: bigint>>"
+
+
+def cuts_of(length: int, capacity: int = CAPACITY) -> list[int]:
+    """Lengths that ``length`` can be cut to: falling powers of two from LEAST_CUT on, then the rest. Such lengths fill packs to the end."""
+    cuts, power = [], 1 << (capacity.bit_length() - 1)
+    while power >= LEAST_CUT:
+        if length >= power:
+            cuts.append(power)
+            length -= power
+        else:
+            power //= 2
+    return cuts + [length] * (length > 0)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece of at most ``capacity`` ids of each document: its ids and the closing id 1, cut at multiples of ``capacity``.
 
+    ``cuts`` says how the piece could be cut further, see ``cuts_of``.
     A null text is empty and gives the closing id alone. Rows are independent, so a repeated row gives repeated pieces.
     ``with_ids`` adds the piece's ids as little-endian unsigned 32-bit bytes.
     """
@@ -39,10 +56,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, wit
                 coded = ids.encode(text or "") + end
                 for at in range(0, len(coded), 4 * capacity):
                     piece = coded[at : at + 4 * capacity]
-                    rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(coded) // 4, *([piece] if with_ids else [])))
+                    cuts, start = [], 0
+                    for n in cuts_of(len(piece) // 4, capacity):
+                        cuts.append({"start": at // 4 + start, "length": n, "ids_crc32": zlib.crc32(piece[4 * start : 4 * (start + n)])})
+                        start += n
+                    rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(coded) // 4, cuts, *([piece] if with_ids else [])))
             if rows:
-                kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "ids_crc32")]))] + [pa.binary()] * with_ids
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "cuts"] + ["ids"] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
@@ -61,8 +82,10 @@ def plan_packs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tupl
         while left:
             room = max((r for r in open_packs if open_packs[r]), default=0)
             if room < length:
-                open_packs[capacity - length].append([left, [(length, 1)]])
-                left = 0
+                # New packs take as many copies as they hold, so that a frequent length doesn't open a pack for each.
+                copies = min(capacity // length, left)
+                open_packs[capacity - copies * length].append([left // copies, [(length, copies)]])
+                left %= copies
                 continue
             count, content = open_packs[room].pop()
             used = min(count, left)
@@ -91,13 +114,39 @@ def places(packs: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
 
 
+def _histogram(pieces: DataFrame) -> dict[int, int]:
+    return {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+
+
+def padded(packs: list[tuple[int, list[tuple[int, int]]]], capacity: int = CAPACITY) -> float:
+    """Share of padding in the packs' sequences."""
+    fills = [(count, sum(n * c for n, c in content)) for count, content in packs]
+    pads = sum(count * padding(fill, capacity) for count, fill in fills)
+    return pads / max(1, pads + sum(count * fill for count, fill in fills))
+
+
+def cut_further(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with each cut at its ``cuts``."""
+    cut = pieces.select("*", F.explode("cuts").alias("_cut"))
+    if "ids" in pieces.columns:
+        cut = cut.withColumn("ids", F.substring("ids", (4 * (F.col("_cut.start") - F.col("start")) + 1).cast("int"), (4 * F.col("_cut.length")).cast("int")))
+    return cut.withColumns({c: F.col(f"_cut.{c}") for c in ("start", "length", "ids_crc32")}).drop("_cut")
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces with ``doc_id``, ``start`` and ``length``. ``pieces`` is read several times: pass a written table.
+    """Add ``sequence_id`` and ``offset`` to pieces as ``token_pieces`` makes them. ``pieces`` is read several times: pass a written table.
 
-    Any further columns are kept. An empty table gives an empty result.
+    Where frequent lengths leave more than MOST_PADDING of the sequences empty, the pieces are cut further and packed
+    anew. Further columns are kept. An empty table gives an empty result.
     """
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    table = pieces.sparkSession.sparkContext.broadcast(places(plan_packs(histogram, capacity)))
+    histogram = _histogram(pieces)
+    packs = plan_packs(histogram, capacity)
+    if padded(packs, capacity) > MOST_PADDING:
+        pieces = cut_further(pieces)
+        histogram = _histogram(pieces)
+        packs = plan_packs(histogram, capacity)
+    pieces = pieces.drop("cuts")
+    table = pieces.sparkSession.sparkContext.broadcast(places(packs))
     ranked = with_prefix(pieces, "length", ["doc_id", "start", "ids_crc32"], F.lit(1), salts_for(max(histogram.values(), default=1)), "_rank")
     kept = [f for f in ranked.schema.fields if f.name != "_rank"]
 
