@@ -64,10 +64,11 @@ def cells(a: Assembly, order: int, units: str = "pixels", window: tuple[int, int
         r0, r1, c0, c1 = window
         near = ((F.col("p0") < r1) & (F.col("p1") > r0)) | ((F.col("p0") < c1) & (F.col("p1") > c0))
         units_at = units_at.where(near)
+    units_at = small(units_at)
     sides = [units_at.select(*(F.col(c).alias(f"{x}_{c}") for c in units_at.columns)) for x in ("x", "y")]
     on_x = (F.col("row_stripe") == F.col("x_stripe_id")) & (F.col("r") >= F.col("x_start")) & (F.col("r") < F.col("x_end"))
     on_y = (F.col("col_stripe") == F.col("y_stripe_id")) & (F.col("c") >= F.col("y_start")) & (F.col("c") < F.col("y_end"))
-    met = contact.join(small(sides[0]), on_x).join(small(sides[1]), on_y).select(_at("x_", "r").alias("p"), _at("y_", "c").alias("q"), "v")
+    met = contact.join(sides[0], on_x).join(sides[1], on_y).select(_at("x_", "r").alias("p"), _at("y_", "c").alias("q"), "v")
     one = F.struct("p", "q")
     turned = F.struct(F.col("q").alias("p"), F.col("p").alias("q"))
     both = met.select(F.explode(F.when(F.col("p") == F.col("q"), F.array(one)).otherwise(F.array(one, turned))).alias("x"), "v").select("x.p", "x.q", "v")
@@ -135,11 +136,11 @@ def tile_stats(a: Assembly, order: int, edge: int, units: str = "pixels") -> Dat
     The stored triangle is summed first by the tile of one orientation; the few tile rows are mirrored afterwards.
     """
     contact = a.contact.where(F.col("res_order") == order)
-    at = placed_atus(a, order, units)
+    at = small(placed_atus(a, order, units))
     sides = [at.select(*(F.col(c).alias(f"{x}_{c}") for c in at.columns)) for x in ("x", "y")]
     on_x = (F.col("row_stripe") == F.col("x_stripe_id")) & (F.col("r") >= F.col("x_start")) & (F.col("r") < F.col("x_end"))
     on_y = (F.col("col_stripe") == F.col("y_stripe_id")) & (F.col("c") >= F.col("y_start")) & (F.col("c") < F.col("y_end"))
-    met = contact.join(small(sides[0]), on_x).join(small(sides[1]), on_y).select(_at("x_", "r").alias("p"), _at("y_", "c").alias("q"), "v")
+    met = contact.join(sides[0], on_x).join(sides[1], on_y).select(_at("x_", "r").alias("p"), _at("y_", "c").alias("q"), "v")
     tile = [F.expr(f"{x} div {edge}") for x in ("p", "q")]
     diagonal = F.col("p") == F.col("q")
     half = met.groupBy(tile[0].alias("x"), tile[1].alias("y"), diagonal.alias("d")).agg(F.count("*").alias("nnz"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("v").alias("s"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ligamap.schema import Assembly
+from ligamap.schema import Assembly, small
 
 EDGE = 64
 BP = {0: 0, 1: 10, 2: 40, 3: 160}
@@ -29,7 +29,7 @@ def contigs(part: DataFrame) -> DataFrame:
 
 def _lengths(contig: DataFrame, orders: DataFrame) -> DataFrame:
     """Bins and presence at every order, with the first storage bin of each contig (c0)."""
-    sized = contig.join(F.broadcast(orders))  # a handful of orders
+    sized = contig.crossJoin(F.broadcast(orders))  # four orders
     bins = F.when(F.col("res_order") == 0, F.col("length_bp")).otherwise(F.expr("(length_bp + bp - 1) div greatest(bp, 1)"))
     shown = F.when((F.col("res_order") == 0) | (F.col("length_bp") >= F.col("bp")), 1).otherwise(0)
     before = Window.partitionBy("res_order").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -61,24 +61,24 @@ def atus(lengths: DataFrame, reversed_some: bool) -> DataFrame:
     )
 
 
-def contacts(lineitem: DataFrame, part: DataFrame, contig: DataFrame, lengths: DataFrame, orders: list[int]) -> DataFrame:
-    """Pairs of lines of an order, by storage bin. Coarser orders sum the finest pairs instead of pairing again."""
+def contacts(lineitem: DataFrame, lengths: DataFrame, orders: list[int]) -> DataFrame:
+    """Pairs of lines of an order, by storage bin, summed once. A part's bin follows from its contig's place alone."""
+    at = small(lengths.where(F.col("res_order").isin(orders)).select("res_order", "contig_id", "b0", "bp", "c0"))
     line = lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("b"))
     other = line.select("l_orderkey", F.col("l_linenumber").alias("n2"), F.col("b").alias("b2"))
-    pairs = line.join(other, "l_orderkey").where("l_linenumber < n2").groupBy("b", "b2").agg(F.count("*").alias("v"))
-    found = None
-    for order in orders:
-        bins = _bins(part, contig, lengths, order).select("b", "bin")
-        mapped = pairs.join(bins, "b").withColumnRenamed("bin", "x").join(bins.select(F.col("b").alias("b2"), F.col("bin").alias("y")), "b2")
-        summed = mapped.groupBy(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.sum("v").alias("v"))
-        at = summed.select(
-            F.lit(order).alias("res_order"),
-            *(F.expr(f"cast({n} div {EDGE} as int)").alias(s) for n, s in (("lo", "row_stripe"), ("hi", "col_stripe"))),
-            *(F.expr(f"cast({n} % {EDGE} as int)").alias(s) for n, s in (("lo", "r"), ("hi", "c"))),
-            "v",
-        )
-        found = at if found is None else found.unionByName(at)
-    return found
+    pairs = line.join(other, "l_orderkey").where("l_linenumber < n2").select("b", "b2")
+
+    def placed(frame: DataFrame, part: str, keys: list[str], name: str) -> DataFrame:
+        return frame.withColumn("contig_id", F.floor(F.sqrt(part)).cast("int")).join(at, keys).withColumn(name, F.expr(f"c0 + (({part} - b0) * 10) div bp")).select("res_order", *(c for c in ("b2", "x") if c in frame.columns and c != part), name)
+
+    mapped = placed(placed(pairs, "b", ["contig_id"], "x"), "b2", ["contig_id", "res_order"], "y")
+    summed = mapped.groupBy("res_order", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.count("*").alias("v"))
+    return summed.select(
+        "res_order",
+        *(F.expr(f"cast({n} div {EDGE} as int)").alias(s) for n, s in (("lo", "row_stripe"), ("hi", "col_stripe"))),
+        *(F.expr(f"cast({n} % {EDGE} as int)").alias(s) for n, s in (("lo", "r"), ("hi", "c"))),
+        "v",
+    )
 
 
 def derive(spark: SparkSession, sf_dir: str, reversed_some: bool = False, contact_orders: tuple[int, ...] = (1,)) -> Assembly:
@@ -104,7 +104,7 @@ def derive(spark: SparkSession, sf_dir: str, reversed_some: bool = False, contac
         contig_res=lengths.select("res_order", "contig_id", "length_bins", "shown"),
         contig_atu=atus(lengths, reversed_some),
         stripe_weight=weights,
-        contact=contacts(lineitem, part, contig, lengths, list(contact_orders)),
+        contact=contacts(lineitem, lengths, list(contact_orders)),
         layout=layout,
         scaffold=scaffold,
         edge=EDGE,
