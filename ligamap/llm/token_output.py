@@ -6,6 +6,7 @@ segment is found by a segment tree over the free capacities.
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ligamap.llm.vocab import Ids
+from ligamap.llm.vocab import BYTE_LEVEL
 
 #: Ids of a row, ids of documents that are packed together, the id that ends a document and the one that fills rows.
 CAPACITY, GROUP, END_ID, PAD_ID = 2048, 2_000_000, 50256, 50256
@@ -81,6 +82,16 @@ def split(ids: bytes, capacity: int) -> list[tuple[int, bytes]]:
     return [(at // 4, ids[at : at + 4 * capacity]) for at in range(0, len(ids), 4 * capacity)]
 
 
+def encoder(path: str):
+    """Whole texts to ids by a file of byte-pair ranks; special strings in a text are ordinary text."""
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    coder = tiktoken.Encoding("own", pat_str=BYTE_LEVEL.pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: np.asarray(coder.encode_ordinary(text), dtype="<u4").tobytes()
+
+
 def packed_rows(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """Rows of exactly ``capacity`` ids, little-endian unsigned 32 bits, that hold the documents' ids and END_ID after each.
 
@@ -92,7 +103,7 @@ def packed_rows(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> D
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = Ids(vocabulary), END_ID.to_bytes(4, "little")
+        ids, end = encoder(vocabulary), END_ID.to_bytes(4, "little")
         row_id = TaskContext.get().partitionId() << 33
         segments: list[tuple[int, int, bytes]] = []
         held = 0
@@ -114,7 +125,7 @@ def packed_rows(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> D
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for start, piece in split(ids.encode(text or "") + end, capacity):
+                for start, piece in split(ids(text or "") + end, capacity):
                     segments.append((doc, start, piece))
                     held += len(piece) // 4
                 if held >= GROUP:
