@@ -33,9 +33,10 @@ def gated_stream(requests: DataFrame) -> DataFrame:
         for frame in frames:
             for row in frame.sort_values("request_id").itertuples():
                 accepted = high is None or row.version >= high
-                high = row.version if accepted else high
+                high = int(row.version) if accepted else high
                 out.append((key[0], row.request_id, row.version, accepted))
-        state.update((high,))
+        if high is not None:
+            state.update((high,))
         yield pd.DataFrame(out, columns=["key", "request_id", "version", "accepted"])
 
     return requests.groupBy("key").applyInPandasWithState(step, "key string, request_id bigint, version bigint, accepted boolean", "high bigint", "append", "NoTimeout")

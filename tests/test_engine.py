@@ -16,7 +16,7 @@ from ligamap.operators.split import split
 from ligamap.plans.service import Service, Stale
 from ligamap.schema import SCHEMAS, Assembly
 from ligamap.sources import agp, container, files
-from ligamap.streaming.gate import gated
+from ligamap.streaming.gate import gated, gated_stream
 
 EDGE = 4
 RES = {0: 0, 1: 10, 2: 40}
@@ -259,3 +259,25 @@ def test_gate(spark):
         high = v if high is None else max(high, v)
     got = {r["request_id"]: r["accepted"] for r in gated(spark.createDataFrame(rows, "request_id bigint, version bigint").repartition(5)).collect()}
     assert got == wanted
+
+
+def test_gate_over_a_stream(spark, tmp_path):
+    rng = random.Random(4)
+    first = [(k, i, rng.randrange(20)) for k in "ab" for i in range(20)]
+    second = [(k, i, rng.randrange(25)) for k in "ab" for i in range(20, 40)]
+    schema = "key string, request_id bigint, version bigint"
+    (tmp_path / "in").mkdir()
+    stream = gated_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = stream.writeStream.format("memory").queryName("gate_test").outputMode("append").option("checkpointLocation", str(tmp_path / "at")).start()
+    try:
+        query.processAllAvailable()
+        spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    wanted, high = {}, {}
+    for k, i, v in sorted(first + second, key=lambda r: r[1]):
+        wanted[k, i] = v >= high.get(k, v)
+        high[k] = max(v, high.get(k, v))
+    assert {(r["key"], r["request_id"]): r["accepted"] for r in spark.table("gate_test").collect()} == wanted
