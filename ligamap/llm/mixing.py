@@ -21,7 +21,7 @@ SEED = 20_240_611
 #: Slots of a shard, unless there would be more than MOST_SHARDS; cells of the lookup of draws, per source.
 SHARD_SLOTS, MOST_SHARDS, CELLS = 1024, 10_000, 4
 
-#: Multipliers of the index permutations; the first that divides no power of the block count is taken.
+#: Multipliers of the index permutations; one that does not divide the count of blocks is taken by a hash.
 PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587, 2_147_483_579)
 
 
