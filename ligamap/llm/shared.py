@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset in local mode, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         own = spark.sparkContext.getCheckpointDir()
         named = own.rsplit("/", 1)[0] if own else None
     if not named:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='ligamap-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
