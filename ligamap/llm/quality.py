@@ -1,7 +1,8 @@
 """Quality rules: fixed limits on a document's statistics, then robust multivariate outliers per language and source.
 
 The outliers come from a minimum-covariance-determinant estimate in DataFrame functions: concentration steps, each a
-quantile of distances and the moments of the rows below it, per group, both combined on the map side.
+quantile of distances and the moments of the rows below it, per group, both combined on the map side. A group too small
+for an estimate is judged by that of its language, or of all rows.
 """
 
 from __future__ import annotations
@@ -106,8 +107,8 @@ def _factor(moments: DataFrame, names: list[str]) -> DataFrame:
     return now.select("g_lang", "g_source", *((F.col(f"o_{i}") + F.col(f"a_{i}")).alias(f"m_{i}") for i in range(p)), *kept)
 
 
-def fit(rows: DataFrame) -> DataFrame:
-    """``rows`` (lang, source and FEATURES), written -> per group of at least LEAST_ROWS rows: centre, inverse factor and ``scale``.
+def fit(rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
+    """``rows`` (lang, source and FEATURES), written -> per group of at least ``least`` rows: centre, inverse factor and ``scale``.
 
     Starts from medians and median absolute deviations, then takes STEPS concentration steps. ``scale`` makes the
     median distance of a group that of the chi-square distribution.
@@ -115,7 +116,7 @@ def fit(rows: DataFrame) -> DataFrame:
     names = list(FEATURES)
     p = len(names)
     middle = _by_group(rows, F.count("*").alias("rows"), *(_quantile(F.col(c), 0.5).alias(f"o_{i}") for i, c in enumerate(names)))
-    middle = materialize(middle.where(F.col("rows") >= LEAST_ROWS).drop("rows"))
+    middle = materialize(middle.where(F.col("rows") >= least).drop("rows"))
     off = _by_group(rows.join(middle, _same(rows, middle)).drop("g_lang", "g_source"), *(_quantile(F.abs(F.col(c) - F.col(f"o_{i}")), 0.5).alias(f"d_{i}") for i, c in enumerate(names)))
     off = off.withColumnsRenamed({"g_lang": "h_lang", "g_source": "h_source"})
     start = middle.join(off, middle["g_lang"].eqNullSafe(off["h_lang"]) & middle["g_source"].eqNullSafe(off["h_source"]))
@@ -138,17 +139,35 @@ def fit(rows: DataFrame) -> DataFrame:
         now = materialize(_factor(moments, names))
 
 
+def fit_all(rows: DataFrame) -> DataFrame:
+    """``rows`` (lang, source and FEATURES), written -> per language and source the estimate that judges it.
+
+    It is the group's own from LEAST_ROWS rows on, else that of all rows of the language if they are as many, else that
+    of all rows. Wider estimates rest on every row, also on those of groups that have their own.
+    """
+    sizes = materialize(rows.groupBy("lang", "source").agg(F.count("*").alias("own")))
+    of_lang = sizes.groupBy(F.col("lang").alias("g_lang")).agg(F.sum("own").alias("of_lang"))
+    no_lang, no_source = (F.lit(None).cast(rows.schema[c].dataType) for c in ("lang", "source"))
+    levels = [F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source")) for k, (lang, source) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), no_source), (no_lang, no_source)])]
+    level = F.when(F.col("own") >= LEAST_ROWS, levels[0]).when(F.col("of_lang") >= LEAST_ROWS, levels[1]).otherwise(levels[2])
+    chosen = materialize(sizes.join(of_lang, sizes["lang"].eqNullSafe(of_lang["g_lang"])).select("lang", "source", level.alias("estimate")))
+    dealt = rows.select(F.explode(F.array(*levels)).alias("lang"), F.lit(None).cast("string").alias("source"), *FEATURES)
+    groups = fit(dealt.join(F.broadcast(chosen.select("estimate").distinct()), F.col("lang").eqNullSafe(F.col("estimate")), "left_semi"), 1)
+    judged = chosen.withColumnsRenamed({"lang": "of", "source": "of_source"}).join(groups, F.col("estimate").eqNullSafe(F.col("g_lang")))
+    return judged.drop("g_lang", "g_source", "estimate").withColumnsRenamed({"of": "g_lang", "of_source": "g_source"})
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``, ``lang``, ``source``): the base counts, base_failed, distance and kept.
 
     base_failed: under 50 words, or more than half of the words in repeated windows. The estimates rest on the other
     rows; of these, one farther than CUTOFF from its group's centre isn't kept. Groups of under LEAST_ROWS such rows
-    have no estimate and keep all (distance null). Null lang or source are values like any other, null texts have no
+    are judged by the estimate of their language or of all rows (see fit_all). distance is null where base_failed. Null lang or source are values like any other, null texts have no
     words and fail; repeated rows each count; empty in, empty out.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = materialize(statistics(docs).withColumn("base_failed", failed).withColumns(_features()))
-    groups = materialize(fit(rows.where(~F.col("base_failed"))))
+    groups = materialize(fit_all(rows.where(~F.col("base_failed"))))
     measured = rows.join(groups, _same(rows, groups), "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(list(FEATURES)) / F.col("scale")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     return measured.select("doc_id", *BASE, "base_failed", kept.alias("kept"), "distance", "lang", "source")

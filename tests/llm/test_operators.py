@@ -376,6 +376,18 @@ def test_quality_statistics_and_outliers(docs):
     assert not next(r for r in got if r["doc_id"] == 3000)["kept"] and quality.quality(docs([])).count() == 0
 
 
+def test_quality_judges_groups_too_small_for_an_estimate(docs):
+    rng = random.Random(7)
+    rows = [(i, words(rng.randrange(60, 400), i), "en", f"s{i % 20}") for i in range(200)]
+    rows += [(1000 + i, words(rng.randrange(60, 400), i, "longstem"), "de", None) for i in range(60)]
+    junk = [("en", "s3"), ("en", None), (None, "s3"), ("fr", "new")]
+    rows += [(2000 + i, " ".join(f"{x}###$$$" for x in words(200, i).split()), *g) for i, g in enumerate(junk)]
+    got = {r["doc_id"]: r for r in quality.quality(docs(rows)).collect()}
+    assert all(r["distance"] is not None and r["kept"] == (i < 2000) for i, r in got.items())
+    few = quality.quality(docs([(i, words(60 + 5 * i, i), "en", "s") for i in range(4)])).collect()
+    assert all(r["kept"] and r["distance"] is not None for r in few)
+
+
 def test_determinant_estimate_equals_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 5)) * [0.5, 0.2, 0.5, 1, 0.5]
