@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 from ligamap.llm.shared import materialize
 
-#: Share of a group's rows that the estimate rests on, concentration steps, least rows of a group, and the squared distance that rejects.
-CORE, STEPS, LEAST_ROWS, CUTOFF = 0.75, 3, 50, 250.0
+#: Share of a group's rows that the estimate rests on, concentration steps and least rows of a group.
+CORE, STEPS, LEAST_ROWS = 0.75, 3, 50
+
+#: The squared distance that rejects: the 0.999 quantile of the chi-square distribution with as many degrees of freedom as FEATURES.
+CUTOFF = 20.515
 
 #: Names and smallest spreads of the transformed statistics; a spread below would make rare but harmless values extreme.
-FEATURES = {"words": 0.5, "word_length": 0.06, "symbols": 0.25, "dup_lines": 0.7, "repeats": 0.2}
+#: Each can reject alone: where a group has none, from 5 symbols to 100 words, 9 duplicate lines or a fifth of the words repeated.
+FEATURES = {"words": 0.5, "word_length": 0.06, "symbols": 0.4, "dup_lines": 0.5, "repeats": 0.1}
 
 #: The median of the chi-square distribution with as many degrees of freedom as FEATURES.
 MEDIAN = 4.3515
@@ -111,7 +115,7 @@ def fit(rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
     """``rows`` (lang, source and FEATURES), written -> per group of at least ``least`` rows: centre, inverse factor and ``scale``.
 
     Starts from medians and median absolute deviations, then takes STEPS concentration steps. ``scale`` makes the
-    median distance of a group that of the chi-square distribution.
+    median distance of a group that of the chi-square distribution, but never magnifies: that would undo the smallest spreads.
     """
     names = list(FEATURES)
     p = len(names)
@@ -131,7 +135,7 @@ def fit(rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
         now = now.join(edge, now["g_lang"].eqNullSafe(edge["h_lang"]) & now["g_source"].eqNullSafe(edge["h_source"])).drop("h_lang", "h_source")
         now = materialize(now)
         if step == STEPS:
-            return now.withColumn("scale", F.greatest(F.exp("edge") / MEDIAN, F.lit(1e-6))).drop("edge")
+            return now.withColumn("scale", F.greatest(F.exp("edge") / MEDIAN, F.lit(1.0))).drop("edge")
         core = rows.join(now, _same(rows, now)).where(F.round(log, 2) <= F.col("edge"))
         about = {i: F.col(c) - F.col(f"m_{i}") for i, c in enumerate(names)}
         sums = [F.sum(about[i]).alias(f"s_{i}") for i in range(p)] + [F.sum(about[i] * about[j]).alias(f"p_{i}_{j}") for i in range(p) for j in range(i + 1)]
@@ -162,13 +166,15 @@ def quality(docs: DataFrame) -> DataFrame:
 
     base_failed: under 50 words, or more than half of the words in repeated windows. The estimates rest on the other
     rows; of these, one farther than CUTOFF from its group's centre isn't kept. Groups of under LEAST_ROWS such rows
-    are judged by the estimate of their language or of all rows (see fit_all). distance is null where base_failed. Null lang or source are values like any other, null texts have no
+    are judged by the estimate of their language or of all rows (see fit_all). A text isn't rejected for being long: more
+    words than the centre's count as the centre's. distance is null where base_failed. Null lang or source are values like any other, null texts have no
     words and fail; repeated rows each count; empty in, empty out.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = materialize(statistics(docs).withColumn("base_failed", failed).withColumns(_features()))
     groups = materialize(fit_all(rows.where(~F.col("base_failed"))))
-    measured = rows.join(groups, _same(rows, groups), "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(list(FEATURES)) / F.col("scale")))
+    measured = rows.join(groups, _same(rows, groups), "left").withColumn("words", F.least("words", "m_0"))
+    measured = measured.withColumn("distance", F.when(~F.col("base_failed"), _distance(list(FEATURES)) / F.col("scale")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     return measured.select("doc_id", *BASE, "base_failed", kept.alias("kept"), "distance", "lang", "source")
 

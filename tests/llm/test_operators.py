@@ -388,6 +388,18 @@ def test_quality_judges_groups_too_small_for_an_estimate(docs):
     assert all(r["kept"] and r["distance"] is not None for r in few)
 
 
+def test_quality_rejects_repetition_below_the_base_limit_and_keeps_long_texts(docs):
+    rng = random.Random(8)
+    rows = [(i, words(rng.randrange(60, 400), i), "en", "s") for i in range(100)]
+    said = words(20, 1)
+    rows += [(1000, f"{said} {words(30, 2)} {said} {words(30, 3)}", "en", "s"), (1001, words(20_000, 4), "en", "s")]
+    rows += [(1002, "\n".join([words(8, i) for i in range(60)] + ["one line"] * 20), "en", "s")]
+    got = {r["doc_id"]: r for r in quality.quality(docs(rows)).collect()}
+    assert got[1000]["n_repeat_words"] == 0.4 * got[1000]["n_words"] and not got[1000]["base_failed"]
+    assert not got[1002]["base_failed"] and got[1002]["n_dup_lines"] == 19
+    assert [i for i, r in got.items() if not r["kept"]] in ([1000, 1002], [1002, 1000])
+
+
 def test_determinant_estimate_equals_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 5)) * [0.5, 0.2, 0.5, 1, 0.5]
