@@ -1,7 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
 Pass one classifies each block by its length, link density and share of stop words, pass two gives ambiguous short
-blocks the label of their nearest decided neighbours.
+blocks the label of their nearest decided neighbours. <article> and <main> are one feature beside these: they bound
+where neighbours are looked for, and rule out what is outside if they hold enough of the good text.
 """
 
 from __future__ import annotations
@@ -47,6 +48,9 @@ SPACE = re.compile(r"\s+")
 #: Characters of a short and of a long block, link density that is boilerplate, and the shares of stop words that count as low and high.
 SHORT, LONG, MOST_LINKS, FEW_STOPS, MANY_STOPS = 70, 200, 0.4, 0.12, 0.2
 
+#: Share of the good text that <article> and <main> must hold to be believed.
+LEAST_INSIDE = 1 / 3
+
 
 class Block:
     __slots__ = ("inside", "linked", "marked", "parts", "text", "heading")
@@ -135,38 +139,42 @@ def blocks(page: str) -> list[Block]:
 
 
 def decide(block: Block) -> str:
-    """Pass one: good, bad, near (rather long or full of stop words) or short (ambiguous)."""
+    """Pass one: good, bad, near (rather long or full of stop words) or short (ambiguous; inside, also one with few stop words)."""
     text = block.text
     if block.marked or block.linked > MOST_LINKS * len(text):
         return "bad"
-    if block.inside:
-        return "good" if len(text) >= SHORT or block.heading else "short"
     if "©" in text and len(text) < LONG:
         return "bad"
     words = text.lower().split()
     stops = sum(w.strip(".,;:!?()\"'«»") in STOP_WORDS for w in words) / len(words)
     if len(text) < SHORT:
-        return "bad" if block.linked else "short"
+        return "bad" if block.linked and not block.inside else "short"
     if stops >= MANY_STOPS:
-        return "good" if len(text) > LONG else "near"
-    return "near" if stops >= FEW_STOPS else "bad"
+        return "good" if len(text) > LONG or block.inside else "near"
+    return "near" if stops >= FEW_STOPS else "short" if block.inside else "bad"
 
 
 def main_text(page: str | None) -> str:
     """The main blocks joined by line ends; empty for null, for pages without text and for those without main text."""
     found = blocks(page or "")
+    labels = [decide(b) for b in found]
     if any(b.inside for b in found):
-        # A page that names its article has none of it outside.
+        good = [(b.inside, len(b.text)) for b, x in zip(found, labels, strict=True) if x == "good"]
+        # A page that names its article has none of it outside; one whose <article> is a comment or a teaser doesn't name it.
+        named = any(b.inside and not b.marked for b in found) and sum(n for i, n in good if i) >= LEAST_INSIDE * sum(n for _, n in good)
         for b in found:
-            b.marked |= not b.inside
-    labels = [decide(b) for b in found]
-    sure = [x if x in ("good", "bad") else None for x in labels]
+            b.marked |= named and not b.inside
+            b.inside &= named
+        labels = [decide(b) for b in found]
+    # Marked blocks inside, as comments and forms, say nothing about the article around them.
+    sure = [x if x in ("good", "bad") and not (b.inside and b.marked) else None for b, x in zip(found, labels, strict=True)]
 
     def nearest(order: range) -> list[str | None]:
-        last, out = None, [None] * len(sure)
+        last, was_inside, out = None, False, [None] * len(sure)
         for i in order:
-            out[i] = last
-            last = sure[i] or last
+            # Inside, only neighbours inside count.
+            out[i] = last if not found[i].inside or was_inside else None
+            last, was_inside = sure[i] or out[i], found[i].inside
         return out
 
     before, after = nearest(range(len(sure))), nearest(range(len(sure) - 1, -1, -1))
@@ -176,7 +184,7 @@ def main_text(page: str | None) -> str:
         if labels[i] == "near":
             good = "good" in around or around == {"bad"} and before[i] is None and after[i] is None
         elif labels[i] == "short":
-            good = b.inside or around == {"good"}
+            good = b.inside and "bad" not in (before[i], after[i]) or around == {"good"}
         else:
             good = labels[i] == "good"
         if good:

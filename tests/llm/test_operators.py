@@ -140,6 +140,17 @@ def test_extraction(spark):
     assert got[3]["text"] == got[4]["text"] == "" and extract(pages).count() == 5 and extract(pages.limit(0)).count() == 0
 
 
+def test_containers_are_one_feature_of_extraction():
+    story = "The story stands in a plain element, and it is long enough to be read by the rules, for it has a lot of the words that one would find in any of them. " * 3
+    comment = "<article class=comment-body><p>I think that this is a good one, and it has all that I was in need of, so I will be back for more of it.</p></article>"
+    assert main_text(f"<div class=post><p>{story}</p></div><div class=comments-area>{comment}</div>") == story.strip()
+    assert story.strip() in main_text(f"<div class=post><p>{story}</p></div><article><p>A teaser.</p></article>")
+    links = "<p>" + "<a href=x>Read this other page</a> " * 5 + "</p>"
+    keywords = "<p>" + "Sofa, lamp, table, chair, " * 4 + "</p>"
+    got = main_text(f"<article><p>{story}</p><p>Within.</p><p>{story}</p>{links}{keywords}<p>Share it!</p>{links}</article><p>{story}</p>")
+    assert got == f"{story.strip()}\nWithin.\n{story.strip()}"
+
+
 def test_ambiguous_blocks_follow_their_neighbours():
     long = "<p>" + "This is the text of the story and it has all of the words that one would look for in it. " * 4 + "</p>"
     links = "<p><a href=1>One of the links</a> <a href=2>another</a></p>"
