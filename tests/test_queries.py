@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -20,7 +21,7 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
     def plain(x):
         if x is None or x is pd.NA or (isinstance(x, float) and x != x):
             return "null"
-        return f"{float(x):.5f}" if not isinstance(x, str | bool) and hasattr(x, "__float__") else str(x)
+        return f"{float(x):.5f}" if not isinstance(x, str | bool | np.bool_) and hasattr(x, "__float__") else str(x)
 
     ordered = frame[sorted(frame.columns)]
     return sorted(tuple(plain(x) for x in row) for row in ordered.itertuples(index=False))
