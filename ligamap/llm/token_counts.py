@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ligamap.llm.vocab import BYTE_LEVEL, Cache, Ids
+from ligamap.llm.vocab import BYTE_LEVEL, LONGEST_KEY, Cache, Ids
 
-#: Texts sampled for the table, characters of each that are looked at, and the most entries of the table.
-SAMPLE_TEXTS, SAMPLE_CHARS, TABLE_ENTRIES = 2_000, 4_000, 32_768
+#: Texts in the sample for the table, about, the most entries of the table and those counted at a time.
+SAMPLE_TEXTS, TABLE_ENTRIES, MOST_COUNTED = 4_000, 32_768, 200_000
 
 
 class Counts(Ids):
@@ -36,20 +36,34 @@ class Counts(Ids):
 
 
 def frequent_counts(docs: DataFrame, vocabulary: str) -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens of a sample of the first ``SAMPLE_CHARS`` characters of ``SAMPLE_TEXTS`` texts.
+    """Token counts of the most frequent pre-tokens of about ``SAMPLE_TEXTS`` whole texts, drawn by a hash of the row's place over all partitions.
 
-    It only decides which lookups are cheap: every count is the library's, whatever the sample.
+    The sample only decides which lookups are cheap: every count is the library's, whatever the sample. It is counted
+    where it lies; each partition gives its TABLE_ENTRIES most frequent pre-tokens at most.
     """
-    sample = docs.where(F.col("text").isNotNull()).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_TEXTS).collect()
-    seen = Counter(piece for row in sample for piece in BYTE_LEVEL.findall(row["text"]))
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(piece for piece in BYTE_LEVEL.findall(text) if len(piece) <= LONGEST_KEY)
+                if len(seen) > MOST_COUNTED:
+                    seen = Counter(dict(seen.most_common(TABLE_ENTRIES)))
+        best = seen.most_common(TABLE_ENTRIES)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["piece", "n"])
+
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, docs.count()))) < SAMPLE_TEXTS
+    pieces = docs.where(drawn & F.col("text").isNotNull()).select(F.col("text").cast("string")).mapInArrow(frequent, "piece string, n long")
+    best = pieces.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "piece").limit(TABLE_ENTRIES).collect()
     own = Counts(vocabulary, {})
-    return {piece: own.count_piece(piece) for piece, n in seen.most_common(TABLE_ENTRIES) if n > 1}
+    return {r["piece"]: own.count_piece(r["piece"]) for r in best}
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``): UTF-8 bytes, tokens without special tokens, and whether these exceed ``limit``.
 
-    A null text is empty: 0 bytes, 0 tokens. Repeated rows are counted each; an empty table gives an empty result.
+    A null text is empty: 0 bytes, 0 tokens. Repeated rows and rows that share a doc_id or have none are counted each; an
+    empty table gives an empty result. Further columns of ``docs``, whatever their names, are not read.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_counts(docs, vocabulary))
 

@@ -15,14 +15,23 @@ BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{
 WORD_END = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+#: Length of the longest key that a cache keeps.
+LONGEST_KEY = 64
+
+
 class Cache(dict):
-    """A dict that fills itself from ``make`` and holds two generations of at most ``most`` entries each."""
+    """A dict that fills itself from ``make`` and holds two generations of at most ``most`` entries each.
+
+    Keys over LONGEST_KEY are rare and made anew each time, so that the entries bound the bytes too.
+    """
 
     def __init__(self, make: Callable, most: int, fixed: dict | None = None):
         super().__init__()
         self.make, self.most, self.old, self.fixed = make, most, {}, fixed or {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.make(key)
         value = self.fixed.get(key)
         if value is None:
             value = self.old.get(key)
