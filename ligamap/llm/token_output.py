@@ -7,9 +7,10 @@ segment is found by a segment tree over the free capacities.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,10 @@ from ligamap.llm.vocab import BYTE_LEVEL
 #: Ids of a row, ids of documents that are packed together, the id that ends a document and the one that fills rows.
 CAPACITY, GROUP, END_ID, PAD_ID = 2048, 2_000_000, 50256, 50256
 
+#: White space that is cut out before a text is encoded: Unicode's, in runs too long for the library's pattern; and a pattern that takes all.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+ANYTHING = r"[\s\S]+"
+
 ROWS = "row_id long, input_ids binary, n_ids int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, starts array<long>, ids_crc32 long"
 
 
@@ -82,14 +87,28 @@ def split(ids: bytes, capacity: int) -> list[tuple[int, bytes]]:
     return [(at // 4, ids[at : at + 4 * capacity]) for at in range(0, len(ids), 4 * capacity)]
 
 
-def encoder(path: str):
-    """Whole texts to ids by a file of byte-pair ranks; special strings in a text are ordinary text."""
+def encoder(path: str) -> Callable[[str], bytes]:
+    """Whole texts to ids by a file of byte-pair ranks; special strings in a text are ordinary text.
+
+    The library's pattern runs out of stack on long white space. Such a run is one pre-token, but for its last character
+    where text follows, so it is cut out and encoded as it is.
+    """
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    coder = tiktoken.Encoding("own", pat_str=BYTE_LEVEL.pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.asarray(coder.encode_ordinary(text), dtype="<u4").tobytes()
+    coder, piece = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (BYTE_LEVEL.pattern, ANYTHING))
+
+    def parts(text: str) -> Iterator[list[int]]:
+        at = 0
+        for run in LONG_SPACE.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            yield coder.encode_ordinary(text[at : run.start()])
+            yield piece.encode_ordinary(text[run.start() : stop])
+            at = stop
+        yield coder.encode_ordinary(text[at:])
+
+    return lambda text: b"".join(np.asarray(ids, dtype="<u4").tobytes() for ids in parts(text))
 
 
 def packed_rows(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
@@ -98,8 +117,10 @@ def packed_rows(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> D
     cu_seqlens runs from 0 over the segments' ends; positions restart at each of position_resets, the segments' starts.
     doc_ids and starts name each segment's document and its first id there. ids_crc32 is that of ``input_ids``.
     Unused ids at the end are PAD_ID. A null text is empty and gives END_ID alone. Repeated rows are documents of their
-    own; a document over ``capacity`` takes several segments and loses nothing; no documents give no rows.
-    row_id is unique; it follows from the input's partitions.
+    own, also if they share a doc_id or have none; a document over ``capacity`` takes several segments and loses nothing;
+    segments of equal length are placed in the order read; no documents give no rows. Further columns of ``docs``,
+    whatever their names, are not read. row_id is unique; it follows from the input's partitions, as do the rows, since
+    documents are packed with those near them and ids never shuffled.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
