@@ -22,29 +22,30 @@ from ligamap.llm.vocab import WordEndIds
 CAPACITY = 2048
 END_ID = 1
 
-#: Share of padding up to which documents' last pieces stay whole, and the least power of two that they are cut to beyond it.
-MOST_PADDING, LEAST_CUT = 0.01, 256
+#: The least power of two that a document's last piece is cut to. Such lengths fill packs to the end; documents of one and the
+#: same length below it, alone, leave a fifth of the packs empty at most.
+LEAST_CUT = 512
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cuts array<struct<start: bigint, length: bigint, ids_crc32: bigint>>"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def cuts_of(length: int, capacity: int = CAPACITY) -> list[int]:
-    """Lengths that ``length`` can be cut to: falling powers of two from LEAST_CUT on, then the rest. Such lengths fill packs to the end."""
-    cuts, power = [], 1 << (capacity.bit_length() - 1)
+    """Lengths that ``length`` is cut to: ``capacity`` as often as it fits, falling powers of two from LEAST_CUT on, then the rest."""
+    cuts, left = [capacity] * (length // capacity), length % capacity
+    power = 1 << max(0, capacity.bit_length() - 1)
     while power >= LEAST_CUT:
-        if length >= power:
+        if left >= power:
             cuts.append(power)
-            length -= power
-        else:
-            power //= 2
-    return cuts + [length] * (length > 0)
+            left -= power
+        power //= 2
+    return cuts + [left] * (left > 0)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """One row per piece of at most ``capacity`` ids of each document: its ids and the closing id 1, cut at multiples of ``capacity``.
+    """One row per piece of each document: its ids and the closing id 1, cut as ``cuts_of`` says.
 
-    ``cuts`` says how the piece could be cut further, see ``cuts_of``.
-    A null text is empty and gives the closing id alone. Rows are independent, so a repeated row gives repeated pieces.
+    A null text is empty and gives the closing id alone. Rows are independent, so repeated rows and rows that share a
+    doc_id or have none give pieces each. Further columns of ``docs``, whatever their names, are not read.
     ``with_ids`` adds the piece's ids as little-endian unsigned 32-bit bytes.
     """
 
@@ -53,17 +54,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, wit
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                coded = ids.encode(text or "") + end
-                for at in range(0, len(coded), 4 * capacity):
-                    piece = coded[at : at + 4 * capacity]
-                    cuts, start = [], 0
-                    for n in cuts_of(len(piece) // 4, capacity):
-                        cuts.append({"start": at // 4 + start, "length": n, "ids_crc32": zlib.crc32(piece[4 * start : 4 * (start + n)])})
-                        start += n
-                    rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(coded) // 4, cuts, *([piece] if with_ids else [])))
+                coded, start = ids.encode(text or "") + end, 0
+                for n in cuts_of(len(coded) // 4, capacity):
+                    piece = coded[4 * start : 4 * (start + n)]
+                    rows.append((doc, start, n, zlib.crc32(piece), len(coded) // 4, *([piece] if with_ids else [])))
+                    start += n
             if rows:
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "ids_crc32")]))] + [pa.binary()] * with_ids
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "cuts"] + ["ids"] * with_ids
+                kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
@@ -125,27 +123,14 @@ def padded(packs: list[tuple[int, list[tuple[int, int]]]], capacity: int = CAPAC
     return pads / max(1, pads + sum(count * fill for count, fill in fills))
 
 
-def cut_further(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with each cut at its ``cuts``."""
-    cut = pieces.select("*", F.explode("cuts").alias("_cut"))
-    if "ids" in pieces.columns:
-        cut = cut.withColumn("ids", F.substring("ids", (4 * (F.col("_cut.start") - F.col("start")) + 1).cast("int"), (4 * F.col("_cut.length")).cast("int")))
-    return cut.withColumns({c: F.col(f"_cut.{c}") for c in ("start", "length", "ids_crc32")}).drop("_cut")
-
-
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces as ``token_pieces`` makes them. ``pieces`` is read several times: pass a written table.
 
-    Where frequent lengths leave more than MOST_PADDING of the sequences empty, the pieces are cut further and packed
-    anew. Further columns are kept. An empty table gives an empty result.
+    Pieces of equal length are dealt to the places of that length in a fixed order; those that agree in all columns may
+    swap. Further columns are kept. An empty table gives an empty result.
     """
     histogram = _histogram(pieces)
     packs = plan_packs(histogram, capacity)
-    if padded(packs, capacity) > MOST_PADDING:
-        pieces = cut_further(pieces)
-        histogram = _histogram(pieces)
-        packs = plan_packs(histogram, capacity)
-    pieces = pieces.drop("cuts")
     table = pieces.sparkSession.sparkContext.broadcast(places(packs))
     ranked = with_prefix(pieces, "length", ["doc_id", "start", "ids_crc32"], F.lit(1), salts_for(max(histogram.values(), default=1)), "_rank")
     kept = [f for f in ranked.schema.fields if f.name != "_rank"]
