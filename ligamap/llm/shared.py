@@ -51,6 +51,27 @@ def clean_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def carried(docs: DataFrame, **own: Column) -> DataFrame:
+    """``docs`` as one struct ``row`` beside the columns ``own``, so that no name of the input can clash with an operator's; ``row.*`` gives it back."""
+    return docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in own.items()))
+
+
+#: A key with at least one in so many of the rows is hot; there are at most that many hot keys, which bounds what is broadcast.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, written and unique in ``key``, where ``n`` says how many rows hold the key; ``n`` is dropped.
+
+    Rows of hot keys meet a broadcast of at most HOT rows where they lie, so that no key's rows meet in one task; the rest
+    is joined by a shuffle. ``rows`` is read twice: pass a written table.
+    """
+    total = rows.count()
+    is_hot = F.col(n) * HOT >= total
+    hot, cold = keyed.where(is_hot).drop(n), keyed.where(~is_hot).drop(n)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def n_words(text: str | Column) -> Column:
     """Words of a text as BIGINT; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ligamap.llm.components import components
-from ligamap.llm.shared import materialize
+from ligamap.llm.shared import carried, join_hot, materialize
 
 RADIUS = 2
 WORDS = 3
@@ -90,26 +90,42 @@ def links_within(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.unionByName(hubs).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
+def _components(rows: DataFrame, radius: int) -> DataFrame:
+    """``rows`` (doc_id, fp), written -> (fp, n, root, component_id): for each fingerprint its rows, the least fingerprint and the least doc_id reachable."""
+    each = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = components(links_within(each.select("fp"), radius))
+    grouped = materialize(each.join(roots, each["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")))
+    sizes = materialize(grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")))
+    return materialize(join_hot(grouped.drop("least"), sizes, "root", "fps"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs`` (``doc_id``, ``text``): the least doc_id reachable over fingerprints within ``radius``.
 
     Null and empty texts share fingerprint 0 and are linked like any other. Repeated rows each appear. A null doc_id is
     kept, never chosen as an id of a component that has another, and null where there is none. Empty in, empty out.
+    Further columns of ``docs``, whatever their names, are not read.
     """
     rows = materialize(fingerprints(docs))
-    each = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links_within(each.select("fp"), radius))
-    grouped = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    grouped = materialize(grouped)
-    ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = grouped.join(ids, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return join_hot(rows, _components(rows, radius).drop("root"), "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the least doc_id. Of rows that repeat a doc_id, the one least by hash stays."""
-    groups = near_duplicates(docs, radius).where("doc_id <=> component_id").select("doc_id").distinct()
-    rest = docs.join(groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi")
-    columns = F.struct(*docs.columns)
-    firsts = rest.groupBy("doc_id").agg(F.min_by(columns, F.xxhash64(*docs.columns)).alias("row"))
-    return firsts.select("row.*")
+    """``docs`` with one row of each group of near-duplicates: that of the least doc_id, null last; of rows that share it, the one least by a hash of the text.
+
+    Rows are told apart by their place in a written copy, not by doc_id: a row whose text is like no other stays, also if
+    its doc_id is null or repeated, and of rows that are alike in all columns one stays. Columns may have any names.
+    """
+    numbered = materialize(carried(docs, place=F.monotonically_increasing_id()))
+    text = F.col("row.text").cast("string")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(fps)], names=["place", "doc_id", "key", "fp"])
+
+    rows = materialize(numbered.select("place", F.col("row.doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")).mapInArrow(scan, "place long, doc_id long, key long, fp long"))
+    found = join_hot(rows, _components(rows, radius).drop("component_id"), "fp", "n")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "place")).alias("first")
+    chosen = found.groupBy("root").agg(first).select(F.col("first.place").alias("place"))
+    return numbered.join(chosen, "place", "left_semi").select("row.*")
