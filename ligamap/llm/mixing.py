@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ligamap.llm.shared import materialize, n_words, salts_for, with_prefix
+from ligamap.llm.shared import carried, materialize, n_words, salts_for, with_prefix
 
 BLOCK = 256
 WEIGHTS = (5, 2, 1)
@@ -18,8 +18,8 @@ SHARE = 1.5
 MOST = 2.0
 SEED = 20_240_611
 
-#: Slots of a shard, unless there would be more than MOST_SHARDS; cells of the lookup of draws, per source.
-SHARD_SLOTS, MOST_SHARDS, CELLS = 1024, 10_000, 4
+#: Slots of a shard, slots that a task makes, and cells of the lookup of draws.
+SHARD_SLOTS, TASK_SLOTS, CELLS = 1024, 65_536, 4096
 
 #: Multipliers of the index permutations; one that does not divide the count of blocks is taken by a hash.
 PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587, 2_147_483_579)
@@ -78,47 +78,48 @@ def permuted(index: Column, count: Column, key: Column) -> Column:
 
 
 def slots(q: DataFrame, spark: SparkSession) -> DataFrame:
-    """(s, k) of every slot of the mix with its shard: each source has the slots 0 to quota - 1.
+    """(s, shard, k) of every slot of the mix: each source has the slots 0 to quota - 1.
 
-    A slot draws its source by a hash of its number. Draws beyond a source's quota are replaced by the sources that
-    were drawn too rarely, so that the totals are exact; these replacements are a root of the slots' count.
+    A slot draws its source by a hash of its number. Draws beyond a source's quota, in the shards that come last in a
+    pseudorandom order, are replaced by the sources that were drawn too rarely, so that the totals are exact; these
+    replacements are a root of the slots' count.
     """
     n = q.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
-    of_shard = max(SHARD_SLOTS, -(-n // MOST_SHARDS))
+    n_shards = max(1, -(-n // SHARD_SLOTS))
     # Draw: a uniform number below n falls in one source's range [lo, hi); sources are found by cells of equal width.
-    n_cells = max(1, min(n, CELLS * 1024))
-    width = max(1, -(-n // n_cells))
+    width = max(1, -(-n // CELLS))
     cells = q.where("quota > 0").select("s", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
-    drawn = spark.range(n).select("id", F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(max(n, 1))).alias("u"))
+    drawn = spark.range(0, n, 1, max(1, -(-n // TASK_SLOTS))).select("id", F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(max(n, 1))).alias("u"))
     drawn = drawn.withColumn("cell", F.floor(F.col("u") / width)).join(cells, "cell").where("u >= lo and u < hi")
-    drawn = drawn.select("s", F.floor(F.col("id") / of_shard).alias("shard"), "id")
-    counts = drawn.groupBy("s", "shard").agg(F.count("*").alias("n"))  # the shards' multinomial counts
-    ahead = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(ahead), F.lit(0))))
+    drawn = drawn.select("s", F.floor(F.col("id") / SHARD_SLOTS).alias("shard"))
+    counts = materialize(drawn.groupBy("s", "shard").agg(F.count("*").alias("n")))  # the shards' multinomial counts
+    counts = materialize(with_prefix(counts, "s", ["shard"], F.col("n"), salts_for(n_shards), "base"))
     totals = counts.groupBy("s").agg(F.sum("n").alias("drawn"))
     # The slots of a source in a shard follow on each other from `base`: its count is enough, its slots need no numbering.
     runs = counts.join(q.select("s", "quota"), "s").select("s", "shard", F.col("base").alias("first"), (F.least(F.col("base") + F.col("n"), F.col("quota")) - 1).alias("last")).where("last >= first")
     short = q.join(totals, "s", "left").select("s", F.coalesce("drawn", F.lit(0)).alias("first"), (F.col("quota") - 1).alias("last")).where("last >= first")
-    short = short.select("s", F.explode(F.sequence("first", "last", F.lit(of_shard).cast("long"))).alias("first"), "last")
-    short = short.select("s", F.pmod(F.xxhash64("s", "first"), F.lit(-(-n // of_shard) or 1)).alias("shard"), "first", F.least(F.col("last"), F.col("first") + of_shard - 1).alias("last"))
-    every = runs.unionByName(short)
-    return every.repartition("s", "shard").select("s", "shard", F.explode(F.sequence("first", "last")).alias("k"))
+    short = short.select("s", F.explode(F.sequence("first", "last", F.lit(SHARD_SLOTS).cast("long"))).alias("first"), "last")
+    short = short.select("s", F.pmod(F.xxhash64("s", "first"), F.lit(n_shards)).alias("shard"), "first", F.least(F.col("last"), F.col("first") + SHARD_SLOTS - 1).alias("last"))
+    # A run has SHARD_SLOTS slots at most; so many tasks as the slots need, since there are far fewer runs than slots.
+    every = runs.unionByName(short).repartition(max(1, -(-n // TASK_SLOTS)), "s", "first")
+    return every.select("s", "shard", F.explode(F.sequence("first", "last")).alias("k"))
 
 
-def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (``doc_id``, ``text``, ``source`` and others) -> (documents, taken spans).
+def mix(docs: DataFrame, place: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (``doc_id``, ``text``, ``source``) -> (documents, taken spans).
 
     documents: doc_id, key (a hash of the row), size (words), source_size, target, s and first_word, the place of the
     document's words among its source's. spans: (s, shard, pass, block, n_words), what the mix takes of each source.
     Null texts have no words, a null source is a source of its own, repeated rows are documents of their own, and a
-    table without words has no spans.
+    table without words has no spans. ``place`` names a column that tells rows apart and is carried.
     """
     spark = docs.sparkSession
-    sized = materialize(docs.select("doc_id", "source", F.xxhash64(*docs.columns).alias("key"), n_words("text").alias("size")))
+    ties = [place] if place else []
+    sized = materialize(docs.select("doc_id", "source", F.xxhash64("doc_id", "text", "source").alias("key"), n_words("text").alias("size"), *ties))
     sizes = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     most = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     q = materialize(quotas(targets(sizes.drop("n"))))
-    placed = with_prefix(sized, "source", ["doc_id", "key"], F.col("size"), salts_for(most), "first_word")
+    placed = with_prefix(sized, "source", ["doc_id", "key", *ties], F.col("size"), salts_for(most), "first_word")
     placed = placed.join(q.select(F.col("source").alias("_source"), "source_size", "target", "s"), F.col("source").eqNullSafe(F.col("_source")))
 
     s = slots(q, spark).join(q.select("s", "n_blocks", "full_blocks", "source_size", "passes", "rest"), "s")
@@ -141,7 +142,10 @@ def overlaps(placed: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) per row: the words that the mix takes of it, repeats counted."""
+    """(doc_id, size, source_size, target, taken) per row: the words that the mix takes of it, repeats counted.
+
+    Rows that share a doc_id or have none count each; further columns of ``docs``, whatever their names, are not read.
+    """
     placed, spans = mix(docs.select("doc_id", "text", "source"))
     rows = materialize(placed)
     taken = overlaps(rows, spans).groupBy("s", "first_word").agg(F.sum("n_words").alias("taken"))
@@ -151,20 +155,27 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself, in the columns of ``docs``: a document gives a row for each pass that takes words of it.
+    """The mix itself, in the columns of ``docs``: a row for each passage without gaps that a pass takes of a document.
 
-    A row holds the words taken in text order with the white space after them; one that takes all keeps its text as it
-    is. ``n_chars`` is counted again where ``docs`` has it. Documents without words are taken 0 times and go.
+    A row holds the passage's words with the white space after them; where a pass takes all, the text stays as it is.
+    ``n_chars`` is counted again where ``docs`` has it. Documents without words are taken 0 times and go. Rows are told
+    apart by their place in a written copy, so that equal rows, null and repeated ids are documents of their own.
+    Columns may have any names. Empty in, empty out.
     """
-    placed, spans = mix(docs)
+    numbered = materialize(carried(docs, place=F.monotonically_increasing_id()))
+    placed, spans = mix(numbered.select("place", *(F.col(f"row.{c}").cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("source", "string")))), "place")
     rows = materialize(placed)
     parts = overlaps(rows, spans).groupBy("s", "first_word", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("parts"), F.sum("n_words").alias("sum"))
-    parts = rows.where("size > 0").join(parts, ["s", "first_word"]).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "parts", (F.col("sum") == F.col("size")).alias("whole"))
-    # Rows that are alike in every column are one here; their parts are all in `parts`.
-    each = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64(*docs.columns).alias("_key"), F.struct(*docs.columns).alias("row")).groupBy("_doc", "_key").agg(F.first("row").alias("row"))
-    met = each.join(parts.withColumnsRenamed({"_doc": "_doc2", "_key": "_key2"}), F.col("_doc").eqNullSafe(F.col("_doc2")) & (F.col("_key") == F.col("_key2"))).select("row.*", "parts", "whole")
-    cut = F.expr(r"concat_ws('', flatten(transform(array(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0)), w -> flatten(transform(parts, p -> slice(w, cast(p.from_word + 1 as int), cast(p.n_words as int)))))))")
-    met = met.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(cut))
+    # Parts that follow on each other are one passage: its first part has none before it that ends there.
+    firsts = "filter(parts, (p, i) -> i = 0 or parts[i - 1].from_word + parts[i - 1].n_words <> p.from_word)"
+    lasts = "filter(parts, (p, i) -> i = size(parts) - 1 or parts[i + 1].from_word <> p.from_word + p.n_words)"
+    passages = F.expr(f"zip_with({firsts}, {lasts}, (a, b) -> struct(a.from_word as at, b.from_word + b.n_words - a.from_word as n))")
+    taken = rows.where("size > 0").join(parts, ["s", "first_word"]).select("place", passages.alias("passages"), (F.col("sum") == F.col("size")).alias("whole"))
+    met = numbered.join(taken, "place").withColumn("text", F.col("row.text").cast("string"))
+    words = r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0)"
+    cut = F.expr(f"transform(array({words}), w -> transform(passages, p -> array_join(slice(w, cast(p.at + 1 as int), cast(p.n as int)), '')))[0]")
+    met = met.select("row", F.explode(F.when(F.col("whole"), F.array("text")).otherwise(cut)).alias("text"))
+    own = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return met.select(*docs.columns)
+        own = own.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return met.select(own.alias("row")).select("row.*")
