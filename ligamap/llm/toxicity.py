@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are compared by exact TF-IDF cosine over terms that tell the labels apart. The examples stand in a block-max
-inverted index: blocks whose bound can't reach the nearest found so far are passed over, which loses nothing.
+Texts are compared by exact TF-IDF cosine over the terms that tell the labels apart best. The examples stand in a block-max
+inverted index: blocks whose bound can't reach the nearest found so far are passed over, which loses nothing. The votes
+are turned into probabilities by isotonic regression on the examples' own votes, each without itself.
 """
 
 from __future__ import annotations
@@ -15,21 +16,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from ligamap.llm.shared import materialize
+from ligamap.llm.shared import carried, materialize
 from ligamap.llm.vocab import Cache
 
-#: Labelled examples of each label in the sample that is learnt from, terms kept, and the least chi-square of a term.
-EXAMPLES, TERMS, LEAST_CHI2 = 4096, 4096, 40.0
+#: Labelled examples of each label in the sample that is learnt from, terms kept, and the share of terms found to tell the labels apart that may do so by chance.
+EXAMPLES, TERMS, BY_CHANCE = 4096, 4096, 0.01
 
-#: Neighbours that vote, those named as evidence, and examples of a block.
-NEIGHBOURS, EVIDENCE, BLOCK = 16, 3, 64
+#: Neighbours that vote, those named as evidence, examples of a block, and blocks that are searched first.
+NEIGHBOURS, EVIDENCE, BLOCK, FIRST_BLOCKS = 16, 3, 64, 4
 
 #: Lengths of word beginnings that are terms beside the words themselves: inflected and compounded forms share them.
 STEMS = (4, 5, 6)
 
 WORDS = re.compile(r"[^\W\d_]+")
 
+NEAR = StructType([StructField("doc_id", LongType()), StructField("cosine", DoubleType()), StructField("toxic", IntegerType())])
+SCORE = StructType([StructField("score", DoubleType()), StructField("evidence", ArrayType(NEAR))])
+
 
 def terms_of(word: str) -> list[str]:
     return [word] + [word[:n] + "*" for n in STEMS if len(word) > n]
@@ -49,8 +54,12 @@ def sample_examples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict
     return materialize(docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "toxic", "text")), totals
 
 
-def telling_terms(sample: DataFrame) -> dict[str, tuple[int, float]]:
-    """Term -> (number, idf) of the up to TERMS terms with the highest chi-square between document frequency and label."""
+def ranked_terms(sample: DataFrame) -> tuple[list[str], np.ndarray, int]:
+    """Up to TERMS terms by falling log-likelihood ratio between document frequency and label, their idf, and how many of them are telling.
+
+    Ranks have no threshold. The telling ones are the first, as many as the false discovery rate BY_CHANCE allows among
+    all terms of the sample (Benjamini and Hochberg).
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
@@ -68,33 +77,36 @@ def telling_terms(sample: DataFrame) -> dict[str, tuple[int, float]]:
 
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
-        return {}
+        return [], np.zeros(0), 0
     counts = sample.select("toxic", "text").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    share, every = n[1] / (n[0] + n[1]), n[0] + n[1]
+    counts = materialize(counts)
+    every = n[0] + n[1]
     df = F.col("clean") + F.col("toxic")
-    off = F.col("toxic") - df * share
-    chi2 = off * off / (df * share * (1 - share) * (1 - df / (every + 1)))
-    best = counts.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect()
-    return {r["term"]: (i, math.log((every + 1) / (r["clean"] + r["toxic"] + 1)) + 1) for i, r in enumerate(best)}
+    parts = [F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (df * (n[y] / every)))).otherwise(0.0) for y, c in enumerate(("clean", "toxic"))]
+    best = counts.withColumn("ratio", F.round(2 * (parts[0] + parts[1]), 9)).orderBy(F.desc("ratio"), "term").limit(TERMS).collect()
+    chance, tested = [math.erfc(math.sqrt(max(0.0, r["ratio"]) / 2)) for r in best], counts.count()
+    telling = max((i for i, p in enumerate(chance, 1) if p <= BY_CHANCE * i / tested), default=0)
+    return [r["term"] for r in best], np.array([math.log((every + 1) / (r["clean"] + r["toxic"] + 1)) + 1 for r in best]), telling
 
 
 class Vectors:
-    """TF-IDF vectors of unit length over the telling terms."""
+    """Terms of texts, and TF-IDF vectors of unit length over them."""
 
-    def __init__(self, terms: dict[str, tuple[int, float]]):
-        self.idf = np.array([idf for _, idf in terms.values()] or [0.0])
-        self.words = Cache(lambda w: tuple(terms[t][0] for t in terms_of(w) if t in terms), 200_000)
+    def __init__(self, terms: list[str], idf: np.ndarray):
+        number = {t: i for i, t in enumerate(terms)}
+        self.idf = idf
+        self.words = Cache(lambda w: tuple(number[t] for t in terms_of(w) if t in number), 200_000)
 
     def counts(self, text: str) -> tuple[tuple[int, int], ...]:
         found: Counter = Counter()
-        for numbers in filter(None, map(self.words.__getitem__, WORDS.findall(text.lower()))):
-            found.update(numbers)
+        for word, n in Counter(WORDS.findall(text.lower())).items():
+            for t in self.words[word]:
+                found[t] += n
         return tuple(sorted(found.items()))
 
-    def weights(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        numbers = np.array([t for t, _ in counts], dtype=np.int64)
-        weights = (1 + np.log([n for _, n in counts])) * self.idf[numbers]
-        return numbers, weights / np.linalg.norm(weights)
+    def weights(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        weights = (1 + np.log(counts)) * self.idf[numbers]
+        return weights / np.linalg.norm(weights)
 
 
 class BlockMaxIndex:
@@ -105,111 +117,176 @@ class BlockMaxIndex:
         rows = sorted(rows, key=lambda r: (int(r[2][np.argmax(r[3])]), r[0]))
         self.docs = np.array([r[0] for r in rows], dtype=np.int64)
         self.labels = np.array([r[1] for r in rows], dtype=np.int64)
-        n_blocks = -(-len(rows) // BLOCK)
-        self.most = np.zeros((n_terms + 1, n_blocks))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(n_blocks):
-            lists: dict[int, list[tuple[int, float]]] = {}
-            for i, (_, _, numbers, weights) in enumerate(rows[b * BLOCK : (b + 1) * BLOCK]):
-                for t, w in zip(numbers.tolist(), weights.tolist(), strict=True):
-                    lists.setdefault(t, []).append((i, w))
-            self.postings.append({t: (np.array([i for i, _ in x]), np.array([w for _, w in x])) for t, x in lists.items()})
-            for t, x in lists.items():
-                self.most[t, b] = max(w for _, w in x)
-
-    def nearest(self, numbers: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine over 0, ties to the earlier example."""
+        self.n_blocks = -(-len(rows) // BLOCK)
+        terms = np.concatenate([r[2] for r in rows])
+        examples = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+        weights = np.concatenate([r[3] for r in rows])
+        order = np.argsort(terms * len(rows) + examples)
+        self.examples, self.weights = examples[order].astype(np.int32), weights[order]
+        # A term's postings in a block are those from `first` of (term, block) to that of the next block.
+        cell = terms[order] * self.n_blocks + self.examples // BLOCK
+        self.first = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1)).astype(np.int64)
+        self.most = np.zeros(n_terms * self.n_blocks)
+        np.maximum.at(self.most, cell, self.weights)
+        self.most = self.most.reshape(n_terms, self.n_blocks)
+
+    def cosines(self, numbers: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) over 0 in these blocks."""
+        cells = (numbers[:, None] * self.n_blocks + blocks).ravel()
+        first = self.first[cells]
+        n = self.first[cells + 1] - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shares = self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), n)
+        scores = np.bincount(self.examples[at], shares, minlength=len(self.docs))
+        hit = np.flatnonzero(scores > 0)
+        return hit, scores[hit]
+
+    def nearest(self, numbers: np.ndarray, weights: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest with a cosine over 0, ties to the earlier example; examples of document ``but`` are passed over."""
         bounds = weights @ self.most[numbers]
-        found, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(cosines) == k and bounds[b] < cosines[-1]:
-                break
-            scores = np.zeros(min(BLOCK, len(self.docs) - b * BLOCK))
-            for t, w in zip(numbers.tolist(), weights.tolist(), strict=True):
-                if (p := self.postings[b].get(t)) is not None:
-                    scores[p[0]] += w * p[1]
-            hit = np.flatnonzero(scores > 0)
-            found, cosines = np.concatenate([found, hit + b * BLOCK]), np.concatenate([cosines, scores[hit]])
+        order = np.argsort(-bounds, kind="stable")
+        found, cosines, at, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST_BLOCKS
+        # Blocks are taken by falling bound; the rounding of the cosines is left to the bound.
+        while at < len(order) and bounds[order[at]] > 0 and (len(cosines) < k or bounds[order[at]] + 1e-9 >= cosines[-1]):
+            near, c = self.cosines(numbers, weights, order[at : at + step])
+            if but is not None:
+                near, c = near[self.docs[near] != but], c[self.docs[near] != but]
+            found, cosines = np.concatenate([found, near]), np.concatenate([cosines, c])
             best = np.lexsort((found, -np.round(cosines, 9)))[:k]
             found, cosines = found[best], cosines[best]
+            at, step = at + step, 2 * step
         return found, cosines
 
 
 class Scorer:
-    """Scores by weighted votes: a neighbour counts by its nearness and by how many labelled documents its example stands for."""
+    """Scores by weighted votes: a neighbour counts by its nearness and by how many labelled documents its example stands for.
+
+    A text with telling terms is compared over these alone, since others would drown them; one without is compared over all terms.
+    """
 
-    def __init__(self, terms: dict, rows: list[tuple], totals: dict[int, int]):
-        self.vectors = Vectors(terms)
-        told = [(d, y, *self.vectors.weights(c)) for d, y, c in rows if c]
-        n = Counter(y for _, y, _ in rows)
-        self.stands = np.array([totals.get(y, 0) / max(1, n[y]) for y in (0, 1)])
+    def __init__(self, terms: list[str], idf: np.ndarray, telling: int, rows: list[tuple], totals: dict[int, int], knots: tuple[np.ndarray, np.ndarray] | None = None):
+        self.vectors, self.telling, self.knots = Vectors(terms, idf), telling, knots
+        n = Counter(y for _, y, *_ in rows)
         every = max(1.0, sum(totals.values()))
-        # Documents without a telling term are as toxic as the examples without one.
-        blank = np.array([sum(1 for _, y, c in rows if y == label and not c) for label in (0, 1)]) * self.stands
-        self.blank = float((blank[1] + totals.get(1, 0) / every) / (blank.sum() + 1))
-        self.stands *= len(rows) / every
-        self.index = BlockMaxIndex(told, len(terms)) if told else None
+        self.base = totals.get(1, 0) / every
+        self.stands = np.array([totals.get(y, 0) / max(1, n[y]) for y in (0, 1)]) * len(rows) / every
+        self.indexes = []
+        for most in (telling, len(terms)):
+            own = [(d, y, t[t < most], c[t < most]) for d, y, t, c in rows]
+            own = [(d, y, t, self.vectors.weights(t, c)) for d, y, t, c in own if len(t)]
+            self.indexes.append(BlockMaxIndex(own, most) if own else None)
         self.scored = Cache(self.score_counts, 20_000)
 
-    def score_counts(self, counts: tuple) -> tuple[float, list[dict]]:
-        if not counts or self.index is None:
-            return self.blank, []
-        found, cosines = self.index.nearest(*self.vectors.weights(counts), NEIGHBOURS)
-        labels = self.index.labels[found]
+    def votes(self, numbers: np.ndarray, counts: np.ndarray, but: int | None = None) -> tuple[float, list[dict]]:
+        """(share of the votes that are toxic, evidence). Texts without neighbours get the share of toxic labels."""
+        told = numbers < self.telling
+        index = self.indexes[0 if told.any() else 1]
+        if told.any():
+            numbers, counts = numbers[told], counts[told]
+        if not len(numbers) or index is None:
+            return self.base, []
+        found, cosines = index.nearest(numbers, self.vectors.weights(numbers, counts), NEIGHBOURS, but)
+        labels = index.labels[found]
         # Far neighbours say little: the vote falls with the cosine's square beside the distance.
         votes = self.stands[labels] * cosines**2 / (0.05 + 1 - np.minimum(cosines, 1))
-        score = float((votes @ labels + 0.5 * self.blank) / (votes.sum() + 0.5))
-        evidence = [{"doc_id": int(self.index.docs[i]), "cosine": float(c), "toxic": int(y)} for i, c, y in zip(found[:EVIDENCE], cosines, labels, strict=False)]
-        return score, evidence
+        share = float((votes @ labels + 0.5 * self.base) / (votes.sum() + 0.5))
+        return share, [{"doc_id": int(index.docs[i]), "cosine": float(c), "toxic": int(y)} for i, c, y in zip(found[:EVIDENCE], cosines, labels, strict=False)]
+
+    def score_counts(self, counts: tuple) -> tuple[float, list[dict]]:
+        pairs = np.array(counts, dtype=np.int64).reshape(-1, 2)
+        share, evidence = self.votes(pairs[:, 0], pairs[:, 1])
+        return float(np.interp(share, *self.knots)) if self.knots else share, evidence
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
         return self.scored[self.vectors.counts(text or "")]
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict, list[tuple], dict[int, int]]:
+def isotonic(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (share, probability), both rising: weighted isotonic regression, each level drawn to the mean by one observation's weight."""
+    points, which = np.unique(shares, return_inverse=True)
+    heavy, toxic = np.bincount(which, weights), np.bincount(which, weights * labels)
+    levels: list[list[float]] = []  # weight, weight of label 1, weighted sum of shares
+    for w, y, x in zip(heavy.tolist(), toxic.tolist(), (heavy * points).tolist(), strict=True):
+        levels.append([w, y, x])
+        while len(levels) > 1 and levels[-2][1] * levels[-1][0] >= levels[-1][1] * levels[-2][0]:
+            top = levels.pop()
+            levels[-1] = [a + b for a, b in zip(levels[-1], top, strict=True)]
+    base, one = float(np.average(labels, weights=weights)), float(np.mean(weights))
+    at = np.array([x / w for w, _, x in levels])
+    return at, np.maximum.accumulate([(y + one * base) / (w + one) for w, y, _ in levels])
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> dict:
     """What a Scorer needs; its size is bounded by EXAMPLES and TERMS."""
     sample, totals = sample_examples(docs, labels)
-    terms = telling_terms(sample)
+    terms, idf, telling = ranked_terms(sample)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vectors(terms)
+        own = Vectors(terms, idf)
         for batch in batches:
             counts = [own.counts(t or "") for t in batch.column(2).to_pylist()]
-            lists = [pa.array([[c[i] for c in x] for x in counts], pa.list_(pa.int64())) for i in (0, 1)]
+            lists = [pa.array([[c[i] for c in x] for x in counts], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "terms", "counts"])
 
-    rows = sample.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, counts array<long>").collect()
-    return terms, sorted((r["doc_id"], r["toxic"], tuple(zip(r["terms"], r["counts"], strict=True))) for r in rows), totals
+    table = materialize(sample.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>"))
+    told = table.toArrow()
+    rows = [(d, y, t.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.int64)) for d, y, t, c in zip(*(told.column(i).to_pylist() for i in (0, 1)), *(list(told.column(i)) for i in (2, 3)), strict=True)]
+    rows.sort(key=lambda r: (r[0], r[1], r[2].tolist(), r[3].tolist()))
+    model = {"terms": terms, "idf": idf, "telling": telling, "rows": rows, "totals": totals}
+    if not terms:
+        return model
+    known = docs.sparkSession.sparkContext.broadcast({"model": model})
+
+    def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scorer_of(known.value)
+        for batch in batches:
+            shares = [scorer.votes(np.array(t, dtype=np.int64), np.array(c, dtype=np.int64), d)[0] for d, t, c in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], names=["doc_id", "toxic", "share"])
 
+    voted = table.mapInArrow(own_votes, "doc_id long, toxic int, share double").toArrow()
+    shares, said = (voted.column(i).to_numpy() for i in (2, 1))
+    n = Counter(said.tolist())
+    return model | {"knots": isotonic(shares, said, np.array([totals[y] / n[y] for y in said.tolist()]))}
 
-def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Per row of ``docs`` (``doc_id``, ``text``): held_out, score, predicted and the nearest examples as evidence.
 
-    ``labels``: (doc_id, toxic). A score depends on the text alone. Null and empty texts, and others without a telling
-    term, get the rate of such examples. Without labels of both kinds every score is the share of toxic labels, 0 if
-    there are none. held_out is null for a null doc_id. ``keep`` names further columns of ``docs`` to carry. Repeated
-    rows each appear; empty in, empty out.
-    """
-    ids = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    learnt = docs.sparkSession.sparkContext.broadcast(learn(ids, labels))
-    columns = ["doc_id", "text", *(c for c in keep or [] if c not in ("doc_id", "text"))]
-    carried = [c for c in columns if c != "text" or keep and "text" in keep]
-    fields = ", ".join(f"`{c}` {ids.schema[c].dataType.simpleString()}" for c in carried)
-    names = [*carried, "score", "evidence"]
+def scorer_of(held: dict) -> Scorer:
+    """The scorer of a broadcast value, made once for each worker."""
+    if "scorer" not in held:
+        held["scorer"] = Scorer(**held["model"])
+    return held["scorer"]
+
+
+def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(row, score, evidence): ``docs`` as a struct with the score of its text."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    learnt = docs.sparkSession.sparkContext.broadcast({"model": learn(own, labels)})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*learnt.value)
+        scorer = scorer_of(learnt.value)
         near = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
             scored = [scorer.score(t) for t in batch.column(1).to_pylist()]
-            own = [batch.column(batch.schema.get_field_index(c)) for c in carried]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([s for s, _ in scored], pa.float64()), pa.array([e for _, e in scored], near)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in scored], pa.float64()), pa.array([e for _, e in scored], near)], names=["row", "score", "evidence"])
 
-    scored = ids.select(*columns).mapInArrow(scan, f"{fields}, score double, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return scored.withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = carried(docs, text=F.col("text").cast("string"))
+    schema = StructType([rows.schema["row"], *SCORE])
+    return rows.mapInArrow(scan, schema)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence) per row of ``docs`` (``doc_id``, ``text``); evidence holds the nearest examples.
+
+    ``labels``: (doc_id, toxic); of contradictory labels the higher holds. A score depends on the text alone. Null and empty
+    texts, and others without a term of the sample, get the calibrated share of toxic labels. Without labels of both kinds
+    every score is the share of toxic labels, 0 if there are none. A row without doc_id isn't held out. Repeated rows each
+    appear; of examples equally near the lesser counts; empty in, empty out. Further columns, whatever their names, are not read.
+    """
+    scored = _scored(docs.select("doc_id", "text"), labels)
+    doc = F.col("row.doc_id").cast("long")
+    held_out = F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return scored.select(doc.alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted toxic."""
-    return toxicity(docs, labels, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    """``docs`` without the rows whose score is 0.5 or more. Columns may have any names."""
+    return _scored(docs, labels).where("score < 0.5").select("row.*")
