@@ -1,9 +1,10 @@
 """Order MinHash fingerprints in DataFrame functions only.
 
 The k-mers are runs of K words. Each gets the number of its occurrence in the text, so that repeats count; a hash of
-both deals it to one of SKETCHES bins and orders it there. The TUPLE least k-mers of a bin are put back in text order
-and hashed together: a bin agrees between two texts if the same k-mers stand in the same order, which edits and moved
-passages break.
+both gives it a place on a ring. Each of SKETCHES hashes selects the TUPLE k-mers that come first from a start of its own
+on the ring, which is a random order of all k-mers, so every selection is made over the whole text, short or long. The
+selected are put back in text order and hashed together: two texts agree there if they select the same k-mers in the same
+order, which edits and moved passages break.
 """
 
 from __future__ import annotations
@@ -15,22 +16,21 @@ from ligamap.llm.shared import materialize
 
 K, SKETCHES, TUPLE = 3, 64, 2
 
+#: Characters of scripts that set no spaces (Thai, Lao, Burmese, Khmer, Chinese, Japanese): each is a word. Characters of the longest word; longer runs are several.
+UNSPACED, LONGEST = r"\\x{E00}-\\x{EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{2E80}-\\x{A4CF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFF}", 64
+
 #: Stands for a null doc_id in keys and in the order of documents.
 NO_ID = -(1 << 63)
 
 
 def sketch(text: str) -> Column:
-    """The bins' hashes as ARRAY<INT>; the low bits of each are the number of its bin, empty bins are left out.
-
-    A text of under K words is one k-mer, one without words gives an empty array.
-    """
-    words = rf"regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+', 0)"
+    """The SKETCHES hashes as ARRAY<INT>; a text without words gives an empty array, one of under K words has one k-mer."""
+    words = f"regexp_extract_all({text}, '[{UNSPACED}]|[^\\\\x20\\\\x09-\\\\x0D{UNSPACED}]{{1,{LONGEST}}}', 0)"
     kmers = f"case when size(w) >= {K} then transform(sequence(0, size(w) - {K}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(K))})) when size(w) > 0 then array(xxhash64(w)) else cast(array() as array<bigint>) end"
-    # An entry: its bin, its rank there, its place and its k-mer.
-    entry = "struct(cast(v & {m} as int) as bin, v as v, {i} as i, {h} as h)".replace("{m}", str(SKETCHES - 1))
 
+    # An entry: its place on the ring, its place in the text and its k-mer.
     def entries(of: str, each: str, i: str, h: str, occurrence: str) -> str:
-        return f"transform({of}, {each} -> transform(array(xxhash64({h}, {occurrence})), v -> {entry.format(i=i, h=h)})[0])"
+        return f"transform({of}, {each} -> struct(xxhash64({h}, {occurrence}) as v, {i} as i, {h} as h))"
 
     plain = entries("h", "(x, k)", "k", "x", "1")
     # Repeats: `r` holds the second and later occurrences, sorted by k-mer and place; the start of each run of equal
@@ -42,29 +42,35 @@ def sketch(text: str) -> Column:
     again = "filter(s, (x, k) -> coalesce(get(s, k - 1).h = x.h, false))"
     repeated = f"transform(array(sort_array(transform(h, (x, i) -> struct(x as h, i as i)))), s -> concat({first}, transform(array({again}), r -> {later})[0]))[0]"
     every = f"transform(array({kmers}), h -> if(size(array_distinct(h)) = size(h), {plain}, {repeated}))[0]"
-    least = f"transform(array(sort_array({every})), e -> filter(e, (x, k) -> not coalesce(get(e, k - {TUPLE}).bin = x.bin, false)))[0]"
-    # The least entries of a bin stand side by side: they are gathered at its first, in text order.
-    ordered = f"array_sort(filter(slice(p, k + 1, {TUPLE}), y -> y.bin = x.bin), (a, b) -> a.i - b.i)"
-    hashed = f"transform(array(cast(shiftright(xxhash64(transform({ordered}, y -> y.h)), 32) as int)), z -> z - (z & {SKETCHES - 1}) + x.bin)[0]"
-    heads = f"transform(array({least}), p -> filter(transform(p, (x, k) -> if(coalesce(get(p, k - 1).bin = x.bin, false), cast(null as int), {hashed})), y -> y is not null))[0]"
-    return F.expr(f"transform(array({words}), w -> {heads})[0]")
-
-
-def as_text(bins: str) -> Column:
-    """A fixed-length string: 8 hex digits a bin, dashes for an empty one."""
-    of_bin = f"map_from_entries(transform({bins}, x -> struct(x & {SKETCHES - 1} as b, lower(lpad(hex(cast(x as bigint) & 4294967295), 8, '0')) as t)))"
-    return F.expr(f"transform(array({of_bin}), m -> array_join(transform(sequence(0, {SKETCHES - 1}), b -> coalesce(m[b], '--------')), ''))[0]")
+    # The ring has SKETCHES equal arcs; no start of an arc reaches more than TUPLE entries of an arc.
+    arc = f"shiftright({{}}.v, {64 - SKETCHES.bit_length() + 1})"
+    near = f"transform(array(sort_array({every})), e -> filter(e, (x, k) -> not coalesce({arc.format(f'get(e, k - {TUPLE})')} = {arc.format('x')}, false)))[0]"
+    # The first entry of an arc is met from that arc's start and from the starts of empty arcs before it; the first of all also from those after the last.
+    ordered = f"array_sort(slice(c, k + 1, {TUPLE}), (a, b) -> a.i - b.i)"
+    hashed = f"cast(shiftright(xxhash64(transform({ordered}, y -> y.h)), 32) as int)"
+    before = f"cast(if(k = 0, {-SKETCHES // 2 - 1}, {arc.format('get(p, k - 1)')}) as int)"
+    own = f"cast({arc.format('x')} as int)"
+    met = f"flatten(transform(p, (x, k) -> if({own} = {before}, cast(array() as array<int>), array_repeat({hashed}, {own} - {before}))))"
+    rest = f"transform(array(0), k -> array_repeat({hashed}, {SKETCHES // 2 - 1} - cast({arc.format('p[size(p) - 1]')} as int)))[0]"
+    around = f"transform(array({near}), p -> transform(array(concat(p, slice(p, 1, {TUPLE - 1}))), c -> if(size(p) = 0, cast(array() as array<int>), concat({met}, {rest})))[0])[0]"
+    return F.expr(f"transform(array({words}), w -> {around})[0]")
+
+
+def as_text(sketches: str) -> Column:
+    """A string of 8 hex digits a hash; of dashes for a text without words."""
+    shown = f"array_join(transform({sketches}, x -> lower(lpad(hex(cast(x as bigint) & 4294967295), 8, '0'))), '')"
+    return F.expr(f"if(size({sketches}) = 0, repeat('-', {8 * SKETCHES}), {shown})")
 
 
 def likeness(a: str, b: str) -> Column:
-    """The share of bins that agree, of those that either has; 1 if neither has any."""
-    bins = f"size(array_union(transform({a}, x -> x & {SKETCHES - 1}), transform({b}, x -> x & {SKETCHES - 1})))"
-    return F.expr(f"if({bins} = 0, 1.0D, size(array_intersect({a}, {b})) / cast({bins} as double))")
+    """The share of hashes that agree place by place; 1 if neither text has words, 0 if one has none."""
+    agree = f"size(filter(zip_with({a}, {b}, (x, y) -> x <=> y), z -> z))"
+    return F.expr(f"if(size({a}) = 0 or size({b}) = 0, if(size({a}) = size({b}), 1.0D, 0.0D), {agree} / cast({SKETCHES} as double))")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, bins, fingerprint) of each row's whole text; a null text is empty."""
-    return docs.select("doc_id", sketch("coalesce(text, '')").alias("bins")).withColumn("fingerprint", as_text("bins"))
+    """(doc_id, hashes, fingerprint) of each row's whole text; a null text is empty."""
+    return docs.select("doc_id", sketch("coalesce(text, '')").alias("hashes")).withColumn("fingerprint", as_text("hashes"))
 
 
 def successors(rows: DataFrame) -> DataFrame:
@@ -88,6 +94,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     The edited text has the last half of the code points (rounded down) replaced by the first as many, or all, of the
     next document's by doc_id. Rows that share a doc_id follow each other in the order of a hash of their text, equal
     rows are documents of their own; a null doc_id comes first. A single document follows itself; empty in, empty out.
+    Further columns of ``docs``, whatever their names, are not read.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     pairs = materialize(successors(keyed.select("id", "key", F.length("text").cast("long").alias("n_chars"))))
@@ -100,16 +107,16 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     met = texts.join(given, ["id", "key"])
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("tail"))
     made = met.select("id", "key", "next_id", "next_key", "copies", "n_chars", "text", edited.alias("edited"))
-    made = made.select("id", "key", "next_id", "next_key", "copies", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch("text").alias("bins"), sketch("edited").alias("edited_bins"))
+    made = made.select("id", "key", "next_id", "next_key", "copies", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch("text").alias("hashes"), sketch("edited").alias("edited_hashes"))
     made = materialize(made)
-    others = made.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("bins").alias("next_bins")).dropDuplicates(["next_id", "next_key"])
+    others = made.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("hashes").alias("next_hashes")).dropDuplicates(["next_id", "next_key"])
     found = made.join(others, ["next_id", "next_key"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return found.select(
         F.nullif("id", F.lit(NO_ID)).alias("doc_id"),
         "n_chars",
         "edited_sha256",
-        as_text("bins").alias("fingerprint"),
-        as_text("edited_bins").alias("edited_fingerprint"),
-        likeness("bins", "edited_bins").alias("near_edited"),
-        likeness("bins", "next_bins").alias("near_next"),
+        as_text("hashes").alias("fingerprint"),
+        as_text("edited_hashes").alias("edited_fingerprint"),
+        likeness("hashes", "edited_hashes").alias("near_edited"),
+        likeness("hashes", "next_hashes").alias("near_next"),
     )
