@@ -2,7 +2,8 @@
 
 Pass one classifies each block by its length, link density and share of stop words, pass two gives ambiguous short
 blocks the label of their nearest decided neighbours. <article> and <main> are one feature beside these: they bound
-where neighbours are looked for, and rule out what is outside if they hold enough of the good text.
+where neighbours are looked for, and rule out what is outside if they hold enough of the good text. In pages of a
+language without a list of stop words, marks that end sentences stand for them.
 """
 
 from __future__ import annotations
@@ -28,76 +29,136 @@ STOP_WORDS = frozenset(
 SILENT = frozenset("script style noscript template svg canvas iframe object math head title select option textarea button audio video map".split())
 OUTSIDE = frozenset("nav footer aside form dialog menu header".split())
 INSIDE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-PARAGRAPH_ENDS = BLOCKS - {"p"}
 
-#: Words in class, id or role that mark boilerplate.
+#: Words in class, id or role that mark boilerplate, and those that mark it unless the block reads like prose.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|comment-\w+|consent|cookies?|disclaimer|disqus|footer|gdpr|legal|masthead|menu\w*|modal|nav|navbar|navigation|newsletter|notice\w*|outbrain|pagination|popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|taboola|toolbar|topbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu\w*|modal|nav|navbar|navigation|newsletter|notice\w*|outbrain|pagination|popup|replies|reply|respond|sharing|sidebar|signup|sponsor\w*|subscribe|taboola|toolbar|topbar|widget)(?=$|[\s_-])",
     re.IGNORECASE,
 )
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
-ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.DOTALL)
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:disclaimer|header|legal|promo\w*|related|search|share|skip|social)(?=$|[\s_-])", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.DOTALL)
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")}
 SPACE = re.compile(r"\s+")
+LETTERS = re.compile(r"[^\W\d_]+")
+
+#: Marks that end a sentence, and characters of dense scripts, which count as DENSE letters.
+SENTENCE = re.compile("[.!?…。！？｡।॥؟۔։།။។]")
+DENSE, WIDE = 3, re.compile("[฀-໿က-႟ក-៿⺀-꓏가-힯豈-﫿\U00020000-\U0003ffff]")
 
 #: Characters of a short and of a long block, link density that is boilerplate, and the shares of stop words that count as low and high.
 SHORT, LONG, MOST_LINKS, FEW_STOPS, MANY_STOPS = 70, 200, 0.4, 0.12, 0.2
 
+#: Share of stop words in a page's unmarked text from which its language is a listed one, and words to a sentence mark that make prose in others.
+LISTED, SENTENCE_WORDS = 0.04, 40
+
 #: Share of the good text that <article> and <main> must hold to be believed.
 LEAST_INSIDE = 1 / 3
 
 
 class Block:
-    __slots__ = ("inside", "linked", "marked", "parts", "text", "heading")
+    __slots__ = ("doubtful", "heading", "inside", "linked", "marked", "parts", "size", "stops", "text", "words")
 
-    def __init__(self, inside: bool, marked: bool, heading: bool):
+    def __init__(self, inside: bool, marked: bool, doubtful: bool, heading: bool):
         self.parts: list[str] = []
-        self.linked, self.inside, self.marked, self.heading, self.text = 0, inside, marked, heading, ""
+        self.linked, self.inside, self.marked, self.doubtful, self.heading, self.text = 0, inside, marked, doubtful, heading, ""
+
+    def close(self) -> None:
+        self.text = SPACE.sub(" ", "".join(self.parts)).strip()
+        wide = 0 if self.text.isascii() else len(WIDE.findall(self.text))
+        words = LETTERS.findall(self.text.lower())
+        self.size = len(self.text) + (DENSE - 1) * wide
+        self.words = max(1, len(words), self.size // 8)
+        self.stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+class Open:
+    """The open elements, with what is counted over them; an end tag costs what it closes."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, bool, bool, bool]] = []  # name, silent, marks boilerplate, marks it unless prose
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # those that end a paragraph, and paragraphs
+        self.silent = self.marked = self.doubtful = self.inside = self.links = self.headings = 0
+
+    def enter(self, name: str, silent: bool, marks: bool, doubts: bool) -> None:
+        self.at.setdefault(name, []).append(len(self.tags))
+        if name in BLOCKS:
+            self.blocks.append(len(self.tags))
+        self.tags.append((name, silent, marks, doubts))
+        self._count(name, silent, marks, doubts, 1)
+
+    def _count(self, name: str, silent: bool, marks: bool, doubts: bool, by: int) -> None:
+        self.silent += by * silent
+        self.marked += by * marks
+        self.doubtful += by * doubts
+        self.inside += by * (name in INSIDE)
+        self.links += by * (name == "a")
+        self.headings += by * (name in HEADINGS)
+
+    def leave(self, to: int) -> None:
+        while len(self.tags) > to:
+            tag = self.tags.pop()
+            self.at[tag[0]].pop()
+            if tag[0] in BLOCKS:
+                self.blocks.pop()
+            self._count(*tag, -1)
+
+    def end(self, name: str) -> None:
+        if self.at.get(name):
+            self.leave(self.at[name][-1])
+
+    def end_paragraph(self, name: str) -> None:
+        """An open paragraph, with what is open in it, ends where a block begins; so does a list item at the next one."""
+        if self.blocks and self.tags[self.blocks[-1]][0] in (("p", "li") if name == "li" else ("p",)):
+            self.leave(self.blocks[-1])
+
+
+def _said(attributes: str) -> tuple[bool, str]:
+    """(not shown, class, id and role) of a tag."""
+    hidden, said = False, []
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id", "role"):
+            said.append(value)
+        hidden |= name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and bool(UNSHOWN.search(value))
+    return hidden, " ".join(said)
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order, with white space turned to single spaces and character references decoded."""
+    """The page's blocks of text in order, with white space turned to single spaces and character references decoded. Takes time in proportion to the page."""
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, silent, marks boilerplate
-    silent = marked = inside = links = 0
+    around = Open()
     now: Block | None = None
     at = 0
 
     def add(raw: str) -> None:
         nonlocal now
-        if silent or not raw:
+        if around.silent or not raw:
             return
         text = html.unescape(raw) if "&" in raw else raw
         if now is None:
             if not text.strip():
                 return
-            now = Block(inside > 0, marked > 0, bool(open_tags) and any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in open_tags[-3:]))
+            now = Block(around.inside > 0, around.marked > 0, around.doubtful > 0, around.headings > 0)
         now.parts.append(text)
-        if links:
+        if around.links:
             now.linked += len(text.strip())
 
     def close() -> None:
         nonlocal now
         if now is not None:
-            now.text = SPACE.sub(" ", "".join(now.parts)).strip()
+            now.close()
             if now.text:
                 found.append(now)
             now = None
 
-    def leave(to: int) -> None:
-        nonlocal silent, marked, inside, links
-        for name, quiet, marks in open_tags[to:]:
-            silent -= quiet
-            marked -= marks
-            inside -= name in INSIDE
-            links -= name == "a"
-        del open_tags[to:]
-
     while (m := TAG.search(page, at)) is not None:
         add(page[at : m.start()])
         at = m.end()
@@ -109,27 +170,17 @@ def blocks(page: str) -> list[Block]:
         if name == "br" and now is not None:
             now.parts.append(" ")
         if m[1]:
-            to = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == name), None)
-            if to is not None:
-                leave(to)
+            around.end(name)
             continue
         if name in VOID or m[3].endswith("/"):
             continue
-        if name in PARAGRAPH_ENDS or name == "p":
-            # An open paragraph, with what is open in it, ends where a block begins; so does a list item at the next one.
-            ends = ("p", "li") if name == "li" else ("p",)
-            to = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] in ends or open_tags[i][0] in PARAGRAPH_ENDS), None)
-            if to is not None and open_tags[to][0] in ends:
-                leave(to)
-        said = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m[3])) if m[3] else ""
-        quiet = name in SILENT or bool(m[3] and HIDDEN.search(m[3]))
+        if name in BLOCKS:
+            around.end_paragraph(name)
+        hidden, said = _said(m[3]) if m[3] else (False, "")
+        named = bool(said) and name not in ("html", "body", *INSIDE)
         # A page's own <header> is boilerplate, an article's is its heading.
-        marks = (name in OUTSIDE and not (name == "header" and inside)) or bool(name not in ("html", "body", *INSIDE) and said and MARKED.search(said))
-        open_tags.append((name, quiet, marks))
-        silent += quiet
-        marked += marks
-        inside += name in INSIDE
-        links += name == "a"
+        marks = name in OUTSIDE and not (name == "header" and around.inside) or named and bool(MARKED.search(said))
+        around.enter(name, name in SILENT or hidden, marks, named and bool(DOUBTFUL.search(said)))
         if name in RAW_END:
             end = RAW_END[name].search(page, at)
             at = end.start() if end else len(page)
@@ -138,36 +189,51 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def decide(block: Block) -> str:
+def listed(found: list[Block]) -> bool:
+    """Whether the page's language is one with a list of stop words."""
+    own = [b for b in found if not b.marked]
+    words = sum(b.words for b in own)
+    return sum(b.stops * b.words for b in own) >= LISTED * words
+
+
+def decide(block: Block, by_stops: bool = True) -> str:
     """Pass one: good, bad, near (rather long or full of stop words) or short (ambiguous; inside, also one with few stop words)."""
-    text = block.text
-    if block.marked or block.linked > MOST_LINKS * len(text):
+    if block.marked or block.linked > MOST_LINKS * len(block.text):
         return "bad"
-    if "©" in text and len(text) < LONG:
+    if "©" in block.text and block.size < LONG:
         return "bad"
-    words = text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'«»") in STOP_WORDS for w in words) / len(words)
-    if len(text) < SHORT:
+    if by_stops:
+        many, few = block.stops >= MANY_STOPS, block.stops >= FEW_STOPS
+    else:
+        ends = len(SENTENCE.findall(block.text))
+        many, few = ends * SENTENCE_WORDS >= block.words, ends > 0
+    if block.doubtful:
+        return "good" if many and block.size > LONG and not block.linked else "bad"
+    if block.size < SHORT:
         return "bad" if block.linked and not block.inside else "short"
-    if stops >= MANY_STOPS:
-        return "good" if len(text) > LONG or block.inside else "near"
-    return "near" if stops >= FEW_STOPS else "short" if block.inside else "bad"
+    if many:
+        return "good" if block.size > LONG or block.inside else "near"
+    return "near" if few else "short" if block.inside else "bad"
 
 
 def main_text(page: str | None) -> str:
     """The main blocks joined by line ends; empty for null, for pages without text and for those without main text."""
     found = blocks(page or "")
-    labels = [decide(b) for b in found]
+    by_stops = listed(found)
+    labels = [decide(b, by_stops) for b in found]
     if any(b.inside for b in found):
-        good = [(b.inside, len(b.text)) for b, x in zip(found, labels, strict=True) if x == "good"]
+        good = [(b.inside, b.size) for b, x in zip(found, labels, strict=True) if x == "good"]
         # A page that names its article has none of it outside; one whose <article> is a comment or a teaser doesn't name it.
         named = any(b.inside and not b.marked for b in found) and sum(n for i, n in good if i) >= LEAST_INSIDE * sum(n for _, n in good)
         for b in found:
             b.marked |= named and not b.inside
             b.inside &= named
-        labels = [decide(b) for b in found]
+        labels = [decide(b, by_stops) for b in found]
+    if "good" not in labels:
+        # A page of short blocks alone: the best it has is its text.
+        labels = ["good" if x == "near" else x for x in labels]
     # Marked blocks inside, as comments and forms, say nothing about the article around them.
-    sure = [x if x in ("good", "bad") and not (b.inside and b.marked) else None for b, x in zip(found, labels, strict=True)]
+    sure = [x if x in ("good", "bad") and not (b.inside and (b.marked or b.doubtful)) else None for b, x in zip(found, labels, strict=True)]
 
     def nearest(order: range) -> list[str | None]:
         last, was_inside, out = None, False, [None] * len(sure)
@@ -182,9 +248,10 @@ def main_text(page: str | None) -> str:
     for i, b in enumerate(found):
         around = {before[i] or "bad", after[i] or "bad"}
         if labels[i] == "near":
-            good = "good" in around or around == {"bad"} and before[i] is None and after[i] is None
+            good = "good" in around or before[i] is None and after[i] is None
         elif labels[i] == "short":
-            good = b.inside and "bad" not in (before[i], after[i]) or around == {"good"}
+            # A heading goes with what follows it.
+            good = b.inside and "bad" not in (before[i], after[i]) or around == {"good"} or b.heading and after[i] == "good"
         else:
             good = labels[i] == "good"
         if good:
@@ -195,8 +262,9 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per row of ``pages`` (``page_id``, ``url``, ``html``).
 
-    A null html is empty. Truncated and unclosed markup is read as far as it goes. Repeated rows each appear; an empty
-    table gives an empty result.
+    A null html is empty. Truncated and unclosed markup is read as far as it goes, in time that grows with the page alone.
+    A block as far from neighbours of either kind counts both. Repeated rows and rows that share a page_id or have none
+    each appear; an empty table gives an empty result. Further columns of ``pages``, whatever their names, are not read.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
