@@ -3,11 +3,11 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import types as T
 
-FIELDS = [("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()), ("length", T.StringType()), ("_salt", T.StringType())]
-SCHEMA = T.StructType([T.StructField(n, t) for n, t in FIELDS])
+#: Columns whose names clash with those that operators use inside or return.
+EXTRA = ("length", "_salt", "score", "evidence", "held_out", "predicted", "removed", "_doc", "_key", "parts", "whole", "row", "place", "repeated", "share", "fp", "size", "s", "a.b")
 
-#: Columns whose names clash with those that operators use inside.
-EXTRA = ("length", "_salt")
+FIELDS = [("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()), *((c, T.StringType()) for c in EXTRA)]
+SCHEMA = T.StructType([T.StructField(n, t) for n, t in FIELDS])
 
 
 @pytest.fixture(scope="session")
@@ -15,7 +15,7 @@ def docs(spark):
     """Make documents of (doc_id, text[, lang, source]), with further columns of clashing names."""
 
     def make(rows):
-        full = [(i, t, *(rest or ("en", "s")), None if t is None else len(t), "clash", None) for i, t, *rest in rows]
+        full = [(i, t, *(rest or ("en", "s")), None if t is None else len(t), *(None if c == "_salt" else f"own {c}" for c in EXTRA)) for i, t, *rest in rows]
         return spark.createDataFrame(full, SCHEMA).repartition(3)
 
     return make
