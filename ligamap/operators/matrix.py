@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,11 +54,30 @@ def _at(prefix: str, index: str) -> Column:
     return F.col(f"{prefix}p0") + inside
 
 
+#: Ranges of stripes that a scan is bounded by.
+MOST_RANGES = 32
+
+
+def ranges(stripes: list[int], most: int = MOST_RANGES) -> list[tuple[int, int]]:
+    """Up to ``most`` closed ranges that hold all stripes and skip the widest gaps between them."""
+    stripes = sorted(set(stripes))
+    gaps = sorted(range(1, len(stripes)), key=lambda i: stripes[i - 1] - stripes[i])[: most - 1]
+    cuts = sorted(i for i in gaps if stripes[i] - stripes[i - 1] > 1)
+    return [(stripes[a], stripes[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(stripes)], strict=True)] if stripes else []
+
+
+def _within(column: str, stripes: list[int]) -> Column:
+    found = F.lit(False)
+    for a, b in ranges(stripes):
+        found |= F.col(column) == a if a == b else F.col(column).between(a, b)
+    return found
+
+
 def cells(a: Assembly, order: int, units: str = "pixels", window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """(p, q, v) of the symmetric map in layout positions; with ``window`` (r0, r1, c0, c1) the cells of it alone.
 
-    The stored triangle is read once. Stripes outside the window are dropped by the joins with the window's units, and
-    the units' stripes bound the scan.
+    The stored triangle is read once. A window's stripes (as many as it has bins, over the edge, and contigs) are fetched
+    first and bound the scan as literals, so that a dataset's other row groups are skipped.
     """
     contact = a.contact.where(F.col("res_order") == order)
     units_at = placed_atus(a, order, units)
@@ -64,6 +85,10 @@ def cells(a: Assembly, order: int, units: str = "pixels", window: tuple[int, int
         r0, r1, c0, c1 = window
         near = ((F.col("p0") < r1) & (F.col("p1") > r0)) | ((F.col("p0") < c1) & (F.col("p1") > c0))
         units_at = units_at.where(near)
+        touched = units_at.groupBy("stripe_id").agg(*(F.max((F.col("p0") < hi) & (F.col("p1") > lo)).alias(n) for n, lo, hi in (("row", r0, r1), ("col", c0, c1)))).collect()
+        rows, cols = ([t["stripe_id"] for t in touched if t[n]] for n in ("row", "col"))
+        # The stored triangle answers both orders of stripes.
+        contact = contact.where((_within("row_stripe", rows) & _within("col_stripe", cols)) | (_within("row_stripe", cols) & _within("col_stripe", rows)))
     units_at = small(units_at)
     sides = [units_at.select(*(F.col(c).alias(f"{x}_{c}") for c in units_at.columns)) for x in ("x", "y")]
     on_x = (F.col("row_stripe") == F.col("x_stripe_id")) & (F.col("r") >= F.col("x_start")) & (F.col("r") < F.col("x_end"))
@@ -111,7 +136,8 @@ def dense_rows(dense_cells: DataFrame) -> DataFrame:
 def range_weights(a: Assembly, order: int, start: int, end: int, units: str = "pixels") -> DataFrame:
     """(i, weight) of the positions of [start, end) that the layout has, counted from ``start``."""
     near = placed_atus(a, order, units).where((F.col("p0") < end) & (F.col("p1") > start))
-    met = a.stripe_weight.where(F.col("res_order") == order).withColumnRenamed("off", "t").join(small(near), "stripe_id").where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")))
+    stripes = [r["stripe_id"] for r in near.select("stripe_id").distinct().collect()]  # the window's
+    met = a.stripe_weight.where((F.col("res_order") == order) & _within("stripe_id", stripes)).withColumnRenamed("off", "t").join(small(near), "stripe_id").where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")))
     return met.select((_at("", "t") - start).alias("i"), "weight").where((F.col("i") >= 0) & (F.col("i") < end - start))
 
 
@@ -130,23 +156,25 @@ def unique_cells(contact: DataFrame) -> DataFrame:
     return contact.groupBy("res_order", "row_stripe", "col_stripe", "r", "c").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def tile_stats(a: Assembly, order: int, edge: int, units: str = "pixels") -> DataFrame:
-    """(tile_row, tile_col, nnz, min, max, sum) over the whole symmetric map.
+def tile_stats(a: Assembly, orders: list[int], edge: int, units: str = "pixels") -> DataFrame:
+    """(res_order, tile_row, tile_col, nnz, min, max, sum) over the whole symmetric map of each order, in one pass over the contacts.
 
     The stored triangle is summed first by the tile of one orientation; the few tile rows are mirrored afterwards.
     """
-    contact = a.contact.where(F.col("res_order") == order)
-    at = small(placed_atus(a, order, units))
+    contact = a.contact.where(F.col("res_order").isin(orders))
+    placed = [placed_atus(a, order, units).withColumn("res_order", F.lit(order)) for order in orders]
+    at = small(reduce(DataFrame.unionByName, placed))
     sides = [at.select(*(F.col(c).alias(f"{x}_{c}") for c in at.columns)) for x in ("x", "y")]
     on_x = (F.col("row_stripe") == F.col("x_stripe_id")) & (F.col("r") >= F.col("x_start")) & (F.col("r") < F.col("x_end"))
     on_y = (F.col("col_stripe") == F.col("y_stripe_id")) & (F.col("c") >= F.col("y_start")) & (F.col("c") < F.col("y_end"))
-    met = contact.join(sides[0], on_x).join(sides[1], on_y).select(_at("x_", "r").alias("p"), _at("y_", "c").alias("q"), "v")
+    on_x, on_y = (on & (F.col("res_order") == F.col(f"{x}_res_order")) for x, on in (("x", on_x), ("y", on_y)))
+    met = contact.join(sides[0], on_x).join(sides[1], on_y).select("res_order", _at("x_", "r").alias("p"), _at("y_", "c").alias("q"), "v")
     tile = [F.expr(f"{x} div {edge}") for x in ("p", "q")]
     diagonal = F.col("p") == F.col("q")
-    half = met.groupBy(tile[0].alias("x"), tile[1].alias("y"), diagonal.alias("d")).agg(F.count("*").alias("nnz"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("v").alias("s"))
+    half = met.groupBy("res_order", tile[0].alias("x"), tile[1].alias("y"), diagonal.alias("d")).agg(F.count("*").alias("nnz"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("v").alias("s"))
     mirrored = F.when(F.col("d"), F.array(F.struct("x", "y"))).otherwise(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
-    both = half.select(F.explode(mirrored).alias("t"), "nnz", "lo", "hi", "s")
-    return both.groupBy(F.col("t.x").alias("tile_row"), F.col("t.y").alias("tile_col")).agg(F.sum("nnz").alias("nnz"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("s").alias("sum"))
+    both = half.select("res_order", F.explode(mirrored).alias("t"), "nnz", "lo", "hi", "s")
+    return both.groupBy("res_order", F.col("t.x").alias("tile_row"), F.col("t.y").alias("tile_col")).agg(F.sum("nnz").alias("nnz"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("s").alias("sum"))
 
 
 __all__ = ["atus_for_range", "block_directory", "cells", "coalesced", "dense", "dense_rows", "intersection", "mapped", "placed_atus", "range_weights", "submatrix", "tile_stats", "total", "unique_cells"]

@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Requests of a range.
+RANGE_ROWS = 100_000
+
+
 def gated(requests: DataFrame) -> DataFrame:
     """``requests`` (request_id, version) in order of request_id -> with ``accepted``: no earlier version is higher.
 
     A running maximum is sequential. It is taken in ranges of request_id and their maxima are run on, so that no task
-    holds all requests.
+    holds all requests. Ranges are of equal width, which request ids given in turn fill evenly.
     """
-    dealt = requests.repartitionByRange("request_id").withColumn("_range", F.spark_partition_id())
+    least, most, n = requests.agg(F.min("request_id"), F.max("request_id"), F.count("*")).first()
+    width = max(1, (((most or 0) - (least or 0) + 1) * RANGE_ROWS) // max(1, n))
+    dealt = requests.withColumn("_range", F.floor((F.col("request_id") - F.lit(least or 0)) / width))
     heads = dealt.groupBy("_range").agg(F.max("version").alias("_high"))
     before = heads.select(F.col("_range"), F.max("_high").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     own = F.max("version").over(Window.partitionBy("_range").orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1))
@@ -28,15 +34,13 @@ def gated_stream(requests: DataFrame) -> DataFrame:
     """The same over a stream of (key, request_id, version): each key has its own newest version, kept as state."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        high = state.get[0] if state.exists else None
-        out = []
-        for frame in frames:
-            for row in frame.sort_values("request_id").itertuples():
-                accepted = high is None or row.version >= high
-                high = int(row.version) if accepted else high
-                out.append((key[0], row.request_id, row.version, accepted))
-        if high is not None:
-            state.update((high,))
-        yield pd.DataFrame(out, columns=["key", "request_id", "version", "accepted"])
+        frame = pd.concat(list(frames)).sort_values("request_id", kind="stable")
+        newest = frame["version"].cummax()
+        before = newest.shift(fill_value=frame["version"].iloc[0])
+        if state.exists:
+            newest, before = newest.clip(lower=state.get[0]), before.clip(lower=state.get[0])
+            before.iloc[0] = state.get[0]
+        state.update((int(newest.iloc[-1]),))
+        yield frame[["key", "request_id", "version"]].assign(accepted=frame["version"] >= before)
 
     return requests.groupBy("key").applyInPandasWithState(step, "key string, request_id bigint, version bigint, accepted boolean", "high bigint", "append", "NoTimeout")

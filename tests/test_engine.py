@@ -15,10 +15,12 @@ from ligamap.operators import layout, matrix, scaffolds, tiles
 from ligamap.operators.split import split
 from ligamap.plans.service import Service, Stale
 from ligamap.schema import SCHEMAS, Assembly
-from ligamap.sources import agp, container, files
+from ligamap.sources import agp, arrays, container, files
+from ligamap.sources.derived import as_arrays
 from ligamap.streaming.gate import gated, gated_stream
 
 EDGE = 4
+SCHEMA_NAMES = {name: [c.split()[0] for c in schema.split(", ")] for name, schema in SCHEMAS.items()}
 RES = {0: 0, 1: 10, 2: 40}
 
 
@@ -250,6 +252,62 @@ def test_cells_from_vectors(spark):
     assert matrix.unique_cells(contact).count() == 0
 
 
+def test_a_tile_of_a_dataset_reads_its_stripes_alone(spark, tmp_path, capsys):
+    a, full = make(spark, [400, 300, 500], order=[2, 0, 1], dirs=[1, 0, 1])
+    container.save(a, str(tmp_path / "set"))
+    opened = container.load(spark, str(tmp_path / "set"))
+    tile = matrix.submatrix(opened, 1, 0, 6, 8, 14)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    tile.explain("formatted")
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = [line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line and "row_stripe" in line]
+    assert pushed and all("EqualTo(row_stripe" in line or "GreaterThanOrEqual(row_stripe" in line for line in pushed)
+    assert all("EqualTo(col_stripe" in line or "GreaterThanOrEqual(col_stripe" in line for line in pushed)
+    assert sorted(map(tuple, tile.collect())) == sorted(map(tuple, matrix.submatrix(a, 1, 0, 6, 8, 14).collect()))
+    assert matrix.submatrix(opened, 1, 900, 910, 900, 910).count() == 0
+
+
+def test_ranges_hold_every_stripe():
+    rng = random.Random(5)
+    for _ in range(50):
+        stripes = rng.sample(range(500), rng.randrange(60))
+        found = matrix.ranges(stripes, 7)
+        assert len(found) <= 7 and all(sum(a <= s <= b for a, b in found) == 1 for s in stripes)
+    assert matrix.ranges([3, 4, 5, 9]) == [(3, 5), (9, 9)] and matrix.ranges([]) == []
+
+
+def test_import_of_arrays(spark, tmp_path):
+    a, full = make(spark, [400, 305, 5, 500], dirs=[1, 0, 1, 0], order=[2, 0, 3, 1], turned={(1, 0, 1), (1, 3, 0)}, shown=[1, 1, 0, 1])
+    tables = as_arrays(a, 3)
+    for name, frame in tables.items():
+        frame.write.parquet(str(tmp_path / name))
+    read = arrays.read(spark, str(tmp_path))
+    assert read["dense_blocks"].count() > 0 and read["coo"].count() > 0
+    b = arrays.assemble(read)
+    for name in ("resolution", "contig", "contig_res", "contig_atu", "stripe_weight", "contact", "layout"):
+        one, two = getattr(a, name), getattr(b, name)
+        assert sorted(map(tuple, one.select(*SCHEMA_NAMES[name]).collect())) == sorted(map(tuple, two.select(*SCHEMA_NAMES[name]).collect())), name
+    assert b.edge == EDGE and b.scaffold.count() == 0
+
+
+def test_endpoints_that_edit(spark, tmp_path):
+    a, _ = make(spark, [400, 300, 500, 200], scaffold=[(7, "given", 500, 0, 700)])
+    container.save(a, str(tmp_path / "set"))
+    service = Service(spark, str(tmp_path))
+    service.open("set")
+    order = lambda info: [c["contigId"] for c in info["contigDescriptors"]]
+    scaffold = lambda info: {s["scaffoldName"]: (s["scaffoldBordersBP"]["startBP"], s["scaffoldBordersBP"]["endBP"]) for s in info["scaffoldDescriptors"]}
+    assert scaffold(service.assembly_info()) == {"given": (0, 700)}
+    assert scaffold(service.ungroup_contigs_from_scaffold(10, 20)) == {}
+    assert scaffold(service.group_contigs_into_scaffold(410, 710, "mine", 30)) == {"mine": (400, 1200)}
+    said = service.get_agp_for_assembly()
+    (tmp_path / "said.agp").write_text(said)
+    assert order(service.move_selection_range(0, 400, 1400)) == [1, 2, 3, 0]
+    assert order(service.move_selection_to_debris(810, 990)) == [1, 2, 0, 3]
+    back = service.load_agp("said.agp")
+    assert order(back) == [0, 1, 2, 3] and scaffold(back)["mine"] == (400, 1200) and service.get_agp_for_assembly() == said
+
+
 def test_gate(spark):
     rng = random.Random(3)
     rows = [(i, rng.randrange(50) + i // 4) for i in range(300)]
