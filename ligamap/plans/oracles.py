@@ -253,7 +253,30 @@ UNION ALL SELECT res_order, CAST(contig_id AS INT), CAST(row_number() OVER (PART
     "version_gate": "SELECT event_id, user_id AS version, coalesce(user_id >= max(user_id) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS accepted FROM events",
 }
 
-_REVERSED = {"submatrix_reversed_atu", "atus_for_range"}
+_REVERSED = {"submatrix_reversed_atu", "atus_for_range", "imported_atus", "imported_submatrix"}
+
+_MAPS = """SELECT contig_id, '{' || string_agg('"' || bp || '":' || length_bins, ',' ORDER BY bp) || '}' AS bins,
+  '{' || string_agg('"' || bp || '":' || shown, ',' ORDER BY bp) || '}' AS shown FROM contig_res JOIN res USING (res_order) WHERE res_order > 0 GROUP BY contig_id"""
+
+BODIES |= {
+    "contig_maps": _MAPS,
+    "assembly_json": f"""SELECT 'contig' AS kind, CAST(ord AS BIGINT) AS place, '{{"contigId":' || contig_id || ',"contigName":"' || name || '","contigDirection":' || dir || ',"contigLengthBp":' || length_bp
+  || ',"contigLengthBins":' || bins || ',"contigPresenceAtResolution":' || shown || '}}' AS json FROM layout JOIN contig USING (contig_id) JOIN ({_MAPS}) USING (contig_id)
+UNION ALL SELECT 'scaffold', start_bp, '{{"scaffoldId":' || scaffold_id || ',"scaffoldName":"' || name || '","spacerLength":' || spacer || ',"scaffoldBordersBP":{{"startBP":' || start_bp || ',"endBP":' || end_bp || '}}}}' FROM scaffold""",
+    "opened_json": """SELECT '{"resolutions":[' || string_agg(bp, ',' ORDER BY bp DESC) || '],"pixelResolutions":[' || string_agg(CAST(bp / 10.0::DOUBLE AS VARCHAR), ',' ORDER BY bp DESC)
+  || '],"tileSize":64,"matrixSizesBins":[' || string_agg(n, ',' ORDER BY bp DESC) || ']}' AS json FROM (SELECT bp, CAST(sum(length_bins) AS BIGINT) AS n FROM contig_res JOIN res USING (res_order) WHERE res_order > 0 GROUP BY bp)""",
+    "tile_raster": f"SELECT i, string_agg(printf('%02x%02x%02x%02x', red, green, blue, alpha), '' ORDER BY j) AS pixels FROM ({BODIES['tile_rgba']}) GROUP BY i",
+    "resolutions_discovered": "SELECT CAST(res_order AS INT) AS res_order, CAST(bp AS BIGINT) AS bp_resolution FROM res",
+    "block_edges": "SELECT * FROM (VALUES ('named', 128), ('none', 256)) x(kind, edge)",
+    "listed_files": "SELECT * FROM (VALUES ('part.parquet', false), ('lineitem.parquet', false), ('events.parquet', false)) x(path, is_agp)",
+    "colours_parsed": "SELECT * FROM (VALUES (0, 0, 96, 0, 255), (1, 255, 0, 17, 127), (2, 1, 2, 3, 63)) x(k, red, green, blue, alpha)",
+    "imported_atus": 'SELECT res_order, contig_id, seq, stripe_id, "start", "end", dir, off FROM contig_atu',
+    "imported_contacts": "SELECT res_order, CAST(lo // 64 AS INT) AS row_stripe, CAST(hi // 64 AS INT) AS col_stripe, CAST(lo % 64 AS INT) AS r, CAST(hi % 64 AS INT) AS c, v FROM contact WHERE res_order = 1",
+    "imported_layout": "SELECT * FROM layout",
+    "imported_presence": "SELECT * FROM contig_res",
+    "imported_weights": "SELECT res_order, CAST(bin // 64 AS INT) AS stripe_id, CAST(bin % 64 AS INT) AS off, round(weight, 6) AS weight FROM weights",
+    "imported_submatrix": BODIES["submatrix_symmetric"],
+}
 
 BODIES["atus_coalesced"] = f"""
 SELECT CAST(run AS INT) AS seq, stripe_id, CAST(min("start") AS INT) AS "start", CAST(max("end") AS INT) AS "end", dir FROM (

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ligamap.functions import units
-from ligamap.functions.signal import Gradient, Options
+from ligamap.functions.signal import Gradient, Options, parse_colour
 from ligamap.operators import layout, matrix, scaffolds, tiles
 from ligamap.operators.split import split
 from ligamap.plans import documents
 from ligamap.schema import Assembly
-from ligamap.sources import agp
-from ligamap.sources.derived import EDGE, derive
+from ligamap.sources import agp, arrays, files
+from ligamap.sources.derived import EDGE, as_arrays, derive
 from ligamap.streaming.gate import gated
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,15 +188,67 @@ def tile_rgba(s, d):
 
 
 def tile_stats(s, d):
-    return matrix.tile_stats(derive(s, d), 1, EDGE)
+    return matrix.tile_stats(derive(s, d), [1], EDGE).drop("res_order")
 
 
 def tile_grid_coarse(s, d):
-    a, found = derive(s, d, contact_orders=(1, 2, 3)), None
-    for order in (1, 2, 3):
-        at = matrix.tile_stats(a, order, EDGE).select(F.lit(order).alias("res_order"), "tile_row", "tile_col", "sum")
-        found = at if found is None else found.unionByName(at)
-    return found
+    return matrix.tile_stats(derive(s, d, contact_orders=(1, 2, 3)), [1, 2, 3], EDGE).select("res_order", "tile_row", "tile_col", "sum")
+
+
+def tile_raster(s, d):
+    """The pixels of a tile, a row of hexadecimal RGBA for each line."""
+    pixel = F.format_string("%02x%02x%02x%02x", "red", "green", "blue", "alpha")
+    lines = tile_rgba(s, d).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", pixel.alias("x")))).alias("line"))
+    return lines.select("i", F.array_join(F.col("line.x"), "").alias("pixels"))
+
+
+def resolutions_discovered(s, d):
+    """Resolutions among the names of groups, some of which aren't numbers."""
+    names = derive(s, d).resolution.select(F.col("bp_resolution").cast("string").alias("name")).union(s.createDataFrame([("attributes",), ("1e3",), ("-5",), ("0",)], "name string"))
+    return units.discovered(names).select(F.col("res_order").cast("int").alias("res_order"), "bp_resolution")
+
+
+def block_edges(s, d):
+    named = s.createDataFrame([(1, 64), (2, None), (3, 128)], "res_order int, edge int")
+    return s.createDataFrame([("named", units.block_edge(named)), ("none", units.block_edge(named.where("edge > 999")))], "kind string, edge int")
+
+
+def listed_files(s, d):
+    """Files by suffix in a folder of the same names as the tables."""
+    return files.listed(s, d, "all").where("path in ('part.parquet', 'lineitem.parquet', 'events.parquet')").select("path", F.lower("path").endswith(".agp").alias("is_agp"))
+
+
+def colours_parsed(s, d):
+    said = ["rgba(0,96,0,1)", " rgba( 255 , 0,17,0.5) ", "rgba(1,2,3,0,25)"]
+    return s.createDataFrame([(k, *parse_colour(c)) for k, c in enumerate(said)], "k int, red int, green int, blue int, alpha int")
+
+
+def _imported(s, d) -> Assembly:
+    return arrays.assemble(as_arrays(derive(s, d, reversed_some=True), EDGE * EDGE // 50))
+
+
+def imported_atus(s, d):
+    return _imported(s, d).contig_atu
+
+
+def imported_contacts(s, d):
+    return _imported(s, d).contact
+
+
+def imported_layout(s, d):
+    return _imported(s, d).layout
+
+
+def imported_presence(s, d):
+    return _imported(s, d).contig_res
+
+
+def imported_weights(s, d):
+    return _imported(s, d).stripe_weight.select("res_order", "stripe_id", "off", F.round("weight", 6).alias("weight"))
+
+
+def imported_submatrix(s, d):
+    return matrix.submatrix(_imported(s, d), 1, *WINDOW)
 
 
 def append_contig(s, d):
@@ -264,7 +316,7 @@ def assembly_json(s, d):
 
 
 def contig_maps(s, d):
-    return documents.contig_maps(derive(s, d))
+    return documents.contig_maps(derive(s, d)).select("contig_id", F.to_json("bins").alias("bins"), F.to_json("shown").alias("shown"))
 
 
 def opened_json(s, d):
@@ -282,6 +334,8 @@ PLAIN = [
     atu_intersection, submatrix_symmetric, submatrix_asymmetric, submatrix_padded, submatrix_bins_vs_pixels, submatrix_dense_rows, submatrix_reversed_atu,
     range_weights, tile_apply_weights, tile_rgba, tile_stats, tile_grid_coarse, append_contig, scaffold_list, scaffold_at_bp, extend_borders, scaffolds_in_range,
     contigs_in_scaffolds, agp_export, agp_parse, agp_validate, agp_import_layout, agp_import_scaffolds, assembly_json, contig_maps, opened_json, version_gate,
+    tile_raster, resolutions_discovered, block_edges, listed_files, colours_parsed, imported_atus, imported_contacts, imported_layout, imported_presence, imported_weights,
+    imported_submatrix,
 ]
 
 

@@ -81,6 +81,39 @@ def contacts(lineitem: DataFrame, lengths: DataFrame, orders: list[int]) -> Data
     )
 
 
+def as_arrays(a: Assembly, dense_from: int) -> dict[str, DataFrame]:
+    """The tables of ``sources.arrays`` that hold this assembly; blocks of ``dense_from`` cells or more are dense, others sparse."""
+    orders = a.resolution.where("res_order > 0").select("res_order", F.col("bp_resolution").alias("bp"))
+    by_order = lambda frame: frame.join(F.broadcast(orders), "res_order").drop("res_order")
+    stripes = by_order(a.stripe_weight).groupBy("bp", F.col("stripe_id").alias("i")).agg(F.transform(F.sort_array(F.collect_list(F.struct("off", "weight"))), lambda x: x["weight"]).alias("bin_weights"))
+    atu = by_order(a.contig_atu)
+    numbered = atu.withColumn("atu_id", F.row_number().over(Window.partitionBy("bp").orderBy(F.desc("stripe_id"), "start")).cast("bigint") - 1)
+    listed = numbered.select("bp", (F.row_number().over(Window.partitionBy("bp").orderBy("contig_id", "seq")) - 1).cast("bigint").alias("i"), "contig_id", "atu_id")
+    counts = stripes.groupBy("bp").agg(F.count("*").alias("n"))
+    cell = by_order(a.contact).join(F.broadcast(counts), "bp").withColumn("block", F.col("row_stripe") * F.col("n") + F.col("col_stripe"))
+    sizes = cell.groupBy("bp", "block").agg(F.count("*").alias("length")).withColumn("full", F.col("length") >= dense_from)
+    before = Window.partitionBy("bp", "full").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.withColumn("offset", F.when(F.col("full"), -F.count("*").over(before)).otherwise(F.sum("length").over(before) - F.col("length")))
+    placed = cell.join(sizes.select("bp", "block", "full", "offset"), ["bp", "block"])
+    inside = F.row_number().over(Window.partitionBy("bp", "block").orderBy("r", "c")) - 1
+    grid = F.expr(f"transform(sequence(0, {a.edge - 1}), r -> transform(sequence(0, {a.edge - 1}), c -> coalesce(m[r * {a.edge} + c], 0L)))")
+    full = placed.where("full").groupBy("bp", (-F.col("offset") - 1).alias("i")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("r") * a.edge + F.col("c"), "v"))).alias("m"))
+    names = orders.select(F.col("bp").cast("string").alias("name"), F.lit(a.edge).alias("edge"))
+    others = a.contig.sparkSession.createDataFrame([("attributes", None)], "name string, edge int")
+    info = a.contig.join(a.layout.select("contig_id", F.col("dir").alias("direction")), "contig_id").join(a.layout.select((F.col("ord") - 1).alias("at"), F.col("contig_id").alias("ordered_contig_id")), F.col("contig_id") == F.col("at"))
+    return {
+        "groups": names.unionByName(others),
+        "contig_info": info.select(F.col("contig_id").alias("i"), "name", "length_bp", "direction", "ordered_contig_id"),
+        "contigs": by_order(a.contig_res).select("bp", F.col("contig_id").alias("i"), "length_bins", F.col("shown").alias("hide_type")),
+        "atl": listed,
+        "basis_atu": numbered.select("bp", F.col("atu_id").alias("i"), "stripe_id", "start", "end", "dir"),
+        "stripes": stripes,
+        "blocks": sizes.select("bp", F.col("block").cast("bigint").alias("i"), "length", "offset"),
+        "coo": placed.where("not full").select("bp", (F.col("offset") + inside).cast("bigint").alias("i"), "r", "c", "v"),
+        "dense_blocks": full.select("bp", "i", grid.alias("cells")),
+    }
+
+
 def derive(spark: SparkSession, sf_dir: str, reversed_some: bool = False, contact_orders: tuple[int, ...] = (1,)) -> Assembly:
     """The derived assembly; everything is lazy. ``contact_orders`` are the orders whose contacts are made."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice")
