@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ligamap.llm.shared import carried, join_hot, materialize
 
@@ -150,7 +150,8 @@ def repeated_passages(keyed: DataFrame) -> DataFrame:
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    """(row, text, removed): ``docs`` as a struct, the text without repeated passages and these."""
+    """(row, removed): ``docs`` as a struct, with the text without repeated passages, and these."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
     doc, key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string")
     found = repeated_passages(docs.select(doc.alias("doc"), key.alias("key"), text.alias("text")))
     marked = carried(docs, doc=doc, key=key).join(found, ["doc", "key"], "left").select("row", "repeated")
@@ -160,22 +161,19 @@ def _cut(docs: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             texts, spans = [], []
-            for said, repeated in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            rows = batch.column(0)
+            for said, repeated in zip(rows.field("text").to_pylist(), batch.column(1).to_pylist(), strict=True):
                 kept, gone = cut_passages(said, repeated, gear) if repeated and said else (said, [])
                 texts.append(kept)
                 spans.append([{"start": a, "end": b} for a, b in gone])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(spans, kind)], names=["row", "text", "removed"])
+            own = [pa.array(texts, pa.string()) if f.name == "text" else rows.field(i) for i, f in enumerate(rows.type)]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(own, fields=list(rows.type)), pa.array(spans, kind)], names=["row", "removed"])
 
-    schema = StructType([marked.schema["row"], StructField("text", StringType()), StructField("removed", ArrayType(SPAN))])
-    return marked.select("row", F.col("row.text").cast("string").alias("text"), "repeated").mapInArrow(cut, schema)
-
-
-def _with_text(cut: DataFrame, docs: DataFrame) -> DataFrame:
-    own = F.col("row").withField("text", F.col("text"))
-    if "n_chars" in docs.columns:
-        counted = F.when(F.size("removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
-        own = own.withField("n_chars", counted)
-    return cut.select(own.alias("row"), "removed")
+    done = marked.mapInArrow(cut, StructType([marked.schema["row"], StructField("removed", ArrayType(SPAN))]))
+    if "n_chars" not in docs.columns:
+        return done
+    counted = F.when(F.size("removed") > 0, F.length("row.text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return done.select(F.col("row").withField("n_chars", counted).alias("row"), "removed")
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -187,11 +185,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     cut alike. ``n_chars`` is counted again where a text was cut. A column ``removed`` of the input gives way, others keep
     their names and values. Empty in, empty out. Digests have 64 bits.
     """
-    done = _with_text(_cut(docs), docs)
+    done = _cut(docs)
     return done.select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "removed"), "removed")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated passages cut; documents of which no word is left go. Columns may have any names."""
-    done = _with_text(_cut(docs), docs)
+    done = _cut(docs)
     return done.where((F.size("removed") == 0) | F.col("row.text").rlike(r"[^\x20\x09-\x0D]")).select("row.*")

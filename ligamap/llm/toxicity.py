@@ -175,7 +175,7 @@ class Scorer:
             own = [(d, y, t[t < most], c[t < most]) for d, y, t, c in rows]
             own = [(d, y, t, self.vectors.weights(t, c)) for d, y, t, c in own if len(t)]
             self.indexes.append(BlockMaxIndex(own, most) if own else None)
-        self.scored = Cache(self.score_counts, 20_000)
+        self.scored = Cache(self.score_counts, 2_000)
 
     def votes(self, numbers: np.ndarray, counts: np.ndarray, but: int | None = None) -> tuple[float, list[dict]]:
         """(share of the votes that are toxic, evidence). Texts without neighbours get the share of toxic labels."""
@@ -244,6 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], names=["doc_id", "toxic", "share"])
 
     voted = table.mapInArrow(own_votes, "doc_id long, toxic int, share double").toArrow()
+    known.destroy()  # else workers would hold this model beside the one with knots
     shares, said = (voted.column(i).to_numpy() for i in (2, 1))
     n = Counter(said.tolist())
     return model | {"knots": isotonic(shares, said, np.array([totals[y] / n[y] for y in said.tolist()]))}
@@ -265,10 +266,10 @@ def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         scorer = scorer_of(learnt.value)
         near = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
-            scored = [scorer.score(t) for t in batch.column(1).to_pylist()]
+            scored = [scorer.score(t) for t in batch.column(0).field("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in scored], pa.float64()), pa.array([e for _, e in scored], near)], names=["row", "score", "evidence"])
 
-    rows = carried(docs, text=F.col("text").cast("string"))
+    rows = carried(docs.withColumn("text", F.col("text").cast("string")))
     schema = StructType([rows.schema["row"], *SCORE])
     return rows.mapInArrow(scan, schema)
 
