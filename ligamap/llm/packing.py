@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ligamap.llm.shared import materialize, salts_for, with_prefix
+from ligamap.llm.shared import materialize, salts_for, sliced, with_prefix
 from ligamap.llm.vocab import WordEndIds
 
 CAPACITY = 2048
@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, wit
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = WordEndIds(vocabulary), END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 coded, start = ids.encode(text or "") + end, 0

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,17 @@ def carried(docs: DataFrame, **own: Column) -> DataFrame:
     return docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in own.items()))
 
 
+#: Rows that a Python worker turns into objects at a time.
+SLICE = 1024
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, SLICE at a time, so that a worker holds few texts as objects and gives its results away early."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 #: A key with at least one in so many of the rows is hot; there are at most that many hot keys, which bounds what is broadcast.
 HOT = 1000
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ligamap.llm.components import components
-from ligamap.llm.shared import carried, join_hot, materialize
+from ligamap.llm.shared import carried, join_hot, materialize, sliced
 
 RADIUS = 2
 WORDS = 3
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint of each row's whole text as a BIGINT of the same bits; a null text has no words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
@@ -120,7 +120,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     text = F.col("row.text").cast("string")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(fps)], names=["place", "doc_id", "key", "fp"])
 

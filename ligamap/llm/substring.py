@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from ligamap.llm.shared import carried, join_hot, materialize
+from ligamap.llm.shared import carried, join_hot, materialize, sliced
 
 #: Of each SPREAD places in turn where a chunk may end, the one of the least hash ends one.
 SPREAD = 8
@@ -104,7 +104,7 @@ def passage_digests(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear = _gear()
-        for batch in batches:
+        for batch in sliced(batches):
             ids, keys, at, digests = [], [], [], []
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 known = read(text or "", gear)
@@ -159,7 +159,7 @@ def _cut(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear = _gear()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in sliced(batches):
             texts, spans = [], []
             rows = batch.column(0)
             for said, repeated in zip(rows.field("text").to_pylist(), batch.column(1).to_pylist(), strict=True):

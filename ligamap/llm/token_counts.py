@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ligamap.llm.shared import sliced
 from ligamap.llm.vocab import BYTE_LEVEL, LONGEST_KEY, Cache, Ids
 
 #: Texts in the sample for the table, about, the most entries of the table and those counted at a time.
@@ -44,7 +45,7 @@ def frequent_counts(docs: DataFrame, vocabulary: str) -> dict[str, int]:
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(piece for piece in BYTE_LEVEL.findall(text) if len(piece) <= LONGEST_KEY)
                 if len(seen) > MOST_COUNTED:
@@ -69,7 +70,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(vocabulary, frequent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = [counts.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ligamap.llm.shared import sliced
 from ligamap.llm.vocab import BYTE_LEVEL
 
 #: Ids of a row, ids of documents that are packed together, the id that ends a document and the one that fills rows.
@@ -144,7 +145,7 @@ def packed_rows(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> D
                 columns = zip(*rows[at : at + 512], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for start, piece in split(ids(text or "") + end, capacity):
                     segments.append((doc, start, piece))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from ligamap.llm.shared import carried, materialize
+from ligamap.llm.shared import carried, materialize, sliced
 from ligamap.llm.vocab import Cache
 
 #: Labelled examples of each label in the sample that is learnt from, terms kept, and the share of terms found to tell the labels apart that may do so by chance.
@@ -27,6 +27,9 @@ EXAMPLES, TERMS, BY_CHANCE = 4096, 4096, 0.01
 #: Neighbours that vote, those named as evidence, examples of a block, and blocks that are searched first.
 NEIGHBOURS, EVIDENCE, BLOCK, FIRST_BLOCKS = 16, 3, 64, 4
 
+#: Words whose terms a worker keeps at hand.
+WORDS_KEPT = 50_000
+
 #: Lengths of word beginnings that are terms beside the words themselves: inflected and compounded forms share them.
 STEMS = (4, 5, 6)
 
@@ -67,7 +70,7 @@ def ranked_terms(sample: DataFrame) -> tuple[list[str], np.ndarray, int]:
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[y][t] for t in names], pa.int64()) for y in (0, 1))], names=["term", "clean", "toxic"])
 
         seen = (Counter(), Counter())
-        for batch in batches:
+        for batch in sliced(batches):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[label].update({t for w in set(WORDS.findall((text or "").lower())) for t in terms_of(w)})
                 if len(seen[0]) + len(seen[1]) > 500_000:
@@ -95,7 +98,7 @@ class Vectors:
     def __init__(self, terms: list[str], idf: np.ndarray):
         number = {t: i for i, t in enumerate(terms)}
         self.idf = idf
-        self.words = Cache(lambda w: tuple(number[t] for t in terms_of(w) if t in number), 200_000)
+        self.words = Cache(lambda w: tuple(number[t] for t in terms_of(w) if t in number), WORDS_KEPT)
 
     def counts(self, text: str) -> tuple[tuple[int, int], ...]:
         found: Counter = Counter()
@@ -197,6 +200,12 @@ class Scorer:
         share, evidence = self.votes(pairs[:, 0], pairs[:, 1])
         return float(np.interp(share, *self.knots)) if self.knots else share, evidence
 
+    def forget(self) -> None:
+        """Empty the caches: the worker lives on with other tasks."""
+        for cache in (self.vectors.words, self.scored):
+            cache.clear()
+            cache.old = {}
+
     def score(self, text: str | None) -> tuple[float, list[dict]]:
         return self.scored[self.vectors.counts(text or "")]
 
@@ -223,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vectors(terms, idf)
-        for batch in batches:
+        for batch in sliced(batches):
             counts = [own.counts(t or "") for t in batch.column(2).to_pylist()]
             lists = [pa.array([[c[i] for c in x] for x in counts], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "terms", "counts"])
@@ -239,7 +248,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
 
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(known.value)
-        for batch in batches:
+        for batch in sliced(batches):
             shares = [scorer.votes(np.array(t, dtype=np.int64), np.array(c, dtype=np.int64), d)[0] for d, t, c in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], names=["doc_id", "toxic", "share"])
 
@@ -265,9 +274,10 @@ def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(learnt.value)
         near = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-        for batch in batches:
+        for batch in sliced(batches):
             scored = [scorer.score(t) for t in batch.column(0).field("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in scored], pa.float64()), pa.array([e for _, e in scored], near)], names=["row", "score", "evidence"])
+        scorer.forget()
 
     rows = carried(docs.withColumn("text", F.col("text").cast("string")))
     schema = StructType([rows.schema["row"], *SCORE])
