@@ -93,7 +93,7 @@ def ranked_terms(sample: DataFrame) -> tuple[list[str], np.ndarray, int]:
 
 
 class Vectors:
-    """Terms of texts, and TF-IDF vectors of unit length over them."""
+    """Terms of texts with their counts."""
 
     def __init__(self, terms: list[str], idf: np.ndarray):
         number = {t: i for i, t in enumerate(terms)}
@@ -107,9 +107,10 @@ class Vectors:
                 found[t] += n
         return tuple(sorted(found.items()))
 
-    def weights(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weights = (1 + np.log(counts)) * self.idf[numbers]
-        return weights / np.linalg.norm(weights)
+
+def unit_weights(idf: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    weights = (1 + np.log(counts)) * idf[numbers]
+    return weights / np.linalg.norm(weights)
 
 
 class BlockMaxIndex:
@@ -128,15 +129,22 @@ class BlockMaxIndex:
         self.examples, self.weights = examples[order].astype(np.int32), weights[order]
         # A term's postings in a block are those from `first` of (term, block) to that of the next block.
         cell = terms[order] * self.n_blocks + self.examples // BLOCK
-        self.first = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1)).astype(np.int64)
+        self.first = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1)).astype(np.int32)
         self.most = np.zeros(n_terms * self.n_blocks)
         np.maximum.at(self.most, cell, self.weights)
         self.most = self.most.reshape(n_terms, self.n_blocks)
 
+    @classmethod
+    def of_parts(cls, parts: dict) -> BlockMaxIndex:
+        """An index from its arrays (``vars`` of another), which cost nothing to take up."""
+        index = cls.__new__(cls)
+        vars(index).update(parts)
+        return index
+
     def cosines(self, numbers: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) over 0 in these blocks."""
         cells = (numbers[:, None] * self.n_blocks + blocks).ravel()
-        first = self.first[cells]
+        first = self.first[cells].astype(np.int64)
         n = self.first[cells + 1] - first
         at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
         shares = self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), n)
@@ -167,17 +175,9 @@ class Scorer:
     A text with telling terms is compared over these alone, since others would drown them; one without is compared over all terms.
     """
 
-    def __init__(self, terms: list[str], idf: np.ndarray, telling: int, rows: list[tuple], totals: dict[int, int], knots: tuple[np.ndarray, np.ndarray] | None = None):
-        self.vectors, self.telling, self.knots = Vectors(terms, idf), telling, knots
-        n = Counter(y for _, y, *_ in rows)
-        every = max(1.0, sum(totals.values()))
-        self.base = totals.get(1, 0) / every
-        self.stands = np.array([totals.get(y, 0) / max(1, n[y]) for y in (0, 1)]) * len(rows) / every
-        self.indexes = []
-        for most in (telling, len(terms)):
-            own = [(d, y, t[t < most], c[t < most]) for d, y, t, c in rows]
-            own = [(d, y, t, self.vectors.weights(t, c)) for d, y, t, c in own if len(t)]
-            self.indexes.append(BlockMaxIndex(own, most) if own else None)
+    def __init__(self, terms: list[str], idf: np.ndarray, telling: int, base: float, stands: np.ndarray, indexes: list[dict | None], knots: tuple[np.ndarray, np.ndarray] | None = None):
+        self.vectors, self.telling, self.base, self.stands, self.knots = Vectors(terms, idf), telling, base, stands, knots
+        self.indexes = [parts and BlockMaxIndex.of_parts(parts) for parts in indexes]
         self.scored = Cache(self.score_counts, 2_000)
 
     def votes(self, numbers: np.ndarray, counts: np.ndarray, but: int | None = None) -> tuple[float, list[dict]]:
@@ -188,7 +188,7 @@ class Scorer:
             numbers, counts = numbers[told], counts[told]
         if not len(numbers) or index is None:
             return self.base, []
-        found, cosines = index.nearest(numbers, self.vectors.weights(numbers, counts), NEIGHBOURS, but)
+        found, cosines = index.nearest(numbers, unit_weights(self.vectors.idf, numbers, counts), NEIGHBOURS, but)
         labels = index.labels[found]
         # Far neighbours say little: the vote falls with the cosine's square beside the distance.
         votes = self.stands[labels] * cosines**2 / (0.05 + 1 - np.minimum(cosines, 1))
@@ -200,12 +200,6 @@ class Scorer:
         share, evidence = self.votes(pairs[:, 0], pairs[:, 1])
         return float(np.interp(share, *self.knots)) if self.knots else share, evidence
 
-    def forget(self) -> None:
-        """Empty the caches: the worker lives on with other tasks."""
-        for cache in (self.vectors.words, self.scored):
-            cache.clear()
-            cache.old = {}
-
     def score(self, text: str | None) -> tuple[float, list[dict]]:
         return self.scored[self.vectors.counts(text or "")]
 
@@ -226,7 +220,7 @@ def isotonic(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
-    """What a Scorer needs; its size is bounded by EXAMPLES and TERMS."""
+    """What a Scorer needs, indexes ready for use; its size is bounded by EXAMPLES and TERMS."""
     sample, totals = sample_examples(docs, labels)
     terms, idf, telling = ranked_terms(sample)
 
@@ -241,13 +235,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     told = table.toArrow()
     rows = [(d, y, t.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.int64)) for d, y, t, c in zip(*(told.column(i).to_pylist() for i in (0, 1)), *(list(told.column(i)) for i in (2, 3)), strict=True)]
     rows.sort(key=lambda r: (r[0], r[1], r[2].tolist(), r[3].tolist()))
-    model = {"terms": terms, "idf": idf, "telling": telling, "rows": rows, "totals": totals}
+    n, every = Counter(r[1] for r in rows), max(1.0, sum(totals.values()))
+    indexes = []
+    for most in (telling, len(terms)):
+        own = [(d, y, t[t < most], c[t < most]) for d, y, t, c in rows]
+        own = [(d, y, t, unit_weights(idf, t, c)) for d, y, t, c in own if len(t)]
+        indexes.append(vars(BlockMaxIndex(own, most)) if own else None)
+    stands = np.array([totals.get(y, 0) / max(1, n[y]) for y in (0, 1)]) * len(rows) / every
+    model = {"terms": terms, "idf": idf, "telling": telling, "base": totals.get(1, 0) / every, "stands": stands, "indexes": indexes}
     if not terms:
         return model
-    known = docs.sparkSession.sparkContext.broadcast({"model": model})
+    known = docs.sparkSession.sparkContext.broadcast(model)
 
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(known.value)
+        scorer = Scorer(**known.value)
         for batch in sliced(batches):
             shares = [scorer.votes(np.array(t, dtype=np.int64), np.array(c, dtype=np.int64), d)[0] for d, t, c in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], names=["doc_id", "toxic", "share"])
@@ -255,29 +256,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     voted = table.mapInArrow(own_votes, "doc_id long, toxic int, share double").toArrow()
     known.destroy()  # else workers would hold this model beside the one with knots
     shares, said = (voted.column(i).to_numpy() for i in (2, 1))
-    n = Counter(said.tolist())
     return model | {"knots": isotonic(shares, said, np.array([totals[y] / n[y] for y in said.tolist()]))}
 
 
-def scorer_of(held: dict) -> Scorer:
-    """The scorer of a broadcast value, made once for each worker."""
-    if "scorer" not in held:
-        held["scorer"] = Scorer(**held["model"])
-    return held["scorer"]
-
-
 def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(row, score, evidence): ``docs`` as a struct with the score of its text."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    learnt = docs.sparkSession.sparkContext.broadcast({"model": learn(own, labels)})
+    learnt = docs.sparkSession.sparkContext.broadcast(learn(own, labels))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(learnt.value)
+        scorer = Scorer(**learnt.value)
         near = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in sliced(batches):
             scored = [scorer.score(t) for t in batch.column(0).field("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in scored], pa.float64()), pa.array([e for _, e in scored], near)], names=["row", "score", "evidence"])
-        scorer.forget()
 
     rows = carried(docs.withColumn("text", F.col("text").cast("string")))
     schema = StructType([rows.schema["row"], *SCORE])
