@@ -64,7 +64,7 @@ def test_stages_take_awkward_rows(spark, docs, tmp_path):
 
 def test_registry_names_every_operator():
     names = list(queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(oracle_sql()) <= set(names)
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and set(oracle_sql()) <= set(names)
 
 
 def test_scratch_is_in_the_shared_folder_and_can_be_removed(spark):
