@@ -103,7 +103,8 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
         found = found.join(lost, _same("tree", "_tree") & (F.col("leaf") == F.col("_id")), "left_anti")
         reach = [r.join(lost, _same("tree", "_tree") & (F.col("id") == F.col("_id")), "left_anti") for r in reach]
     found = found.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("above"))
-    for k, step in enumerate(reach):
+    # From the longest step down, so that only few of a path's nodes are there before the last steps.
+    for k, step in reversed(list(enumerate(reach))):
         up = step.select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), "up")
         far = F.struct(F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
         both = F.when(F.col("up").isNull(), F.array(F.struct("node", "above"))).otherwise(F.array(F.struct("node", "above"), far))
