@@ -21,8 +21,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from ligamap.llm.shared import carried, materialize, sliced
 from ligamap.llm.vocab import Cache
 
-#: Labelled examples of each label in the sample that is learnt from, terms kept, and the share of terms found to tell the labels apart that may do so by chance.
-EXAMPLES, TERMS, BY_CHANCE = 4096, 4096, 0.01
+#: Labelled examples of each label in the sample that is learnt from, and terms kept.
+EXAMPLES, TERMS = 4096, 4096
 
 #: Neighbours that vote, those named as evidence, examples of a block, and blocks that are searched first.
 NEIGHBOURS, EVIDENCE, BLOCK, FIRST_BLOCKS = 16, 3, 64, 4
@@ -52,17 +52,13 @@ def sample_examples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES) for y in (0, 1)]
-    # Bounded: at most 2 * EXAMPLES rows of two numbers.
+    # Bounded: at most 2 * EXAMPLES rows of two numbers. Of texts that share an id one is taken, before anything is shuffled.
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    return materialize(docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "toxic", "text")), totals
+    return materialize(docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))), totals
 
 
-def ranked_terms(sample: DataFrame) -> tuple[list[str], np.ndarray, int]:
-    """Up to TERMS terms by falling log-likelihood ratio between document frequency and label, their idf, and how many of them are telling.
-
-    Ranks have no threshold. The telling ones are the first, as many as the false discovery rate BY_CHANCE allows among
-    all terms of the sample (Benjamini and Hochberg).
-    """
+def ranked_terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Up to TERMS terms by falling log-likelihood ratio between document frequency and label, without a threshold, and their idf."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
@@ -80,16 +76,13 @@ def ranked_terms(sample: DataFrame) -> tuple[list[str], np.ndarray, int]:
 
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
-        return [], np.zeros(0), 0
+        return [], np.zeros(0)
     counts = sample.select("toxic", "text").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = materialize(counts)
     every = n[0] + n[1]
     df = F.col("clean") + F.col("toxic")
     parts = [F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (df * (n[y] / every)))).otherwise(0.0) for y, c in enumerate(("clean", "toxic"))]
     best = counts.withColumn("ratio", F.round(2 * (parts[0] + parts[1]), 9)).orderBy(F.desc("ratio"), "term").limit(TERMS).collect()
-    chance, tested = [math.erfc(math.sqrt(max(0.0, r["ratio"]) / 2)) for r in best], counts.count()
-    telling = max((i for i, p in enumerate(chance, 1) if p <= BY_CHANCE * i / tested), default=0)
-    return [r["term"] for r in best], np.array([math.log((every + 1) / (r["clean"] + r["toxic"] + 1)) + 1 for r in best]), telling
+    return [r["term"] for r in best], np.array([math.log((every + 1) / (r["clean"] + r["toxic"] + 1)) + 1 for r in best])
 
 
 class Vectors:
@@ -170,22 +163,16 @@ class BlockMaxIndex:
 
 
 class Scorer:
-    """Scores by weighted votes: a neighbour counts by its nearness and by how many labelled documents its example stands for.
-
-    A text with telling terms is compared over these alone, since others would drown them; one without is compared over all terms.
-    """
+    """Scores by weighted votes: a neighbour counts by its nearness and by how many labelled documents its example stands for."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, telling: int, base: float, stands: np.ndarray, indexes: list[dict | None], knots: tuple[np.ndarray, np.ndarray] | None = None):
-        self.vectors, self.telling, self.base, self.stands, self.knots = Vectors(terms, idf), telling, base, stands, knots
-        self.indexes = [parts and BlockMaxIndex.of_parts(parts) for parts in indexes]
+    def __init__(self, terms: list[str], idf: np.ndarray, base: float, stands: np.ndarray, index: dict | None, knots: tuple[np.ndarray, np.ndarray] | None = None):
+        self.vectors, self.base, self.stands, self.knots = Vectors(terms, idf), base, stands, knots
+        self.index = index and BlockMaxIndex.of_parts(index)
         self.scored = Cache(self.score_counts, 2_000)
 
     def votes(self, numbers: np.ndarray, counts: np.ndarray, but: int | None = None) -> tuple[float, list[dict]]:
         """(share of the votes that are toxic, evidence). Texts without neighbours get the share of toxic labels."""
-        told = numbers < self.telling
-        index = self.indexes[0 if told.any() else 1]
-        if told.any():
-            numbers, counts = numbers[told], counts[told]
+        index = self.index
         if not len(numbers) or index is None:
             return self.base, []
         found, cosines = index.nearest(numbers, unit_weights(self.vectors.idf, numbers, counts), NEIGHBOURS, but)
@@ -220,9 +207,9 @@ def isotonic(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
-    """What a Scorer needs, indexes ready for use; its size is bounded by EXAMPLES and TERMS."""
+    """What a Scorer needs, its index ready for use; its size is bounded by EXAMPLES and TERMS."""
     sample, totals = sample_examples(docs, labels)
-    terms, idf, telling = ranked_terms(sample)
+    terms, idf = ranked_terms(sample)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vectors(terms, idf)
@@ -236,13 +223,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     rows = [(d, y, t.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.int64)) for d, y, t, c in zip(*(told.column(i).to_pylist() for i in (0, 1)), *(list(told.column(i)) for i in (2, 3)), strict=True)]
     rows.sort(key=lambda r: (r[0], r[1], r[2].tolist(), r[3].tolist()))
     n, every = Counter(r[1] for r in rows), max(1.0, sum(totals.values()))
-    indexes = []
-    for most in (telling, len(terms)):
-        own = [(d, y, t[t < most], c[t < most]) for d, y, t, c in rows]
-        own = [(d, y, t, unit_weights(idf, t, c)) for d, y, t, c in own if len(t)]
-        indexes.append(vars(BlockMaxIndex(own, most)) if own else None)
+    own = [(d, y, t, unit_weights(idf, t, c)) for d, y, t, c in rows if len(t)]
+    index = vars(BlockMaxIndex(own, len(terms))) if own else None
     stands = np.array([totals.get(y, 0) / max(1, n[y]) for y in (0, 1)]) * len(rows) / every
-    model = {"terms": terms, "idf": idf, "telling": telling, "base": totals.get(1, 0) / every, "stands": stands, "indexes": indexes}
+    model = {"terms": terms, "idf": idf, "base": totals.get(1, 0) / every, "stands": stands, "index": index}
     if not terms:
         return model
     known = docs.sparkSession.sparkContext.broadcast(model)
