@@ -24,8 +24,8 @@ from ligamap.llm.vocab import Cache
 #: Labelled examples of each label in the sample that is learnt from, and terms kept.
 EXAMPLES, TERMS = 4096, 4096
 
-#: Neighbours that vote, those named as evidence, examples of a block, and blocks that are searched first.
-NEIGHBOURS, EVIDENCE, BLOCK, FIRST_BLOCKS = 16, 3, 64, 4
+#: Neighbours that vote, those named as evidence, examples of a block, blocks that are searched first, the share of examples (one in so many) that makes a term frequent, and the share of blocks up to which they are few.
+NEIGHBOURS, EVIDENCE, BLOCK, FIRST_BLOCKS, FREQUENT, FEW = 16, 3, 64, 8, 12, 6
 
 #: Words whose terms a worker keeps at hand.
 WORDS_KEPT = 50_000
@@ -107,7 +107,11 @@ def unit_weights(idf: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> np
 
 
 class BlockMaxIndex:
-    """Exact nearest examples by cosine. ``rows``: (doc_id, label, term numbers, unit weights), none empty."""
+    """Exact nearest examples by cosine. ``rows``: (doc_id, label, term numbers, unit weights), none empty.
+
+    A term's postings are in blocks of examples, each with its highest weight. Terms that many examples hold keep theirs
+    as full columns, the others as lists.
+    """
 
     def __init__(self, rows: list[tuple], n_terms: int):
         # Examples with the same leading term stand together: that makes the blocks' bounds tight.
@@ -119,13 +123,21 @@ class BlockMaxIndex:
         examples = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
         weights = np.concatenate([r[3] for r in rows])
         order = np.argsort(terms * len(rows) + examples)
-        self.examples, self.weights = examples[order].astype(np.int32), weights[order]
-        # A term's postings in a block are those from `first` of (term, block) to that of the next block.
-        cell = terms[order] * self.n_blocks + self.examples // BLOCK
-        self.first = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1)).astype(np.int32)
+        terms, examples, weights = terms[order], examples[order], weights[order]
+        cell = terms * self.n_blocks + examples // BLOCK
         self.most = np.zeros(n_terms * self.n_blocks)
-        np.maximum.at(self.most, cell, self.weights)
+        np.maximum.at(self.most, cell, weights)
         self.most = self.most.reshape(n_terms, self.n_blocks)
+        # The columns of frequent terms; -1 for the terms that have lists.
+        frequent = np.flatnonzero(np.bincount(terms, minlength=n_terms) * FREQUENT >= len(rows))
+        self.column = np.full(n_terms, -1)
+        self.column[frequent] = np.arange(len(frequent))
+        self.columns = np.zeros((len(frequent), self.n_blocks, BLOCK))
+        full = self.column[terms] >= 0
+        self.columns[self.column[terms[full]], examples[full] // BLOCK, examples[full] % BLOCK] = weights[full]
+        # A term's list in a block is from `first` of (term, block) to that of the next block.
+        self.examples, self.weights = examples[~full].astype(np.int32), weights[~full]
+        self.first = np.searchsorted(cell[~full], np.arange(n_terms * self.n_blocks + 1)).astype(np.int32)
 
     @classmethod
     def of_parts(cls, parts: dict) -> BlockMaxIndex:
@@ -135,30 +147,48 @@ class BlockMaxIndex:
         return index
 
     def cosines(self, numbers: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) over 0 in these blocks."""
-        cells = (numbers[:, None] * self.n_blocks + blocks).ravel()
-        first = self.first[cells].astype(np.int64)
-        n = self.first[cells + 1] - first
+        """(examples, cosines) over 0 in these blocks. Where they are many, a term's postings are read through; where they are few, block by block."""
+        full = self.column[numbers] >= 0
+        columns, lists, of_lists = self.column[numbers[full]], numbers[~full], weights[~full]
+        scores = np.zeros((self.n_blocks, BLOCK))
+        if len(blocks) * FEW > self.n_blocks:
+            first, n = self.first[lists * self.n_blocks], self.first[(lists + 1) * self.n_blocks]
+            wanted = np.zeros((self.n_blocks, 1))
+            wanted[blocks] = 1
+            scores += (weights[full] @ self.columns[columns].reshape(len(columns), scores.size)).reshape(scores.shape)
+        else:
+            cells = (lists[:, None] * self.n_blocks + blocks).ravel()
+            first, n, of_lists, wanted = self.first[cells], self.first[cells + 1], np.repeat(of_lists, len(blocks)), 1
+            scores[blocks] = np.tensordot(weights[full], self.columns[columns[:, None], blocks], 1)
+        n = n - first
         at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        shares = self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), n)
-        scores = np.bincount(self.examples[at], shares, minlength=len(self.docs))
+        scores += np.bincount(self.examples[at], self.weights[at] * np.repeat(of_lists, n), minlength=scores.size).reshape(scores.shape)
+        scores = (scores * wanted).ravel()
         hit = np.flatnonzero(scores > 0)
         return hit, scores[hit]
 
     def nearest(self, numbers: np.ndarray, weights: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine over 0, ties to the earlier example; examples of document ``but`` are passed over."""
         bounds = weights @ self.most[numbers]
-        order = np.argsort(-bounds, kind="stable")
-        found, cosines, at, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST_BLOCKS
-        # Blocks are taken by falling bound; the rounding of the cosines is left to the bound.
-        while at < len(order) and bounds[order[at]] > 0 and (len(cosines) < k or bounds[order[at]] + 1e-9 >= cosines[-1]):
-            near, c = self.cosines(numbers, weights, order[at : at + step])
+        order = np.argsort(-bounds, kind="stable")[: np.count_nonzero(bounds > 0)]
+        found, cosines = np.zeros(0, np.int64), np.zeros(0)
+        # The blocks of the highest bounds, then all whose bound the nearest of those don't reach; the rounding of the cosines is left to the bound.
+        for first in (True, False):
+            blocks = order[:FIRST_BLOCKS] if first else order[FIRST_BLOCKS:]
+            if not first and len(cosines) == k:
+                blocks = blocks[bounds[blocks] + 1e-9 >= cosines[-1]]
+            if not len(blocks):
+                break
+            near, c = self.cosines(numbers, weights, blocks)
             if but is not None:
                 near, c = near[self.docs[near] != but], c[self.docs[near] != but]
+            if len(c) > k:
+                # Those that could be among the k nearest after rounding.
+                may = c >= np.partition(c, -k)[-k] - 1e-8
+                near, c = near[may], c[may]
             found, cosines = np.concatenate([found, near]), np.concatenate([cosines, c])
             best = np.lexsort((found, -np.round(cosines, 9)))[:k]
             found, cosines = found[best], cosines[best]
-            at, step = at + step, 2 * step
         return found, cosines
 
 

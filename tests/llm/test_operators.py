@@ -672,20 +672,26 @@ def test_isotonic_levels():
     assert level == pytest.approx(np.maximum.accumulate(drawn))
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
     rng = np.random.default_rng(2)
     rows = []
     for i in range(700):
         t = np.unique(rng.integers(0, 40, rng.integers(1, 6)))
         w = rng.random(len(t)) + 0.1
         rows.append((i, int(rng.integers(0, 2)), t, w / np.linalg.norm(w)))
-    index = toxicity.BlockMaxIndex(rows, 40)
     dense = np.zeros((700, 40))
     for i, _, t, w in rows:
         dense[i, t] = w
-    for i in range(0, 700, 23):
-        _, cosines = index.nearest(rows[i][2], rows[i][3], 16)
-        assert cosines == pytest.approx(np.sort(dense @ dense[i])[::-1][:16])
+    # All terms with lists, with columns, and some of each; blocks that are few and that are many.
+    for frequent, few in ((1, 6), (12, 6), (12, 1), (1000, 6), (1000, 1000)):
+        monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+        monkeypatch.setattr(toxicity, "FEW", few)
+        index = toxicity.BlockMaxIndex(rows, 40)
+        for i in range(0, 700, 23):
+            _, cosines = index.nearest(rows[i][2], rows[i][3], 16)
+            assert cosines == pytest.approx(np.sort(dense @ dense[i])[::-1][:16])
+            found, cosines = index.nearest(rows[i][2], rows[i][3], 16, i)
+            assert cosines == pytest.approx(np.sort(np.delete(dense @ dense[i], i))[::-1][:16]) and i not in index.docs[found]
 
 
 def base_by_hand(text):
