@@ -1,30 +1,37 @@
-"""Layouts: ordered, oriented contigs. Layout-sized windows run in one task; they are never run over contacts."""
+"""Layouts: ordered, oriented contigs. Running sums are taken in ranges of places; windows are never run over contacts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ligamap.functions.units import lengths
-from ligamap.schema import Assembly, small
+from ligamap.operators.ranges import RANGE_ROWS, Places, places, running
+from ligamap.schema import Assembly
+
+
+def splits(a: Assembly) -> list[int]:
+    """Splitters of the layout's places, which have no gaps."""
+    return list(range(RANGE_ROWS + 1, a.n_contigs + 1, RANGE_ROWS))
 
 
 def spans(a: Assembly, units: str = "bp", order: int = 0) -> DataFrame:
     """(ord, contig_id, dir, len, s, e): each contig's half-open interval of the layout in ``units`` at ``order``."""
     at = lengths(a).where(F.col("res_order") == order).select("contig_id", F.col(units).alias("len"))
-    ends = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    placed = a.layout.join(at, "contig_id").withColumn("e", F.sum("len").over(ends))
+    placed = running(a.layout.join(at, "contig_id"), "ord", {"e": F.col("len")}, splits(a))
     return placed.select("ord", "contig_id", "dir", "len", (F.col("e") - F.col("len")).alias("s"), "e")
 
 
 def positions(a: Assembly, order: int) -> DataFrame:
     """(ord, contig_id, s_bp, e_bp, s_bins, s_px) in one pass over the layout."""
     at = lengths(a).where(F.col("res_order") == order)
-    ends = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    placed = a.layout.join(at, "contig_id")
-    return placed.select(
-        "ord", "contig_id", (F.sum("bp").over(ends) - F.col("bp")).alias("s_bp"), F.sum("bp").over(ends).alias("e_bp"), (F.sum("bins").over(ends) - F.col("bins")).alias("s_bins"), (F.sum("pixels").over(ends) - F.col("pixels")).alias("s_px")
-    )
+    placed = running(a.layout.join(at, "contig_id"), "ord", {f"e_{u}": F.col(u) for u in ("bp", "bins", "pixels")}, splits(a))
+    return placed.select("ord", "contig_id", (F.col("e_bp") - F.col("bp")).alias("s_bp"), "e_bp", (F.col("e_bins") - F.col("bins")).alias("s_bins"), (F.col("e_pixels") - F.col("pixels")).alias("s_px"))
+
+
+def contig_places(a: Assembly, units: str = "bp", order: int = 0) -> Places:
+    """The layout's contigs (ord, contig_id, dir, len, s, e), ready for look-ups of positions and ranges by the million."""
+    return places(spans(a, units, order), "ord")
 
 
 def total(a: Assembly, units: str = "bp", order: int = 0) -> int:
@@ -64,10 +71,6 @@ def edge_contigs(a: Assembly) -> DataFrame:
     )
 
 
-def renumber(keyed: DataFrame, *order: Column | str) -> DataFrame:
-    return keyed.select(F.row_number().over(Window.orderBy(*order)).alias("ord"), "contig_id", "dir")
-
-
 def append(a: Assembly, contig_id: int, direction: int) -> DataFrame:
     """The layout with a contig at its end."""
     added = a.layout.agg((F.coalesce(F.max("ord"), F.lit(0)) + 1).alias("ord")).select("ord", F.lit(contig_id).alias("contig_id"), F.lit(direction).alias("dir"))
@@ -96,19 +99,23 @@ def moved_layout(a: Assembly, start: int, end: int, target: int) -> DataFrame:
         return a.layout
     size = seg["e"] - seg["s"]
     k = target - (0 if seg["s"] > target else size)
+    n = seg["hi"] - seg["lo"] + 1
     inside = F.col("ord").between(seg["lo"], seg["hi"])
-    # Ends and starts in the layout without the segment.
+    # Ends and starts in the layout without the segment, whose contigs left of the target are its first ones.
     after = F.when(F.col("ord") > seg["hi"], size).otherwise(0)
     stays_left = F.when(F.col("len") > 0, F.col("e") - after <= k).otherwise(F.col("s") - after < k)
-    place = F.when(inside, 1).when(stays_left, 0).otherwise(2)
-    return renumber(spanned.select(place.alias("place"), "ord", "contig_id", "dir"), "place", "ord")
+    left = spanned.where(~inside & stays_left).agg(F.count("*").alias("_left"))
+    place = F.col("ord") - F.when(F.col("ord") > seg["hi"], n).otherwise(0)
+    ord_ = F.when(inside, F.col("_left") + F.col("ord") - (seg["lo"] - 1)).when(place <= F.col("_left"), place).otherwise(place + n)
+    return a.layout.crossJoin(F.broadcast(left)).select(ord_.cast("int").alias("ord"), "contig_id", "dir")  # one row
 
 
 def convert(a: Assembly, asked: DataFrame, unit_from: str, order_from: int, unit_to: str, order_to: int) -> DataFrame:
     """``asked`` (pos) -> (pos, result): the position in other units. Inside its contig only the distance from the contig's start counts."""
     res = {r["res_order"]: r["bp_resolution"] for r in a.resolution.collect()}
-    source, goal = spans(a, unit_from, order_from), spans(a, unit_to, order_to).select("ord", F.col("s").alias("s_to"))
-    met = asked.join(small(source), (F.col("pos") >= F.col("s")) & (F.col("pos") < F.col("e"))).join(goal, "ord")
+    goal = spans(a, unit_to, order_to).select("ord", F.col("s").alias("s_to"))
+    both = places(spans(a, unit_from, order_from).join(goal, "ord"), "ord")
+    met = both.at(asked, "pos", "s", "s_to", how="inner")
     delta = F.col("pos") - F.col("s")
     bp = delta if unit_from == "bp" else delta * res[order_from]
     inside = bp if unit_to == "bp" else F.floor(bp / res[order_to])

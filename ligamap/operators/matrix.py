@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ligamap.operators.layout import spans, total
+from ligamap.operators.ranges import RANGE_ROWS, islands, running
 from ligamap.schema import Assembly, small
 
 
@@ -29,8 +30,10 @@ def atus_for_range(a: Assembly, order: int, start: int, end: int, units: str = "
     met = placed_atus(a, order, units).where((F.col("p0") < end) & (F.col("p1") > start))
     head, tail = F.greatest(F.lit(start) - F.col("p0"), F.lit(0)), F.greatest(F.col("p1") - end, F.lit(0))
     forward = F.col("dir") == 1
+    # A unit has a bin at least, so a range of positions has no more units than positions.
+    met = running(met, "p0", {"seq": F.lit(1)}, list(range(start + RANGE_ROWS, end, RANGE_ROWS)))
     return met.select(
-        F.row_number().over(Window.orderBy("p0")).alias("seq"),
+        F.col("seq").cast("int").alias("seq"),
         "stripe_id",
         (F.col("start") + F.when(forward, head).otherwise(tail)).cast("int").alias("start"),
         (F.col("end") - F.when(forward, tail).otherwise(head)).cast("int").alias("end"),
@@ -38,14 +41,12 @@ def atus_for_range(a: Assembly, order: int, start: int, end: int, units: str = "
     )
 
 
-def coalesced(atus: DataFrame) -> DataFrame:
-    """Neighbours in ``seq`` that continue each other in their direction become one unit."""
-    in_order = Window.orderBy("seq")
-    last = {c: F.lag(c).over(in_order) for c in ("stripe_id", "start", "end", "dir")}
-    follows = F.when(F.col("dir") == 1, last["end"] == F.col("start")).otherwise(last["start"] == F.col("end"))
-    joined = (last["stripe_id"] == F.col("stripe_id")) & (last["dir"] == F.col("dir")) & follows
-    runs = atus.withColumn("new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("seq", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("seq").agg(F.first("stripe_id").alias("stripe_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.first("dir").alias("dir")).select(F.col("seq").cast("int").alias("seq"), "stripe_id", "start", "end", "dir")
+def coalesced(atus: DataFrame, most: int = RANGE_ROWS) -> DataFrame:
+    """Neighbours in ``seq``, which runs from 1 to at most ``most``, that continue each other in their direction become one unit."""
+    follows = F.when(F.col("dir") == 1, F.col("last_end") == F.col("start")).otherwise(F.col("last_start") == F.col("end"))
+    joined = (F.col("last_stripe_id") == F.col("stripe_id")) & (F.col("last_dir") == F.col("dir")) & follows
+    runs = islands(atus, "seq", joined, ["stripe_id", "start", "end", "dir"], list(range(RANGE_ROWS + 1, most + 1, RANGE_ROWS)))
+    return runs.drop("seq").withColumnRenamed("island", "seq").groupBy("seq").agg(F.first("stripe_id").alias("stripe_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.first("dir").alias("dir")).select(F.col("seq").cast("int").alias("seq"), "stripe_id", "start", "end", "dir")
 
 
 def _at(prefix: str, index: str) -> Column:

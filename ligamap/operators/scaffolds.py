@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ligamap.operators.layout import in_segment, moved_layout, reversed_layout, segment_of, spans, total
-from ligamap.schema import Assembly, small
+from ligamap.operators.layout import contig_places, in_segment, moved_layout, reversed_layout, segment_of, spans, splits, total
+from ligamap.operators.ranges import Places, islands, places
+from ligamap.schema import Assembly
 
 AUTO_SPACER = 1000
 
 
+def scaffold_places(a: Assembly) -> Places:
+    """The scaffolds, which are disjoint, ready for look-ups of positions and ranges by the million."""
+    return places(a.scaffold.select("scaffold_id", "name", "spacer", "start_bp", "end_bp", F.col("start_bp").alias("s"), F.col("end_bp").alias("e")), "scaffold_id")
+
+
 def scaffold_at(a: Assembly, asked: DataFrame) -> DataFrame:
-    """``asked`` (bp) -> the scaffold that holds each point; nulls in a gap or outside."""
-    sc = a.scaffold.select("scaffold_id", "start_bp", "end_bp")
-    return asked.join(small(sc), (F.col("bp") >= F.col("start_bp")) & (F.col("bp") < F.col("end_bp")), "left").select("bp", "scaffold_id", "start_bp", "end_bp")
+    """``asked`` (bp and other columns) with the scaffold that holds each point; nulls in a gap or outside."""
+    return scaffold_places(a).at(asked, "bp", "scaffold_id", "start_bp", "end_bp")
+
+
+def extended(a: Assembly, asked: DataFrame, start: str, end: str) -> DataFrame:
+    """``asked`` with ext_start and ext_end, its ranges widened to the scaffolds that their start and their end cut."""
+    found = scaffold_places(a)
+    met = found.at(asked, start, "start_bp").withColumn("ext_start", F.coalesce("start_bp", start)).drop("start_bp")
+    met = found.at(met, end, "start_bp", "end_bp")
+    return met.withColumn("ext_end", F.when(F.col("start_bp") < F.col(end), F.col("end_bp")).otherwise(F.col(end))).drop("start_bp", "end_bp")
+
+
+def snapped(a: Assembly, asked: DataFrame, start: str, end: str) -> DataFrame:
+    """``asked`` with seg_start and seg_end: what an edit of each range takes, whole contigs and whole scaffolds (null where the range has no contig)."""
+    met = contig_places(a).ends(asked, start, end, from_=F.col("first.s"), to_=F.col("last.e"))
+    return extended(a, met, "from_", "to_").withColumnRenamed("ext_start", "seg_start").withColumnRenamed("ext_end", "seg_end").drop("from_", "to_")
 
 
 def extend(a: Assembly, start: int, end: int) -> tuple[int, int]:
@@ -79,8 +98,8 @@ def move(a: Assembly, start: int, end: int, target: int) -> Assembly:
     layout = moved_layout(a, *extend(a, start, end), target)
     now = a.with_(layout=layout)
     shift = spans(a).select("contig_id", "s", "e").join(spans(now).select("contig_id", F.col("s").alias("s2")), "contig_id")
-    met = a.scaffold.join(small(shift), (F.col("start_bp") >= F.col("s")) & (F.col("start_bp") < F.col("e")))
-    by = F.col("s2") - F.col("s")
+    met = places(shift.withColumn("moved", F.col("s2") - F.col("s")), "contig_id").at(a.scaffold, "start_bp", "moved", how="inner")
+    by = F.col("moved")
     return now.with_(scaffold=met.select("scaffold_id", "name", "spacer", (F.col("start_bp") + by).alias("start_bp"), (F.col("end_bp") + by).alias("end_bp")))
 
 
@@ -98,11 +117,8 @@ def debris(a: Assembly, start: int, end: int) -> Assembly:
 
 def members(a: Assembly) -> DataFrame:
     """(group_no, scaffold_id, contig_id, ord): contigs by the scaffold that holds their start, each other contig a group of its own."""
-    placed = spans(a).join(small(a.scaffold), (F.col("s") >= F.col("start_bp")) & (F.col("s") < F.col("end_bp")), "left")
-    in_order = Window.orderBy("ord")
-    same = F.col("scaffold_id").isNotNull() & (F.col("scaffold_id") == F.lag("scaffold_id").over(in_order))
-    flagged = placed.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-    return flagged.withColumn("group_no", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = scaffold_places(a).at(spans(a), "s", "scaffold_id", "name", "spacer", "start_bp", "end_bp")
+    return islands(placed, "ord", F.col("scaffold_id") == F.col("last_scaffold_id"), ["scaffold_id"], splits(a), "group_no")
 
 
 def overlapping(a: Assembly, start: int, end: int) -> DataFrame:
@@ -110,4 +126,4 @@ def overlapping(a: Assembly, start: int, end: int) -> DataFrame:
     return a.scaffold.where((F.col("start_bp") < end) & (F.col("end_bp") > start))
 
 
-__all__ = ["clear", "debris", "extend", "group", "in_segment", "members", "move", "overlapping", "reverse", "scaffold_at", "ungroup"]
+__all__ = ["clear", "debris", "extend", "extended", "group", "in_segment", "members", "move", "overlapping", "reverse", "scaffold_at", "scaffold_places", "snapped", "ungroup"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ligamap.operators.layout import renumber, spans
+from ligamap.operators.layout import spans
 from ligamap.operators.scaffolds import ungroup
 from ligamap.schema import Assembly
 
@@ -64,8 +64,8 @@ def split(a: Assembly, position_bp: int) -> Assembly:
         "dir",
         (F.col("off") + F.col("x0") - F.col("first")).cast("bigint").alias("off"),
     )
-    at = a.layout.where(~other).select("ord", "dir")
-    in_place = at.select("ord", F.explode(F.array(F.lit(top + 1), F.lit(top + 2))).alias("contig_id"), "dir")
+    # The parts take the contig's place and the next one.
+    rows = F.when(other, F.array(F.struct((F.col("ord") + F.when(F.col("ord") > hit["ord"], 1).otherwise(0)).alias("ord"), "contig_id"))).otherwise(F.array(*(F.struct((F.col("ord") + n - 1).alias("ord"), F.lit(top + n).alias("contig_id")) for n in (1, 2))))
     # The scaffolds right of the contig come nearer by the bin that is gone.
     moved = F.when(F.col("start_bp") >= hit["e"], finest).otherwise(0)
     scaffold = a.scaffold.select("scaffold_id", "name", "spacer", (F.col("start_bp") - moved).alias("start_bp"), (F.col("end_bp") - moved).alias("end_bp"))
@@ -73,7 +73,7 @@ def split(a: Assembly, position_bp: int) -> Assembly:
         contig=a.contig.where(other).unionByName(parts),
         contig_res=a.contig_res.where(other).unionByName(new_res),
         contig_atu=a.contig_atu.where(other).unionByName(new_atu),
-        layout=renumber(a.layout.where(other).unionByName(in_place), "ord", "contig_id"),
+        layout=a.layout.select(F.explode(rows).alias("x"), "dir").select("x.ord", "x.contig_id", "dir"),
         scaffold=scaffold,
     )
 

@@ -278,6 +278,41 @@ UNION ALL SELECT 'scaffold', start_bp, '{{"scaffoldId":' || scaffold_id || ',"sc
     "imported_submatrix": BODIES["submatrix_symmetric"],
 }
 
+_LINES = """(SELECT *, lo + (q - 1) * (q - 1) AS hi FROM (
+  SELECT row_number() OVER () AS line, l_orderkey, l_linenumber, CAST(floor(l_quantity) AS BIGINT) AS q, (l_partkey * 7919 + l_suppkey * 31 + l_orderkey) % (t.t + 50) AS lo FROM lineitem, t) x) ask"""
+_MET = f"FROM {_LINES} LEFT JOIN (SELECT * FROM pos WHERE res_order = 0) p ON s_bp < ask.hi AND e_bp > ask.lo"
+_SEGS = f"(SELECT l_orderkey, l_linenumber, min(s_bp) AS s, max(e_bp) AS e {_MET} GROUP BY line, l_orderkey, l_linenumber) seg1"
+
+BODIES |= {
+    "ranges_to_contigs": f"SELECT l_orderkey, l_linenumber, arg_min(contig_id, ord) AS first_id, arg_max(contig_id, ord) AS last_id, count(ord) AS n {_MET} GROUP BY line, l_orderkey, l_linenumber",
+    "ranges_over_contigs": f"SELECT contig_id, count(*) AS n, CAST(sum(least(ask.hi, e_bp) - greatest(ask.lo, s_bp)) AS BIGINT) AS bp {_MET} WHERE contig_id IS NOT NULL GROUP BY ALL",
+    "points_in_scaffolds": f"SELECT l_orderkey, l_linenumber, scaffold_id, ask.lo - start_bp AS off FROM {_LINES} LEFT JOIN scaffold ON ask.lo >= start_bp AND ask.lo < end_bp",
+    "points_converted": f"SELECT DISTINCT ask.lo AS pos, CAST(b.s_px + (ask.lo - a.s_bp) // 40 AS BIGINT) AS result FROM {_LINES} JOIN pos a ON a.res_order = 0 AND ask.lo >= a.s_bp AND ask.lo < a.e_bp JOIN pos b ON b.res_order = 2 AND b.ord = a.ord",
+    "ranges_snapped": f"SELECT l_orderkey, l_linenumber, CAST(coalesce(x.start_bp, s) AS BIGINT) AS seg_start, CAST(coalesce(y.end_bp, e) AS BIGINT) AS seg_end FROM {_SEGS} LEFT JOIN scaffold x ON x.start_bp <= s AND x.end_bp > s LEFT JOIN scaffold y ON y.start_bp < e AND y.end_bp > e",
+}
+
+BODIES["version_gate_shared_ids"] = """SELECT request_id, version, coalesce(version >= max(version) OVER (ORDER BY request_id NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), true) AS accepted FROM (
+  SELECT CASE WHEN l_linenumber < 7 THEN CASE WHEN l_orderkey % 1000 = 1 THEN l_orderkey * 1000000000 ELSE l_orderkey END END AS request_id,
+    CAST(CASE WHEN l_partkey % 50 > 0 THEN l_orderkey // 8 + l_partkey % 97 END AS BIGINT) AS version FROM lineitem)"""
+
+_ENDS = "list_transform(range(1, len({0}) + 1), lambda i: list_sum(list_transform({0}[1:i], lambda x: x.n)))"
+BODIES |= {
+    "edits_composed": f""", edit AS (
+  SELECT 2 * k + 1 AS k, 'reverse' AS op, (k * 7919 + 13) % t.t AS lo, (k * 7919 + 13) % t.t + 1 + k * 104729 % (t.t // 3) AS hi, 0 AS target FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation), t
+  UNION ALL SELECT 2 * k + 2, 'move', (k * 15485863 + 7) % t.t, (k * 15485863 + 7) % t.t + 1 + k * 32452843 % (t.t // 4), k * 49979687 % t.t FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation), t),
+run AS (
+  SELECT CAST(0 AS BIGINT) AS k, (SELECT list({{'c': contig_id, 'd': dir, 'n': CAST(bp AS BIGINT)}} ORDER BY ord) FROM pos WHERE res_order = 0) AS seq
+  UNION ALL
+  SELECT k, CASE WHEN op = 'reverse' THEN seq[1:f - 1] || list_reverse(list_transform(seq[f:l], lambda x: {{'c': x.c, 'd': 1 - x.d, 'n': x.n}})) || seq[l + 1:]
+    ELSE rest[1:n_left] || seq[f:l] || rest[n_left + 1:] END
+  FROM (SELECT *, len(list_filter({_ENDS.format("rest")}, lambda e: e <= aim)) AS n_left
+    FROM (SELECT *, seq[1:f - 1] || seq[l + 1:] AS rest, target - CASE WHEN coalesce(ends[f - 1], 0) > target THEN 0 ELSE ends[l] - coalesce(ends[f - 1], 0) END AS aim
+      FROM (SELECT *, 1 + len(list_filter(ends, lambda e: e <= lo)) AS f, least(len(seq), 1 + len(list_filter(ends, lambda e: e < hi))) AS l
+        FROM (SELECT edit.k, op, lo, hi, target, seq, {_ENDS.format("seq")} AS ends FROM run JOIN edit ON edit.k = run.k + 1)))))
+SELECT CAST(i AS INT) AS ord, x.c AS contig_id, x.d AS dir FROM (SELECT unnest(seq) AS x, generate_subscripts(seq, 1) AS i FROM run WHERE k = (SELECT max(k) FROM run))""",
+    "layout_versions": " UNION ALL ".join(f"SELECT *, {k} AS version FROM ({BODIES[name]})" for k, name in enumerate(("reverse_range", "move_range_right", "split_contig_layout"), 1)),
+}
+
 BODIES["atus_coalesced"] = f"""
 SELECT CAST(run AS INT) AS seq, stripe_id, CAST(min("start") AS INT) AS "start", CAST(max("end") AS INT) AS "end", dir FROM (
   SELECT *, sum(new) OVER (ORDER BY seq) AS run FROM (
@@ -294,5 +329,5 @@ def oracle_sql() -> dict[str, str]:
         direction = "CAST(CASE WHEN (contig_id + t) % 4 = 0 THEN 0 ELSE 1 END AS INT)" if name in _REVERSED else "1"
         prelude = PRELUDE.replace("DIRECTION", direction).replace("BAD_LINES", lines)
         asked = ",\nasked(pos) AS (VALUES (0), (5), (11), (57), (123))" if name == "convert_units" else ""
-        found[name] = f"WITH {prelude.strip()}{asked}\n{body.strip()}"
+        found[name] = f"WITH {'RECURSIVE ' * (name == 'edits_composed')}{prelude.strip()}{asked}\n{body.strip()}"
     return found

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ligamap.functions import units
 from ligamap.functions.signal import Gradient, Options, parse_colour
-from ligamap.operators import layout, matrix, scaffolds, tiles
+from ligamap.operators import edits, layout, matrix, scaffolds, tiles
 from ligamap.operators.split import split
 from ligamap.plans import documents
 from ligamap.schema import Assembly
-from ligamap.sources import agp, arrays, files
+from ligamap.sources import agp, arrays, container, files, versions
 from ligamap.sources.derived import EDGE, as_arrays, derive
 from ligamap.streaming.gate import gated
 
@@ -290,6 +290,73 @@ def contigs_in_scaffolds(s, d):
     return scaffolds.members(derive(s, d)).select("group_no", "scaffold_id", "contig_id")
 
 
+def _lines(s: SparkSession, d: str, a: Assembly) -> DataFrame:
+    """A range of the layout for each order line: (l_orderkey, l_linenumber, lo, hi), some of them of length 0 or past the end."""
+    line = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("n"))
+    lo = (F.col("l_partkey") * 7919 + F.col("l_suppkey") * 31 + F.col("l_orderkey")) % (layout.total(a) + 50)
+    return line.select("l_orderkey", "l_linenumber", lo.alias("lo"), (lo + (F.col("n") - 1) * (F.col("n") - 1)).alias("hi"))
+
+
+def ranges_to_contigs(s, d):
+    """For each of the lines' ranges its first and last contig and how many it overlaps."""
+    a = derive(s, d)
+    first, last = F.col("first.ord"), F.col("last.ord")
+    return layout.contig_places(a).ends(_lines(s, d, a), "lo", "hi", first_id=F.col("first.contig_id"), last_id=F.col("last.contig_id"), n=F.coalesce(last - first + 1, F.lit(0)).cast("bigint")).drop("lo", "hi")
+
+
+def ranges_over_contigs(s, d):
+    """How many of the lines' ranges overlap each contig, and by how many base pairs in sum."""
+    a = derive(s, d)
+    met = layout.contig_places(a).over(_lines(s, d, a), "lo", "hi", "contig_id", "s", "e")
+    return met.groupBy("contig_id").agg(F.count("*").alias("n"), F.sum(F.least("hi", "e") - F.greatest("lo", "s")).alias("bp"))
+
+
+def points_in_scaffolds(s, d):
+    """The scaffold that holds each line's range's start, and where in it."""
+    a = derive(s, d)
+    found = scaffolds.scaffold_at(a, _lines(s, d, a).select("l_orderkey", "l_linenumber", F.col("lo").alias("bp")))
+    return found.select("l_orderkey", "l_linenumber", "scaffold_id", (F.col("bp") - F.col("start_bp")).alias("off"))
+
+
+def points_converted(s, d):
+    """Each line's range's start in pixels of the second resolution."""
+    a = derive(s, d)
+    asked = _lines(s, d, a).select("lo").distinct().withColumnRenamed("lo", "pos")
+    return layout.convert(a, asked, "bp", 0, "pixels", 2)
+
+
+def ranges_snapped(s, d):
+    """What an edit of each line's range takes: whole contigs, widened to whole scaffolds."""
+    a = derive(s, d)
+    return scaffolds.snapped(a, _lines(s, d, a), "lo", "hi").drop("lo", "hi")
+
+
+def edits_composed(s, d):
+    """A reversal and a move for each nation, one after the other, in a layout without scaffolds."""
+    a = derive(s, d, contact_orders=())
+    t = layout.total(a)
+    told = []
+    for (k,) in s.read.parquet(f"{d}/nation.parquet").select("n_nationkey").orderBy("n_nationkey").collect():
+        at = (k * 7919 + 13) % t
+        told.append(edits.Reverse(at, at + 1 + k * 104729 % (t // 3)))
+        at = (k * 15485863 + 7) % t
+        told.append(edits.Move(at, at + 1 + k * 32452843 % (t // 4), k * 49979687 % t))
+    return edits.apply(a.with_(scaffold=a.scaffold.limit(0)), told).layout
+
+
+def layout_versions(s, d):
+    """The layout at three committed versions of a dataset, each opened again: after a reversal, a move and a split."""
+    path = container.scratch(s)
+    container.save(derive(s, d, contact_orders=()), path)
+    base = first = versions.checkout(s, path)
+    t, lo, hi = _range(first)
+    for number, new in enumerate((scaffolds.reverse(first, lo, hi), scaffolds.move(first, lo, hi, 3 * t // 4), split(first, t // 3))):
+        versions.commit(new, base, path, number)
+        base = versions.checkout(s, path)
+    every = [versions.checkout(s, path, number).layout.withColumn("version", F.lit(number)) for number in (1, 2, 3)]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
 def agp_export(s, d):
     return agp.export(derive(s, d))
 
@@ -328,6 +395,14 @@ def version_gate(s, d):
     return gated(events).withColumnRenamed("request_id", "event_id")
 
 
+def version_gate_shared_ids(s, d):
+    """Requests that share ids, lie far off or have none: the lines of an order are one arrival."""
+    line = s.read.parquet(f"{d}/lineitem.parquet")
+    asked = F.when(F.col("l_linenumber") < 7, F.when(F.col("l_orderkey") % 1000 == 1, F.col("l_orderkey") * 1_000_000_000).otherwise(F.col("l_orderkey")))
+    version = F.when(F.col("l_partkey") % 50 > 0, F.expr("l_orderkey div 8") + F.col("l_partkey") % 97)
+    return gated(line.select(asked.alias("request_id"), version.cast("bigint").alias("version")))
+
+
 PLAIN = [
     resolutions, resolution_lower_bound, pixel_ratios, contig_lengths_units, matrix_sizes, initial_layout, layout_positions, visible_contigs, edge_contigs,
     atu_dictionary, atu_prefix_sums, expose_range_bp, expose_range_px, split_by_count, convert_units, atus_for_range, atus_coalesced, block_directory,
@@ -335,7 +410,7 @@ PLAIN = [
     range_weights, tile_apply_weights, tile_rgba, tile_stats, tile_grid_coarse, append_contig, scaffold_list, scaffold_at_bp, extend_borders, scaffolds_in_range,
     contigs_in_scaffolds, agp_export, agp_parse, agp_validate, agp_import_layout, agp_import_scaffolds, assembly_json, contig_maps, opened_json, version_gate,
     tile_raster, resolutions_discovered, block_edges, listed_files, colours_parsed, imported_atus, imported_contacts, imported_layout, imported_presence, imported_weights,
-    imported_submatrix,
+    imported_submatrix, ranges_to_contigs, ranges_over_contigs, points_in_scaffolds, points_converted, ranges_snapped, edits_composed, layout_versions, version_gate_shared_ids,
 ]
 
 

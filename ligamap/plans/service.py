@@ -10,11 +10,11 @@ from pyspark.sql import SparkSession
 
 from ligamap.functions.signal import Options
 from ligamap.functions.units import level_to_order
-from ligamap.operators import layout, scaffolds, tiles
+from ligamap.operators import edits, layout, scaffolds, tiles
 from ligamap.operators.split import split
 from ligamap.plans import documents
 from ligamap.schema import Assembly
-from ligamap.sources import agp, container, files
+from ligamap.sources import agp, container, files, versions
 
 #: Layout and scaffold edits after which the layout's frames are written, so that plans stay short.
 WRITE_EVERY = 5
@@ -35,7 +35,10 @@ class Service:
     assembly: Assembly | None = None
     version: int = 0
     ranges: dict[int, tuple[float, float]] = field(default_factory=dict)
+    committed: int = 0
     _edits: int = 0
+    _base: Assembly | None = None
+    _path: str = ""
 
     def list_files(self) -> list[str]:
         return self._listed("all")
@@ -52,9 +55,11 @@ class Service:
     def _listed(self, kind: str) -> list[str]:
         return sorted(r["path"] for r in files.listed(self.spark, self.data_dir, kind).collect())
 
-    def open(self, filename: str) -> dict:
-        """Open a dataset of the data directory in place of the one that is open."""
-        self.assembly = container.load(self.spark, files.within(self.data_dir, filename))
+    def open(self, filename: str, version: int | None = None) -> dict:
+        """Open a dataset of the data directory in place of the one that is open, at a committed version or the newest."""
+        self._path = files.within(self.data_dir, filename)
+        self.committed = versions.newest(self.spark, self._path) if version is None else version
+        self.assembly = self._base = versions.checkout(self.spark, self._path, self.committed)
         self._edits = 0
         self._reset_ranges()
         return json.loads(documents.opened(self.assembly).first()["json"])
@@ -80,12 +85,27 @@ class Service:
             return a
         return a.with_(**{name: getattr(a, name).checkpoint() for name in container.FRAMES if name not in ("contact", "stripe_weight", "resolution")})
 
+    def commit(self, said: str = "") -> int:
+        """Keep what was edited as the dataset's next version. Raises versions.Conflict if another writer was first; the edits stay."""
+        self.committed = versions.commit(self._open(), self._base, self._path, self.committed, said)
+        self.assembly = self._base = versions.checkout(self.spark, self._path, self.committed)
+        self._edits = 0
+        return self.committed
+
+    def list_versions(self) -> list[dict]:
+        return [r.asDict() for r in versions.log(self.spark, self._path).select("version", "said").orderBy("version").collect()]
+
+    def apply_edits(self, said: list[dict]) -> dict:
+        """Reversals {start, end} and moves {start, end, target} one after the other, in one pass."""
+        return self._edit(edits.apply(self._open(), [edits.Move(e["start"], e["end"], e["target"]) if "target" in e else edits.Reverse(e["start"], e["end"]) for e in said]))
+
     def assembly_info(self) -> dict:
         rows = documents.assembly(self._open()).orderBy("kind", "place").collect()
         return {"contigDescriptors": [json.loads(r["json"]) for r in rows if r["kind"] == "contig"], "scaffoldDescriptors": [json.loads(r["json"]) for r in rows if r["kind"] == "scaffold"]}
 
-    def get_agp_for_assembly(self) -> str:
-        rows = agp.export(self._open()).orderBy("line_no").collect()
+    def get_agp_for_assembly(self, default_spacer: int = 0) -> str:
+        """The assembly as AGP text; scaffolds without a spacer of their own get ``default_spacer``."""
+        rows = agp.export(self._open(), default_spacer).orderBy("line_no").collect()
         return "".join(r["line"] + "\n" for r in rows)
 
     def load_agp(self, filename: str) -> dict:

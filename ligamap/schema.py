@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -45,6 +46,11 @@ class Assembly:
     def with_(self, **frames) -> Assembly:
         return replace(self, **frames)
 
+    @cached_property
+    def n_contigs(self) -> int:
+        """Contigs of the layout, counted once."""
+        return self.layout.count()
+
 
 #: Rows up to which a frame of a layout's size is broadcast.
 SMALL_ROWS = 1_000_000

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ligamap.operators.layout import renumber
+from ligamap.operators.layout import splits
+from ligamap.operators.ranges import islands, running, splitters
 from ligamap.operators.scaffolds import members
 from ligamap.schema import Assembly
 
@@ -17,13 +18,15 @@ GAP_TYPES = ("scaffold", "contig", "centromere", "short_arm", "heterochromatin",
 EVIDENCE = ("proximity_ligation", "na", "paired-ends", "paired_ends", "align_genus", "align_xgenus", "align_trnscpt", "within_clone", "clone_contig", "map", "pcr", "strobe", "unspecified")
 
 
-def export(a: Assembly) -> DataFrame:
-    """(line_no, line): the assembly as AGP. Contigs of a scaffold follow each other with gaps of its spacer; others are objects of their own."""
+def export(a: Assembly, spacer: int = 0) -> DataFrame:
+    """(line_no, line): the assembly as AGP. Contigs of a scaffold follow each other with gaps of its spacer, or of ``spacer`` where it has none; others are objects of their own."""
     c = a.contig.select("contig_id", F.col("name").alias("contig_name"), "source_name", "source_offset")
-    in_group = Window.partitionBy("group_no").orderBy("ord")
-    n = members(a).join(c, "contig_id").withColumn("n", F.row_number().over(in_group)).withColumn("of", F.count("*").over(Window.partitionBy("group_no")))
-    g = F.coalesce("spacer", F.lit(0))
-    begin = 1 + F.sum("len").over(in_group.rowsBetween(Window.unboundedPreceding, 0)) - F.col("len") + (F.col("n") - 1) * g
+    found = members(a)
+    # A group's contigs follow each other, so that their places in it are differences; no group needs to meet in one task.
+    groups = found.groupBy("group_no").agg(F.min("ord").alias("at"), F.count("*").alias("of"), F.min("s").alias("from"))
+    n = found.join(groups, "group_no").join(c, "contig_id").withColumn("n", F.col("ord") - F.col("at") + 1)
+    g = F.coalesce("spacer", F.lit(spacer))
+    begin = 1 + F.col("s") - F.col("from") + (F.col("n") - 1) * g
     placed = n.withColumn("begin", begin).withColumn("stop", F.col("begin") + F.col("len") - 1).withColumn("gap", g)
     object_name = F.coalesce("name", F.concat(F.lit("unscaffolded_"), "contig_name"))
     part = F.when(F.col("gap") > 0, 2 * F.col("n") - 1).otherwise(F.col("n"))
@@ -35,7 +38,7 @@ def export(a: Assembly) -> DataFrame:
     gap = line(object_name, F.col("stop") + 1, F.col("stop") + F.col("gap"), 2 * F.col("n"), F.lit("N"), "gap", F.lit("scaffold"), F.lit("yes"), F.lit("proximity_ligation"))
     has_gap = (F.col("gap") > 0) & (F.col("n") < F.col("of"))
     rows = placed.select("ord", F.posexplode(F.when(has_gap, F.array(component, gap)).otherwise(F.array(component))).alias("k", "line"))
-    return rows.select(F.row_number().over(Window.orderBy("ord", "k")).alias("line_no"), "line")
+    return running(rows, "ord", {"line_no": F.lit(1)}, splits(a), ("k",)).select(F.col("line_no").cast("int").alias("line_no"), "line")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -117,7 +120,8 @@ def validate(lines: DataFrame, contig: DataFrame) -> DataFrame:
 def import_layout(parsed: DataFrame, contig: DataFrame) -> DataFrame:
     """The layout that valid records describe: components in the order of their lines; only ``-`` is reversed."""
     met = parsed.where("kind = 'W'").join(contig.select(F.col("name").alias("component"), "contig_id"), "component")
-    return renumber(met.select("line_no", "contig_id", F.when(F.col("orientation") == "minus", 0).otherwise(1).alias("dir")), "line_no")
+    numbered = running(met, "line_no", {"ord": F.lit(1)}, splitters(parsed, "line_no")[1])
+    return numbered.select(F.col("ord").cast("int").alias("ord"), "contig_id", F.when(F.col("orientation") == "minus", 0).otherwise(1).alias("dir"))
 
 
 def import_scaffolds(parsed: DataFrame, counter: int = 0) -> DataFrame:
@@ -125,9 +129,8 @@ def import_scaffolds(parsed: DataFrame, counter: int = 0) -> DataFrame:
     size = F.sum(F.when(F.col("kind") == "W", F.col("object_end") - F.col("object_beg") + 1).otherwise(0))
     spacer = F.coalesce(F.max(F.when(F.col("kind") == "gap", F.col("gap_length"))), F.lit(1000))
     objects = parsed.groupBy("object").agg(F.min("line_no").alias("first"), F.count("*").alias("n"), size.alias("size"), spacer.alias("spacer"))
-    in_order = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
-    placed = objects.withColumn("end_bp", F.sum("size").over(in_order)).withColumn("is", (F.col("n") > 1) | ~F.col("object").startswith("unscaffolded"))
-    made = placed.withColumn("k", F.sum(F.col("is").cast("bigint")).over(in_order)).where("is")
+    named = objects.withColumn("is", (F.col("n") > 1) | ~F.col("object").startswith("unscaffolded"))
+    made = running(named, "first", {"end_bp": F.col("size"), "k": F.col("is").cast("bigint")}, splitters(parsed, "line_no")[1]).where("is")
     return made.select((counter + 1 + F.col("k")).alias("scaffold_id"), F.col("object").alias("name"), "spacer", (F.col("end_bp") - F.col("size")).alias("start_bp"), "end_bp")
 
 
@@ -137,8 +140,8 @@ def load(a: Assembly, lines: DataFrame) -> Assembly:
     if wrong:
         raise ValueError(f"line {wrong['line_no']}: {wrong['error']}")
     parsed = parse(lines)
-    starts = F.when(F.coalesce(F.lag("object").over(Window.orderBy("line_no")) == F.col("object"), F.lit(False)), 0).otherwise(1)
-    counts = parsed.withColumn("new", starts).agg(F.coalesce(F.sum("new"), F.lit(0)), F.countDistinct("object")).first()
+    runs = islands(parsed.select("line_no", "object"), "line_no", F.col("object") == F.col("last_object"), ["object"], splitters(parsed, "line_no")[1])
+    counts = runs.agg(F.coalesce(F.max("island"), F.lit(0)), F.countDistinct("object")).first()
     if counts[0] != counts[1]:
         raise ValueError("the records of an object must follow each other")
     scaffold = import_scaffolds(parsed, a.scaffold_counter)

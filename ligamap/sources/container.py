@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,14 @@ from ligamap.schema import SCHEMAS, Assembly
 FRAMES = ("resolution", "contig", "contig_res", "contig_atu", "stripe_weight", "contact", "layout", "scaffold")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a dataset, below spark.checkpoint.dir, which all executors share; a local one only in local mode where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='ligamap-')).rstrip('/')}/dataset-{uuid.uuid4().hex}"
+
+
 def save(a: Assembly, path: str) -> None:
     """Write the tables; contacts by resolution, rows of a block next to each other so that row groups can be skipped."""
     for name in FRAMES:

@@ -17,6 +17,8 @@ from ligamap.plans.service import Service, Stale
 from ligamap.schema import SCHEMAS, Assembly
 from ligamap.sources import agp, arrays, container, files
 from ligamap.sources.derived import as_arrays
+from ligamap.operators.ranges import splitters
+from ligamap.streaming import gate
 from ligamap.streaming.gate import gated, gated_stream
 
 EDGE = 4
@@ -319,23 +321,45 @@ def test_gate(spark):
     assert got == wanted
 
 
-def test_gate_over_a_stream(spark, tmp_path):
+def plain_gate(rows):
+    """(id, version, accepted) by the requests of lesser ids; null ids come last."""
+    out = []
+    for i, v in rows:
+        before = [w for j, w in rows if w is not None and j is not None and (i is None or j < i)]
+        out.append((i, v, v is None or not before or v >= max(before)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("to_a_range", [3, 50_000])
+def test_gate_with_null_equal_and_far_ids(spark, monkeypatch, to_a_range):
+    rng = random.Random(6)
+    rows = [(1, 5), (None, 3), (2, 4), (None, 9), (2**60, 1), (-(2**60), 2), (7, None)]
+    rows += [(rng.choice([10, 11, rng.randrange(12, 40)]), rng.choice([None, rng.randrange(30)])) for _ in range(200)]
+    monkeypatch.setattr(gate, "splitters", lambda frame, key: splitters(frame, key, to_a_range))
+    for some in (rows, rows[:4], [(None, 1), (None, 2)], []):
+        got = gated(spark.createDataFrame(some, "request_id bigint, version bigint").repartition(4)).collect()
+        assert sorted(map(tuple, got), key=str) == plain_gate(some)
+
+
+def test_gate_over_a_stream_that_is_started_again(spark, tmp_path):
     rng = random.Random(4)
-    first = [(k, i, rng.randrange(20)) for k in "ab" for i in range(20)]
-    second = [(k, i, rng.randrange(25)) for k in "ab" for i in range(20, 40)]
     schema = "key string, request_id bigint, version bigint"
+    batch = lambda lo, hi: [(k, rng.randrange(lo, hi), rng.choice([None, rng.randrange(hi)])) for k in "ab" for _ in range(20)]
+    told, first, second = batch(0, 10), batch(10, 20), [*batch(20, 30), ("a", None, 3), ("c", None, None), ("c", 5, 1)]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", gate.STORE)
     (tmp_path / "in").mkdir()
-    stream = gated_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    query = stream.writeStream.format("memory").queryName("gate_test").outputMode("append").option("checkpointLocation", str(tmp_path / "at")).start()
-    try:
-        query.processAllAvailable()
-        spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    wanted, high = {}, {}
-    for k, i, v in sorted(first + second, key=lambda r: r[1]):
-        wanted[k, i] = v >= high.get(k, v)
-        high[k] = max(v, high.get(k, v))
-    assert {(r["key"], r["request_id"]): r["accepted"] for r in spark.table("gate_test").collect()} == wanted
+    seen = spark.createDataFrame(told, schema).groupBy("key").agg(F.max("version").alias("high"))
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = gated_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), seen)
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+
+    run(first)
+    run(second)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    for key in "abc":
+        wanted = plain_gate([r[1:] for r in told + first + second if r[0] == key])
+        for r in plain_gate([r[1:] for r in told if r[0] == key]):
+            wanted.remove(r)
+        assert sorted((tuple(r[c] for c in ("request_id", "version", "accepted")) for r in got if r["key"] == key), key=str) == wanted

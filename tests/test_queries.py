@@ -13,7 +13,7 @@ from ligamap.plans.oracles import oracle_sql
 from ligamap.plans.queries import queries
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = ("part", "lineitem", "events")
+TABLES = ("part", "lineitem", "events", "nation", "orders")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
 
 
