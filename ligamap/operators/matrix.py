@@ -19,7 +19,7 @@ def placed_atus(a: Assembly, order: int, units: str = "pixels") -> DataFrame:
     """
     at = spans(a, units, order).where("len > 0").withColumnRenamed("dir", "contig_dir")
     n = F.col("end") - F.col("start")
-    met = a.contig_atu.where(F.col("res_order") == order).select("contig_id", "stripe_id", "start", "end", "dir", "off").join(small(at), "contig_id")
+    met = a.contig_atu.where(F.col("res_order") == order).select("contig_id", "stripe_id", "start", "end", "dir", "off").join(small(at, a.n_contigs), "contig_id")
     p0 = F.when(F.col("contig_dir") == 1, F.col("s") + F.col("off")).otherwise(F.col("e") - F.col("off") - n)
     same = F.when(F.col("contig_dir") == F.col("dir"), 1).otherwise(0)
     return met.select("stripe_id", "start", "end", same.alias("dir"), p0.alias("p0"), (p0 + n).alias("p1"))
@@ -67,9 +67,10 @@ def ranges(stripes: list[int], most: int = MOST_RANGES) -> list[tuple[int, int]]
     return [(stripes[a], stripes[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(stripes)], strict=True)] if stripes else []
 
 
-def _within(column: str, stripes: list[int]) -> Column:
+def within(column: str, values: list[int]) -> Column:
+    """``column`` in up to MOST_RANGES ranges that hold ``values``, as literals that reach a scan."""
     found = F.lit(False)
-    for a, b in ranges(stripes):
+    for a, b in ranges(values):
         found |= F.col(column) == a if a == b else F.col(column).between(a, b)
     return found
 
@@ -89,8 +90,12 @@ def cells(a: Assembly, order: int, units: str = "pixels", window: tuple[int, int
         touched = units_at.groupBy("stripe_id").agg(*(F.max((F.col("p0") < hi) & (F.col("p1") > lo)).alias(n) for n, lo, hi in (("row", r0, r1), ("col", c0, c1)))).collect()
         rows, cols = ([t["stripe_id"] for t in touched if t[n]] for n in ("row", "col"))
         # The stored triangle answers both orders of stripes.
-        contact = contact.where((_within("row_stripe", rows) & _within("col_stripe", cols)) | (_within("row_stripe", cols) & _within("col_stripe", rows)))
-    units_at = small(units_at)
+        if a.read_blocks:
+            contact = a.read_blocks(order, rows, cols)
+        else:
+            contact = contact.where((within("row_stripe", rows) & within("col_stripe", cols)) | (within("row_stripe", cols) & within("col_stripe", rows)))
+    # A unit has a position at least, so a window has no more units than positions.
+    units_at = small(units_at, r1 - r0 + c1 - c0 if window else None)
     sides = [units_at.select(*(F.col(c).alias(f"{x}_{c}") for c in units_at.columns)) for x in ("x", "y")]
     on_x = (F.col("row_stripe") == F.col("x_stripe_id")) & (F.col("r") >= F.col("x_start")) & (F.col("r") < F.col("x_end"))
     on_y = (F.col("col_stripe") == F.col("y_stripe_id")) & (F.col("c") >= F.col("y_start")) & (F.col("c") < F.col("y_end"))
@@ -138,7 +143,7 @@ def range_weights(a: Assembly, order: int, start: int, end: int, units: str = "p
     """(i, weight) of the positions of [start, end) that the layout has, counted from ``start``."""
     near = placed_atus(a, order, units).where((F.col("p0") < end) & (F.col("p1") > start))
     stripes = [r["stripe_id"] for r in near.select("stripe_id").distinct().collect()]  # the window's
-    met = a.stripe_weight.where((F.col("res_order") == order) & _within("stripe_id", stripes)).withColumnRenamed("off", "t").join(small(near), "stripe_id").where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")))
+    met = a.stripe_weight.where((F.col("res_order") == order) & within("stripe_id", stripes)).withColumnRenamed("off", "t").join(small(near, end - start), "stripe_id").where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")))
     return met.select((_at("", "t") - start).alias("i"), "weight").where((F.col("i") >= 0) & (F.col("i") < end - start))
 
 

@@ -223,8 +223,14 @@ def colours_parsed(s, d):
     return s.createDataFrame([(k, *parse_colour(c)) for k, c in enumerate(said)], "k int, red int, green int, blue int, alpha int")
 
 
-def _imported(s, d) -> Assembly:
-    return arrays.assemble(as_arrays(derive(s, d, reversed_some=True), EDGE * EDGE // 50))
+def _imported(s, d, cells: bool = False) -> Assembly:
+    tables = as_arrays(derive(s, d, reversed_some=True), EDGE * EDGE // 50)
+    if cells:  # as a container is: on file
+        path = container.scratch(s)
+        for name, frame in tables.items():
+            frame.write.parquet(f"{path}/{name}")
+        tables = arrays.read(s, path)
+    return arrays.assemble(tables, cells)
 
 
 def imported_atus(s, d):
@@ -232,7 +238,7 @@ def imported_atus(s, d):
 
 
 def imported_contacts(s, d):
-    return _imported(s, d).contact
+    return _imported(s, d, cells=True).contact
 
 
 def imported_layout(s, d):
@@ -248,7 +254,7 @@ def imported_weights(s, d):
 
 
 def imported_submatrix(s, d):
-    return matrix.submatrix(_imported(s, d), 1, *WINDOW)
+    return matrix.submatrix(_imported(s, d, cells=True), 1, *WINDOW)
 
 
 def append_contig(s, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -42,6 +43,8 @@ class Assembly:
     scaffold: DataFrame
     edge: int = DEFAULT_EDGE
     scaffold_counter: int = 0
+    #: (order, row stripes, column stripes) -> the contacts of those blocks in either order, where the source finds blocks faster than by a filter.
+    read_blocks: Callable[[int, list[int], list[int]], DataFrame] | None = None
 
     def with_(self, **frames) -> Assembly:
         return replace(self, **frames)
@@ -56,8 +59,10 @@ class Assembly:
 SMALL_ROWS = 1_000_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is counted and has at most SMALL_ROWS rows; else the planner chooses."""
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has at most SMALL_ROWS rows, by the bound ``most`` that is known or by a count; else the planner chooses."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    if most is None:
+        most = df.limit(SMALL_ROWS + 1).count()
+    return F.broadcast(df) if most <= SMALL_ROWS else df

@@ -6,11 +6,18 @@ conversion from any array container is a plain copy; what the arrays mean togeth
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ligamap.functions.units import block_edge, discovered, scaled
-from ligamap.schema import Assembly
+from ligamap.operators.matrix import MOST_RANGES, within
+from ligamap.operators.ranges import places
+from ligamap.schema import SCHEMAS, Assembly, small
+
+#: Cells of one resolution, at most; so (resolution, index) is one whole number.
+MOST_CELLS = 1 << 44
 
 #: ``cells`` of a dense block are its rows; an ``offset`` below 0 is the dense block -(offset + 1), others start in ``coo``.
 TABLES = {
@@ -45,21 +52,65 @@ def atus(tables: dict[str, DataFrame], orders: DataFrame) -> DataFrame:
     return met.select("res_order", "contig_id", (F.row_number().over(of_contig) - 1).alias("seq"), "stripe_id", "start", "end", "dir", off.alias("off"))
 
 
-def contacts(tables: dict[str, DataFrame], orders: DataFrame) -> DataFrame:
-    """The cells of sparse and of dense blocks. Of a block on the diagonal the upper triangle counts, blocks below it and zeros don't."""
+def directory(tables: dict[str, DataFrame], orders: DataFrame) -> DataFrame:
+    """(bp, res_order, length, offset, row_stripe, col_stripe) of the blocks of the upper triangle that hold anything."""
     counts = tables["stripes"].groupBy("bp").agg(F.count("*").alias("n"))
     blocks = tables["blocks"].where("length > 0").join(F.broadcast(counts), "bp").join(F.broadcast(orders), "bp")
-    blocks = blocks.select("bp", "res_order", "length", "offset", F.expr("cast(i div n as int)").alias("row_stripe"), F.expr("cast(i % n as int)").alias("col_stripe")).where("row_stripe <= col_stripe")
-    listed = blocks.where("offset >= 0").select("bp", "res_order", "row_stripe", "col_stripe", F.explode(F.expr("sequence(offset, offset + length - 1)")).alias("i"))
-    sparse = listed.join(tables["coo"], ["bp", "i"]).select("res_order", "row_stripe", "col_stripe", "r", "c", "v")
-    full = blocks.where("offset < 0").withColumn("i", -(F.col("offset") + 1)).join(tables["dense_blocks"], ["bp", "i"])
+    return blocks.select("bp", "res_order", "length", "offset", F.expr("cast(i div n as int)").alias("row_stripe"), F.expr("cast(i % n as int)").alias("col_stripe")).where("row_stripe <= col_stripe")
+
+
+def contacts(blocks: DataFrame, coo: DataFrame, dense_blocks: DataFrame, orders: DataFrame) -> DataFrame:
+    """The cells of ``blocks``, sparse and dense. Of a block on the diagonal the upper triangle counts, zeros don't.
+
+    A sparse block is a run of cells. Runs don't overlap, so a cell's run is looked up by its index where the cell lies:
+    a row a run is broadcast, or shuffled beyond SMALL_ROWS of them, and no row a cell is made.
+    """
+    at = F.col("res_order") * MOST_CELLS
+    runs = places(blocks.where("offset >= 0").select("row_stripe", "col_stripe", (at + F.col("offset")).alias("s"), (at + F.col("offset") + F.col("length")).alias("e")), "s")
+    cells = coo.join(F.broadcast(orders), "bp").select("res_order", (at + F.col("i")).alias("at"), "r", "c", "v")
+    sparse = runs.at(cells, "at", "row_stripe", "col_stripe", how="inner").select("res_order", "row_stripe", "col_stripe", "r", "c", "v")
+    full = dense_blocks.join(small(blocks.where("offset < 0").withColumn("i", -(F.col("offset") + 1)).drop("offset", "length")), ["bp", "i"])
     rows = full.select("res_order", "row_stripe", "col_stripe", F.posexplode("cells").alias("r", "row"))
     dense = rows.select("res_order", "row_stripe", "col_stripe", "r", F.posexplode("row").alias("c", "v"))
     return sparse.unionByName(dense).where("v <> 0 and (row_stripe < col_stripe or r <= c)")
 
 
-def assemble(tables: dict[str, DataFrame]) -> Assembly:
-    """The assembly that the arrays hold, with the layout they name and no scaffolds. The finest resolution is the least above 0."""
+def in_runs(column: str, runs: list[tuple[int, int]], most: int = MOST_RANGES) -> Column:
+    """``column`` in up to ``most`` ranges that hold all runs [a, b) and skip the widest gaps between them, as literals that reach a scan."""
+    runs = sorted(runs)
+    gaps = sorted(range(1, len(runs)), key=lambda k: runs[k - 1][1] - runs[k][0])[: most - 1]
+    cuts = [0, *sorted(k for k in gaps if runs[k][0] > runs[k - 1][1]), len(runs)]
+    found = F.lit(False)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            found |= F.col(column).between(runs[a][0], runs[b - 1][1] - 1)
+    return found
+
+
+def block_reader(tables: dict[str, DataFrame], orders: DataFrame) -> Callable[[int, list[int], list[int]], DataFrame]:
+    """Reads the blocks of a window's stripes alone: their runs are fetched first (a row a block) and reach the scan of the cells as literals."""
+    blocks = directory(tables, orders)
+
+    def read(order: int, rows: list[int], cols: list[int]) -> DataFrame:
+        found = blocks.where((F.col("res_order") == order) & ((within("row_stripe", rows) & within("col_stripe", cols)) | (within("row_stripe", cols) & within("col_stripe", rows))))
+        wanted = {(min(x, y), max(x, y)) for x in rows for y in cols}
+        listed = [r for r in found.collect() if (r["row_stripe"], r["col_stripe"]) in wanted]
+        spark = found.sparkSession
+        own = spark.createDataFrame(listed, found.schema)
+        bp = F.lit(listed[0]["bp"] if listed else -1)
+        sparse = [(r["offset"], r["offset"] + r["length"]) for r in listed if r["offset"] >= 0]
+        coo = tables["coo"].where((F.col("bp") == bp) & in_runs("i", sparse))
+        dense = tables["dense_blocks"].where((F.col("bp") == bp) & within("i", [-(r["offset"] + 1) for r in listed if r["offset"] < 0]))
+        return contacts(own, coo, dense, orders)
+
+    return read
+
+
+def assemble(tables: dict[str, DataFrame], cells: bool = True) -> Assembly:
+    """The assembly that the arrays hold, with the layout they name and no scaffolds. The finest resolution is the least above 0.
+
+    Without ``cells`` the contacts are left out, and the directory of blocks isn't read.
+    """
     spark = tables["groups"].sparkSession
     orders = _orders(tables["groups"])
     finest = orders.where("bp > 0").agg(F.min("bp")).first()[0]
@@ -74,8 +125,9 @@ def assemble(tables: dict[str, DataFrame]) -> Assembly:
         contig_res=base.unionByName(at),
         contig_atu=atus(tables, orders),
         stripe_weight=weights,
-        contact=contacts(tables, orders),
+        contact=contacts(directory(tables, orders), tables["coo"], tables["dense_blocks"], orders) if cells else spark.createDataFrame([], SCHEMAS["contact"]),
         layout=ordered.join(info.select(F.col("i").alias("contig_id"), F.col("direction").alias("dir")), "contig_id").select("ord", "contig_id", "dir"),
         scaffold=spark.createDataFrame([], "scaffold_id bigint, name string, spacer bigint, start_bp bigint, end_bp bigint"),
         edge=block_edge(tables["groups"]),
+        read_blocks=block_reader(tables, orders) if cells else None,
     )

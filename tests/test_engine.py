@@ -290,6 +290,39 @@ def test_import_of_arrays(spark, tmp_path):
         one, two = getattr(a, name), getattr(b, name)
         assert sorted(map(tuple, one.select(*SCHEMA_NAMES[name]).collect())) == sorted(map(tuple, two.select(*SCHEMA_NAMES[name]).collect())), name
     assert b.edge == EDGE and b.scaffold.count() == 0
+    p = permutation([400, 305, 5, 500], [1, 0, 1, 0], [2, 0, 3, 1], {(1, 0, 1), (1, 3, 0)})
+    p = np.delete(p, 0)  # the hidden contig has no pixels
+    for window in ((0, 9, 0, 9), (3, 14, 60, 75), (100, 119, 0, 5), (500, 505, 500, 505)):
+        wanted = full[np.ix_(p[window[0] : window[1]], p[window[2] : window[3]])]
+        assert (dense_of(matrix.submatrix(b, 1, *window), *wanted.shape) == wanted).all() if wanted.size else matrix.submatrix(b, 1, *window).count() == 0
+
+
+@pytest.mark.parametrize("dense_from", [1, 17])
+def test_a_tile_of_imported_arrays_reads_its_runs_alone(spark, tmp_path, capsys, dense_from):
+    a, _ = make(spark, [400, 305, 500], dirs=[1, 0, 1], order=[2, 0, 1])
+    for name, frame in as_arrays(a, dense_from).items():
+        frame.write.parquet(str(tmp_path / name))
+    b = arrays.assemble(arrays.read(spark, str(tmp_path)))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    matrix.submatrix(b, 1, 0, 6, 8, 14).explain("formatted")
+    plan = capsys.readouterr().out
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.splitlines() if "PushedFilters" in line and "(i," in line]
+    # The cells are read by index and meet broadcast runs where they lie.
+    assert len(scans) == 1 and ("GreaterThanOrEqual(i," in scans[0] or "EqualTo(i," in scans[0])
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_runs_are_held_by_ranges(spark):
+    rng = random.Random(8)
+    for most in (1, 3, 100):
+        starts = sorted(rng.sample(range(0, 400, 10), 12))
+        runs = [(s, s + rng.randrange(1, 11)) for s in starts]
+        found = {r[0] for r in spark.range(450).where(arrays.in_runs("id", runs, most)).collect()}
+        assert found >= {i for a, b in runs for i in range(a, b)}
+        if most == 100:
+            assert found == {i for a, b in runs for i in range(a, b)}
+    assert spark.range(5).where(arrays.in_runs("id", [])).count() == 0
 
 
 def test_endpoints_that_edit(spark, tmp_path):
