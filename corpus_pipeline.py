@@ -16,29 +16,42 @@ from ligamap.llm.toxicity import drop_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Rows that Spark and a Python worker hand each other at a time. Spark's own 10,000 are tens of MB of texts, twice a task, beside the heap.
+BATCH_ROWS = "1024"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches, which are made when a stage's result is written."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go."""
+    _small_batches(spark)
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates stays, that of the least doc_id."""
+    _small_batches(spark)
     return keep_one(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut; documents of which nothing is left go."""
+    _small_batches(spark)
     return without_repeats(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are taken to their target weights: documents are left out, taken in part or taken twice."""
+    _small_batches(spark)
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document with its place in a sequence of at most 2048 tokens."""
+    _small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
