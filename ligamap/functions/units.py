@@ -52,6 +52,11 @@ def lengths(a: Assembly) -> DataFrame:
     return both.select("contig_id", "res_order", "bp", F.col("length_bins").alias("bins"), F.when(F.col("shown") == 1, F.col("length_bins")).otherwise(0).alias("pixels"))
 
 
+def largest_edge(edge: str = "edge", default: int = 256) -> Column:
+    """An aggregate: the largest edge that is named, or the default."""
+    return F.coalesce(F.max(edge), F.lit(default))
+
+
 def block_edge(edges: DataFrame, default: int = 256) -> int:
     """The largest edge that a resolution names (column ``edge``), or the default."""
-    return edges.agg(F.coalesce(F.max("edge"), F.lit(default))).first()[0]
+    return edges.agg(largest_edge(default=default)).first()[0]

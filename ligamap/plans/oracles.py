@@ -181,10 +181,12 @@ _CLIPPED = """
 SELECT a.res_order, h.contig_id, a.stripe_id, a.dir, a."start", a."end", greatest(f - off, 0) AS x0, least(l - off, "end" - "start") AS x1, off, f
 FROM contig_atu a JOIN hit USING (contig_id) JOIN held h ON h.res_order = a.res_order"""
 
+_BINS = "(SELECT res_order, CAST(sum(length_bins) AS BIGINT) AS bins FROM contig_res GROUP BY res_order)"
+
 BODIES = {
-    "resolutions": "SELECT * FROM resolution",
-    "resolution_lower_bound": "SELECT CAST(r AS BIGINT) AS requested_bp, CAST(CASE WHEN r < 1 THEN 0 ELSE (SELECT min(res_order) FROM res WHERE bp >= r) END AS INT) AS res_order FROM (VALUES (0), (1), (10), (11), (40), (100), (160), (161)) x(r)",
-    "pixel_ratios": "SELECT CAST(bp AS BIGINT) AS bp_resolution, bp / 10.0::DOUBLE AS ratio FROM res WHERE res_order > 0",
+    "resolutions": f"SELECT resolution.*, bins FROM resolution JOIN {_BINS} USING (res_order)",
+    "resolution_lower_bound": "SELECT CAST(r AS BIGINT) AS requested_bp, CAST(CASE WHEN r < 1 THEN 0 ELSE (SELECT min(res_order) FROM res WHERE bp >= r) END AS INT) AS res_order FROM (SELECT DISTINCT p_partkey * 7 % 200 AS r FROM part) x",
+    "pixel_ratios": f"SELECT CAST(bp AS BIGINT) AS bp_resolution, bins, bp / 10.0::DOUBLE AS ratio FROM res JOIN {_BINS} USING (res_order) WHERE res_order > 0",
     "contig_lengths_units": "SELECT contig_id, res_order, bp, bins, CAST(pixels AS BIGINT) AS pixels FROM len",
     "matrix_sizes": "SELECT res_order, CAST(sum(bins) AS BIGINT) AS bins, CAST(sum(pixels) AS BIGINT) AS pixels, count(*) AS contigs FROM len GROUP BY res_order",
     "initial_layout": "SELECT * FROM layout",
@@ -266,10 +268,12 @@ UNION ALL SELECT 'scaffold', start_bp, '{{"scaffoldId":' || scaffold_id || ',"sc
     "opened_json": """SELECT '{"resolutions":[' || string_agg(bp, ',' ORDER BY bp DESC) || '],"pixelResolutions":[' || string_agg(CAST(bp / 10.0::DOUBLE AS VARCHAR), ',' ORDER BY bp DESC)
   || '],"tileSize":64,"matrixSizesBins":[' || string_agg(n, ',' ORDER BY bp DESC) || ']}' AS json FROM (SELECT bp, CAST(sum(length_bins) AS BIGINT) AS n FROM contig_res JOIN res USING (res_order) WHERE res_order > 0 GROUP BY bp)""",
     "tile_raster": f"SELECT i, string_agg(printf('%02x%02x%02x%02x', red, green, blue, alpha), '' ORDER BY j) AS pixels FROM ({BODIES['tile_rgba']}) GROUP BY i",
-    "resolutions_discovered": "SELECT CAST(res_order AS INT) AS res_order, CAST(bp AS BIGINT) AS bp_resolution FROM res",
-    "block_edges": "SELECT * FROM (VALUES ('named', 128), ('none', 256)) x(kind, edge)",
-    "listed_files": "SELECT * FROM (VALUES ('part.parquet', false), ('lineitem.parquet', false), ('events.parquet', false)) x(path, is_agp)",
-    "colours_parsed": "SELECT * FROM (VALUES (0, 0, 96, 0, 255), (1, 255, 0, 17, 127), (2, 1, 2, 3, 63)) x(k, red, green, blue, alpha)",
+    "resolutions_discovered": "SELECT CAST(row_number() OVER (ORDER BY bp) - 1 AS INT) AS res_order, CAST(bp AS BIGINT) AS bp_resolution FROM (SELECT 0 AS bp UNION SELECT 10 * (1 + p_partkey % 7) FROM part WHERE p_partkey % 4 = 0)",
+    "block_edges": "SELECT contig_id % 7 AS dataset, CAST(coalesce(max(CASE WHEN contig_id % 7 < 3 THEN length_bins END), 256) AS INT) AS edge FROM contig_res WHERE res_order = 1 GROUP BY 1",
+    "listed_files": """SELECT kind, path FROM (SELECT 'data/' || p_partkey || ['.agp', '.FASTA', '.mcool', '.cool', '.txt', '.AGP.gz'][1 + p_partkey % 6] AS path, p_partkey % 6 AS k FROM part),
+  (VALUES ('all', NULL), ('agp', [0]), ('fasta', [1]), ('coolers', [2, 3])) x(kind, ks) WHERE ks IS NULL OR list_contains(ks, k)""",
+    "colours_parsed": """SELECT p_partkey AS k, CASE WHEN p_partkey % 10 <> 3 THEN CAST(p_partkey % 256 AS INT) END AS red, CASE WHEN p_partkey % 10 <> 3 THEN CAST(p_partkey % 200 AS INT) END AS green,
+  CASE WHEN p_partkey % 10 <> 3 THEN 17 END AS blue, CASE WHEN p_partkey % 10 <> 3 THEN [255, 127, 63, 0][1 + p_partkey % 4] END AS alpha FROM part""",
     "imported_atus": 'SELECT res_order, contig_id, seq, stripe_id, "start", "end", dir, off FROM contig_atu',
     "imported_contacts": "SELECT res_order, CAST(lo // 64 AS INT) AS row_stripe, CAST(hi // 64 AS INT) AS col_stripe, CAST(lo % 64 AS INT) AS r, CAST(hi % 64 AS INT) AS c, v FROM contact WHERE res_order = 1",
     "imported_layout": "SELECT * FROM layout",
@@ -291,6 +295,13 @@ BODIES |= {
     "ranges_snapped": f"SELECT l_orderkey, l_linenumber, CAST(coalesce(x.start_bp, s) AS BIGINT) AS seg_start, CAST(coalesce(y.end_bp, e) AS BIGINT) AS seg_end FROM {_SEGS} LEFT JOIN scaffold x ON x.start_bp <= s AND x.end_bp > s LEFT JOIN scaffold y ON y.start_bp < e AND y.end_bp > e",
 }
 
+BODIES["tiles_encoded"] = """
+SELECT tile_row, tile_col, sha256(unhex(string_agg(printf('%02x%02x%02x%02x', CAST(floor(255 - 255 * s + 0.5) AS INT), CAST(floor(255 - 159 * s + 0.5) AS INT), CAST(floor(255 - 255 * s + 0.5) AS INT), CAST(floor(255 * s + 0.5) AS INT)), '' ORDER BY i, j))) AS raster_sha256
+FROM (SELECT tile_row, tile_col, i, j, least(1.0, greatest(0.0, coalesce(ln(1 + v) / ln(10), 0) / 2.0)) AS s
+  FROM (SELECT DISTINCT p // 64 AS tile_row, q // 64 AS tile_col FROM cells WHERE res_order = 2) CROSS JOIN (SELECT unnest(range(64)) AS i) CROSS JOIN (SELECT unnest(range(64)) AS j)
+  LEFT JOIN (SELECT p, q, v FROM cells WHERE res_order = 2) ON p = tile_row * 64 + i AND q = tile_col * 64 + j)
+GROUP BY tile_row, tile_col"""
+BODIES["agp_read_back"] = BODIES["agp_parse"]
 BODIES["version_gate_shared_ids"] = """SELECT request_id, version, coalesce(version >= max(version) OVER (ORDER BY request_id NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), true) AS accepted FROM (
   SELECT CASE WHEN l_linenumber < 7 THEN CASE WHEN l_orderkey % 1000 = 1 THEN l_orderkey * 1000000000 ELSE l_orderkey END END AS request_id,
     CAST(CASE WHEN l_partkey % 50 > 0 THEN l_orderkey // 8 + l_partkey % 97 END AS BIGINT) AS version FROM lineitem)"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ligamap.functions import units
-from ligamap.functions.signal import Gradient, Options, parse_colour
+from ligamap.functions.signal import Gradient, Options, colour_of
 from ligamap.operators import edits, layout, matrix, scaffolds, tiles
 from ligamap.operators.split import split
 from ligamap.plans import documents
@@ -48,17 +48,23 @@ def _asked(spark: SparkSession, name: str, values: list[int]) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], f"{name} bigint")
 
 
+def _sized(a: Assembly) -> DataFrame:
+    """The resolutions with the bins of the map at each."""
+    return a.resolution.join(a.contig_res.groupBy("res_order").agg(F.sum("length_bins").alias("bins")), "res_order")
+
+
 def resolutions(s, d):
-    return derive(s, d).resolution
+    return _sized(derive(s, d))
 
 
 def resolution_lower_bound(s, d):
-    return units.at_least(derive(s, d).resolution, _asked(s, "requested_bp", [0, 1, 10, 11, 40, 100, 160, 161]))
+    asked = s.read.parquet(f"{d}/part.parquet").select((F.col("p_partkey") * 7 % 200).alias("requested_bp")).distinct()
+    return units.at_least(derive(s, d).resolution, asked)
 
 
 def pixel_ratios(s, d):
-    r = derive(s, d).resolution.where("res_order > 0")
-    return r.select("bp_resolution", (F.col("bp_resolution") / F.min("bp_resolution").over(Window.partitionBy())).alias("ratio"))
+    r = _sized(derive(s, d)).where("res_order > 0")
+    return r.select("bp_resolution", "bins", (F.col("bp_resolution") / F.min("bp_resolution").over(Window.partitionBy())).alias("ratio"))  # a row a resolution
 
 
 def contig_lengths_units(s, d):
@@ -202,25 +208,42 @@ def tile_raster(s, d):
     return lines.select("i", F.array_join(F.col("line.x"), "").alias("pixels"))
 
 
+def tiles_encoded(s, d):
+    """Every tile of the second resolution that holds a cell, encoded; what the images hold, by the raster's digest."""
+    a = derive(s, d, contact_orders=(2,))
+    return tiles.encoded(a, 2, Options(colours=Gradient(highest=2.0)), EDGE).drop("png")
+
+
 def resolutions_discovered(s, d):
-    """Resolutions among the names of groups, some of which aren't numbers."""
-    names = derive(s, d).resolution.select(F.col("bp_resolution").cast("string").alias("name")).union(s.createDataFrame([("attributes",), ("1e3",), ("-5",), ("0",)], "name string"))
+    """Resolutions among names of groups, some of which aren't numbers."""
+    k = F.col("p_partkey")
+    names = s.read.parquet(f"{d}/part.parquet").select(F.element_at(F.array((10 * (1 + k % 7)).cast("string"), F.concat(F.lit("res_"), k), F.lit("-5"), F.lit("0")), (1 + k % 4).cast("int")).alias("name"))
     return units.discovered(names).select(F.col("res_order").cast("int").alias("res_order"), "bp_resolution")
 
 
 def block_edges(s, d):
-    named = s.createDataFrame([(1, 64), (2, None), (3, 128)], "res_order int, edge int")
-    return s.createDataFrame([("named", units.block_edge(named)), ("none", units.block_edge(named.where("edge > 999")))], "kind string, edge int")
+    """The edge of datasets of which some name one: groups of contigs stand for datasets, their lengths for edges."""
+    named = derive(s, d).contig_res.where("res_order = 1").select((F.col("contig_id") % 7).alias("dataset"), F.when(F.col("contig_id") % 7 < 3, F.col("length_bins")).cast("int").alias("edge"))
+    return named.groupBy("dataset").agg(units.largest_edge().alias("edge"))
 
 
 def listed_files(s, d):
-    """Files by suffix in a folder of the same names as the tables."""
-    return files.listed(s, d, "all").where("path in ('part.parquet', 'lineitem.parquet', 'events.parquet')").select("path", F.lower("path").endswith(".agp").alias("is_agp"))
+    """Names of files by kind."""
+    k, found = F.col("p_partkey"), None
+    suffix = F.element_at(F.array(*map(F.lit, (".agp", ".FASTA", ".mcool", ".cool", ".txt", ".AGP.gz"))), (1 + k % 6).cast("int"))
+    names = s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("data/"), k, suffix).alias("path"))
+    for kind in files.KINDS:
+        own = names.where(files.of_kind(F.col("path"), kind)).select(F.lit(kind).alias("kind"), "path")
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 def colours_parsed(s, d):
-    said = ["rgba(0,96,0,1)", " rgba( 255 , 0,17,0.5) ", "rgba(1,2,3,0,25)"]
-    return s.createDataFrame([(k, *parse_colour(c)) for k, c in enumerate(said)], "k int, red int, green int, blue int, alpha int")
+    """Colours as a client writes them, for each part; some aren't colours."""
+    k = F.col("p_partkey")
+    alpha = F.element_at(F.array(*map(F.lit, ("1", "0.5", "0,25", "0"))), (1 + k % 4).cast("int"))
+    said = F.when(k % 10 == 3, "blue").otherwise(F.concat(F.lit(" rgba( "), k % 256, F.lit(", "), k % 200, F.lit(",17 ,"), alpha, F.lit(")")))
+    return s.read.parquet(f"{d}/part.parquet").select(k.alias("k"), colour_of(said).alias("c")).select("k", "c.*")
 
 
 def _imported(s, d, cells: bool = False) -> Assembly:
@@ -371,6 +394,13 @@ def agp_parse(s, d):
     return agp.parse(agp.export(derive(s, d)))
 
 
+def agp_read_back(s, d):
+    """Exported lines, written as text by ranges, read back and parsed."""
+    path = container.scratch(s)
+    agp.write_lines(agp.export(derive(s, d)), path)
+    return agp.parse(agp.read_lines(s, path))
+
+
 def agp_validate(s, d):
     return agp.validate(s.createDataFrame(list(enumerate(BAD_AGP, 1)), "line_no int, line string"), derive(s, d).contig)
 
@@ -416,7 +446,7 @@ PLAIN = [
     range_weights, tile_apply_weights, tile_rgba, tile_stats, tile_grid_coarse, append_contig, scaffold_list, scaffold_at_bp, extend_borders, scaffolds_in_range,
     contigs_in_scaffolds, agp_export, agp_parse, agp_validate, agp_import_layout, agp_import_scaffolds, assembly_json, contig_maps, opened_json, version_gate,
     tile_raster, resolutions_discovered, block_edges, listed_files, colours_parsed, imported_atus, imported_contacts, imported_layout, imported_presence, imported_weights,
-    imported_submatrix, ranges_to_contigs, ranges_over_contigs, points_in_scaffolds, points_converted, ranges_snapped, edits_composed, layout_versions, version_gate_shared_ids,
+    imported_submatrix, ranges_to_contigs, ranges_over_contigs, points_in_scaffolds, points_converted, ranges_snapped, edits_composed, layout_versions, version_gate_shared_ids, agp_read_back, tiles_encoded,
 ]
 
 

@@ -41,16 +41,25 @@ def export(a: Assembly, spacer: int = 0) -> DataFrame:
     return running(rows, "ord", {"line_no": F.lit(1)}, splits(a), ("k",)).select(F.col("line_no").cast("int").alias("line_no"), "line")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of one AGP file; the numbers are those of the file."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("k", "line"))
-    return rows.select((F.col("k") + 1).alias("line_no"), "line")
+def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(line_no, line) of AGP files or folders of them; numbers are those of a file, and run on over several in the order of their names.
+
+    Spark splits large files by byte ranges. A range's lines follow each other in its task, so a line's number is its
+    place there after the counted lines of the ranges before, of which there is one row each.
+    """
+    found = spark.read.option("lineSep", "\n").text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    found = found.withColumn("id", F.monotonically_increasing_id())
+    parts = found.groupBy("file", "at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each range of bytes, not of lines.
+    parts = parts.select(F.col("file").alias("_file"), F.col("at").alias("_at"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    met = found.join(F.broadcast(parts), (F.col("file") == F.col("_file")) & (F.col("at") == F.col("_at")))
+    return met.select((F.col("before") + F.col("id") - F.col("first") + 1).cast("int").alias("line_no"), F.regexp_replace("value", r"\r\z", "").alias("line"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One text file in line order; an AGP has the layout's size."""
-    lines.coalesce(1).sortWithinPartitions("line_no").select(F.col("line").alias("value")).write.text(path)
+    """Text files of which the names' order is the lines': ranges of line numbers are written in tasks of their own and committed together."""
+    lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select(F.col("line").alias("value")).write.text(path)
 
 
 def parse(lines: DataFrame, skip_comments: bool = False) -> DataFrame:

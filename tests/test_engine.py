@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 
@@ -189,6 +190,31 @@ def test_agp_round_trip(spark, tmp_path):
         agp.load(a, spark.createDataFrame([(1, "")], "line_no int, line string"))
 
 
+def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
+    rng = random.Random(2)
+    texts = {"a.agp": "".join("x" * rng.randrange(40) + rng.choice(["\n", "\r\n"]) for _ in range(900)), "b.agp": "one\n\nthree", "c.agp": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        lines = lambda text: [x.removesuffix("\r") for x in text.removesuffix("\n").split("\n")] if text else []
+        one = agp.read_lines(spark, str(tmp_path / "a.agp"))
+        assert one.rdd.getNumPartitions() > 10
+        assert [r["line"] for r in one.orderBy("line_no").collect()] == lines(texts["a.agp"])
+        every = agp.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+        assert [r["line_no"] for r in every] == list(range(1, len(every) + 1)) and [r["line"] for r in every] == [x for t in texts.values() for x in lines(t)]
+        numbered = spark.createDataFrame([(k, f"line {k}") for k in rng.sample(range(1, 3001), 3000)], "line_no int, line string")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        agp.write_lines(numbered, str(tmp_path / "out"))
+        files = sorted((tmp_path / "out").glob("part-*"))
+        assert len(files) == 4 and "".join(f.read_text() for f in files) == "".join(f"line {k}\n" for k in range(1, 3001))
+        assert [tuple(r) for r in agp.read_lines(spark, str(tmp_path / "out")).orderBy("line_no").collect()] == [(k, f"line {k}") for k in range(1, 3001)]
+    finally:
+        for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(name)
+
+
 def test_dataset_round_trip_and_service(spark, tmp_path):
     a, full = make(spark, [100, 60], scaffold=[(1, "s", 10, 0, 100)])
     container.save(a, str(tmp_path / "set"))
@@ -229,6 +255,30 @@ def test_signal_chain_and_colours(spark):
     assert zlib.decompress(image[41 : 41 + int.from_bytes(image[33:37], "big")]) == b"\0" + bytes(range(8))
 
 
+def pixels_of(image):
+    """Decode a PNG of 8-bit RGBA, unfiltered."""
+    cols, rows = (int.from_bytes(image[at : at + 4], "big") for at in (16, 20))
+    data = zlib.decompress(image[41 : 41 + int.from_bytes(image[33:37], "big")])
+    assert all(data[k * (4 * cols + 1)] == 0 for k in range(rows))
+    return b"".join(data[k * (4 * cols + 1) + 1 : (k + 1) * (4 * cols + 1)] for k in range(rows))
+
+
+@pytest.mark.parametrize("weights", [False, True])
+def test_encoded_tiles_equal_tiles_one_by_one(spark, weights):
+    a, _ = make(spark, [100, 60, 90], [1, 0, 1], [2, 0, 1])
+    # A weight that isn't a number, and colours in which 0 isn't the lowest signal.
+    a = a.with_(stripe_weight=a.stripe_weight.withColumn("weight", F.when((F.col("stripe_id") == 2) & (F.col("off") == 1), F.lit(float("nan"))).otherwise(F.col("weight"))))
+    options = Options(weights=weights, colours=Gradient(lowest=-0.5, highest=3.0))
+    asked = spark.createDataFrame([(r, c) for r in range(4) for c in range(4)] + [(0, 0), (9, 2)], "tile_row bigint, tile_col bigint")
+    got = {(r["tile_row"], r["tile_col"]): r for r in tiles.encoded(a, 1, options, 8, asked).collect()}
+    assert len(got) == 17
+    for row, col in [(0, 0), (0, 1), (1, 0), (2, 3), (3, 3), (9, 2)]:
+        wanted = pixels_of(tiles.tile_png(a, 1, 8 * row, 8 * row + 8, 8 * col, 8 * col + 8, options))
+        assert pixels_of(got[row, col]["png"]) == wanted and got[row, col]["raster_sha256"] == hashlib.sha256(wanted).hexdigest()
+    held = tiles.encoded(a, 1, options, 8).collect()
+    assert {(r["tile_row"], r["tile_col"]) for r in held} <= got.keys() and all(got[r["tile_row"], r["tile_col"]]["png"] == r["png"] for r in held)
+
+
 def test_units(spark):
     names = spark.createDataFrame([("10",), ("x",), ("40",), ("0",)], "name string")
     assert [tuple(r) for r in units.discovered(names).orderBy("res_order").collect()] == [(0, 0), (1, 10), (2, 40)]
