@@ -92,12 +92,15 @@ class Vectors:
         number = {t: i for i, t in enumerate(terms)}
         self.idf = idf
         self.words = Cache(lambda w: tuple(number[t] for t in terms_of(w) if t in number), WORDS_KEPT)
+        # A word whose first letters begin no term has no terms; most words have none.
+        self.starts = {t.removesuffix("*")[: STEMS[0]] for t in terms}
 
     def counts(self, text: str) -> tuple[tuple[int, int], ...]:
-        found: Counter = Counter()
+        found: dict[int, int] = {}
         for word, n in Counter(WORDS.findall(text.lower())).items():
-            for t in self.words[word]:
-                found[t] += n
+            if word[: STEMS[0]] in self.starts:
+                for t in self.words[word]:
+                    found[t] = found.get(t, 0) + n
         return tuple(sorted(found.items()))
 
 
