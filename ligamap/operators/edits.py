@@ -43,7 +43,7 @@ class PlaceMap:
     ends: np.ndarray  # of the old contigs in base pairs, after a 0
     starts: np.ndarray  # of the scaffolds now
     stops: np.ndarray
-    scaffold_ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    scaffolds: list[tuple[int, int]] = field(default_factory=list)  # id and old start of each, which tell them apart
     runs: list[tuple[int, int, bool]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
@@ -131,7 +131,7 @@ def composed(a: Assembly, edits: list[Reverse | Move]) -> PlaceMap | None:
     borders = a.scaffold.select("scaffold_id", "start_bp", "end_bp").limit(SMALL_ROWS + 1).toPandas()
     if len(borders) > SMALL_ROWS or (np.diff(ends) == 0).any():
         return None
-    found = PlaceMap(ends, borders["start_bp"].to_numpy(np.int64), borders["end_bp"].to_numpy(np.int64), borders["scaffold_id"].to_numpy(np.int64))
+    found = PlaceMap(ends, borders["start_bp"].to_numpy(np.int64), borders["end_bp"].to_numpy(np.int64), list(zip(borders["scaffold_id"].tolist(), borders["start_bp"].tolist(), strict=True)))
     for edit in edits:
         found.apply(edit)
     return found
@@ -154,7 +154,7 @@ def apply(a: Assembly, edits: list[Reverse | Move]) -> Assembly:
     met = runs.at(a.layout, "ord", "s", "e", "to", "turned", how="inner")
     place = F.col("to") + F.when(F.col("turned"), F.col("e") - 1 - F.col("ord")).otherwise(F.col("ord") - F.col("s"))
     layout = met.select(place.cast("int").alias("ord"), "contig_id", F.when(F.col("turned"), 1 - F.col("dir")).otherwise(F.col("dir")).alias("dir"))
-    kept = [x for x in zip(found.scaffold_ids.tolist(), found.starts.tolist(), found.stops.tolist(), strict=True) if x[1] >= 0]
-    borders = spark.createDataFrame(kept, "scaffold_id bigint, start_bp bigint, end_bp bigint")
-    scaffold = a.scaffold.drop("start_bp", "end_bp").join(borders, "scaffold_id").select("scaffold_id", "name", "spacer", "start_bp", "end_bp")
+    kept = [(*key, s, e) for key, s, e in zip(found.scaffolds, found.starts.tolist(), found.stops.tolist(), strict=True) if s >= 0]
+    borders = spark.createDataFrame(kept, "scaffold_id bigint, start_bp bigint, now_start bigint, now_end bigint")
+    scaffold = a.scaffold.join(borders, ["scaffold_id", "start_bp"]).select("scaffold_id", "name", "spacer", F.col("now_start").alias("start_bp"), F.col("now_end").alias("end_bp"))
     return a.with_(layout=layout, scaffold=scaffold)

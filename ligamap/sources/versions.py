@@ -21,7 +21,7 @@ from ligamap.schema import SCHEMAS, Assembly
 from ligamap.sources import container
 
 #: What edits change, with the columns that tell the rows apart.
-KEYS = {"contig": ["contig_id"], "contig_res": ["res_order", "contig_id"], "contig_atu": ["res_order", "contig_id", "seq"], "layout": ["contig_id"], "scaffold": ["scaffold_id"]}
+KEYS = {"contig": ["contig_id"], "contig_res": ["res_order", "contig_id"], "contig_atu": ["res_order", "contig_id", "seq"], "layout": ["contig_id"], "scaffold": ["scaffold_id", "start_bp"]}
 
 #: A version of which the number is a multiple holds all rows, so that opening one reads at most so many folders.
 SNAPSHOT_EVERY = 16
