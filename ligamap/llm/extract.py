@@ -37,12 +37,16 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-#: Words in class, id or role that mark boilerplate, and those that mark it unless the block reads like prose.
+#: Words in class, id or role that mark boilerplate, those that mark it unless the block reads like long prose, and of these the ones that also name subjects of articles.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu\w*|modal|nav|navbar|navigation|newsletter|notice\w*|outbrain|pagination|popup|replies|reply|respond|sharing|sidebar|signup|sponsor\w*|subscribe|taboola|toolbar|topbar|widget)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu\w*|modal|nav|navbar|navigation|newsletter|notices?(?=$|\s)|outbrain|pagination|popup|replies|reply|respond|sharing|sidebar|signup|sponsor\w*|subscribe|taboola|toolbar|topbar|widget)(?=$|[\s_-])",
     re.IGNORECASE,
 )
-DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:disclaimer|header|legal|promo\w*|related|search|share|skip|social)(?=$|[\s_-])", re.IGNORECASE)
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:disclaimer|header|legal|notice\w*|promo\w*|related|search|share|skip|social)(?=$|[\s_-])", re.IGNORECASE)
+SUBJECTS = re.compile(r"(?:^|[\s_-])(?:legal|notice[_-]\w+|related|search|social)(?=$|[\s_-])", re.IGNORECASE)
+
+#: What stands beside a copyright sign.
+RIGHTS = re.compile(r"all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 UNSHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.DOTALL)
@@ -65,11 +69,11 @@ LEAST_INSIDE = 1 / 3
 
 
 class Block:
-    __slots__ = ("doubtful", "heading", "inside", "linked", "marked", "parts", "size", "stops", "text", "words")
+    __slots__ = ("doubtful", "heading", "inside", "linked", "marked", "parts", "size", "stops", "subject", "text", "words")
 
-    def __init__(self, inside: bool, marked: bool, doubtful: bool, heading: bool):
+    def __init__(self, inside: bool, marked: bool, doubtful: bool, subject: bool, heading: bool):
         self.parts: list[str] = []
-        self.linked, self.inside, self.marked, self.doubtful, self.heading, self.text = 0, inside, marked, doubtful, heading, ""
+        self.linked, self.inside, self.marked, self.doubtful, self.subject, self.heading, self.text = 0, inside, marked, doubtful, subject, heading, ""
 
     def close(self) -> None:
         self.text = SPACE.sub(" ", "".join(self.parts)).strip()
@@ -84,22 +88,23 @@ class Open:
     """The open elements, with what is counted over them; an end tag costs what it closes."""
 
     def __init__(self):
-        self.tags: list[tuple[str, bool, bool, bool]] = []  # name, silent, marks boilerplate, marks it unless prose
+        self.tags: list[tuple[str, bool, bool, int]] = []  # name, silent, marks boilerplate, marks it unless prose (2: a subject's name)
         self.at: dict[str, list[int]] = {}
         self.blocks: list[int] = []  # those that end a paragraph, and paragraphs
-        self.silent = self.marked = self.doubtful = self.inside = self.links = self.headings = 0
+        self.silent = self.marked = self.doubtful = self.subjects = self.inside = self.links = self.headings = 0
 
-    def enter(self, name: str, silent: bool, marks: bool, doubts: bool) -> None:
+    def enter(self, name: str, silent: bool, marks: bool, doubts: int) -> None:
         self.at.setdefault(name, []).append(len(self.tags))
         if name in BLOCKS:
             self.blocks.append(len(self.tags))
         self.tags.append((name, silent, marks, doubts))
         self._count(name, silent, marks, doubts, 1)
 
-    def _count(self, name: str, silent: bool, marks: bool, doubts: bool, by: int) -> None:
+    def _count(self, name: str, silent: bool, marks: bool, doubts: int, by: int) -> None:
         self.silent += by * silent
         self.marked += by * marks
-        self.doubtful += by * doubts
+        self.doubtful += by * (doubts > 0)
+        self.subjects += by * (doubts == 2)
         self.inside += by * (name in INSIDE)
         self.links += by * (name == "a")
         self.headings += by * (name in HEADINGS)
@@ -133,6 +138,13 @@ def _said(attributes: str) -> tuple[bool, str]:
     return hidden, " ".join(said)
 
 
+def _doubts(said: str) -> int:
+    """0 if no word is doubtful, 2 if all that are can name a subject, else 1."""
+    if not DOUBTFUL.search(said):
+        return 0
+    return 2 if not DOUBTFUL.search(SUBJECTS.sub(" ", said)) else 1
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order, with white space turned to single spaces and character references decoded. Takes time in proportion to the page."""
     found: list[Block] = []
@@ -148,7 +160,8 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if not text.strip():
                 return
-            now = Block(around.inside > 0, around.marked > 0, around.doubtful > 0, around.headings > 0)
+            # Every doubtful name around it must be one of subjects.
+            now = Block(around.inside > 0, around.marked > 0, around.doubtful > 0, 0 < around.doubtful == around.subjects, around.headings > 0)
         now.parts.append(text)
         if around.links:
             now.linked += len(text.strip())
@@ -182,7 +195,7 @@ def blocks(page: str) -> list[Block]:
         named = bool(said) and name not in ("html", "body", *INSIDE)
         # A page's own <header> is boilerplate, an article's is its heading.
         marks = name in OUTSIDE and not (name == "header" and around.inside) or named and bool(MARKED.search(said))
-        around.enter(name, name in SILENT or hidden, marks, named and bool(DOUBTFUL.search(said)))
+        around.enter(name, name in SILENT or hidden, marks, _doubts(said) if named else 0)
         if name in RAW_END:
             end = RAW_END[name].search(page, at)
             at = end.start() if end else len(page)
@@ -202,15 +215,14 @@ def decide(block: Block, by_stops: bool = True) -> str:
     """Pass one: good, bad, near (rather long or full of stop words) or short (ambiguous; inside, also one with few stop words)."""
     if block.marked or block.linked > MOST_LINKS * len(block.text):
         return "bad"
-    if "©" in block.text and block.size < LONG:
+    signed = "©" in block.text and block.size < LONG
+    ends = len(SENTENCE.findall(block.text)) if signed or block.doubtful or not by_stops else 0
+    many, few = (block.stops >= MANY_STOPS, block.stops >= FEW_STOPS) if by_stops else (ends * SENTENCE_WORDS >= block.words, ends > 0)
+    if signed and (RIGHTS.search(block.text) or not (few and ends)):
         return "bad"
-    if by_stops:
-        many, few = block.stops >= MANY_STOPS, block.stops >= FEW_STOPS
-    else:
-        ends = len(SENTENCE.findall(block.text))
-        many, few = ends * SENTENCE_WORDS >= block.words, ends > 0
     if block.doubtful:
-        return "good" if many and block.size > LONG and not block.linked else "bad"
+        prose = many and ends and not block.linked
+        return "good" if prose and block.size > (SHORT if block.inside and block.subject else LONG) else "bad"
     if block.size < SHORT:
         return "bad" if block.linked and not block.inside else "short"
     if many:
@@ -218,6 +230,11 @@ def decide(block: Block, by_stops: bool = True) -> str:
     return "near" if few else "short" if block.inside else "bad"
 
 
+def _sentence(block: Block) -> bool:
+    """Whether a short block reads like a sentence."""
+    return bool(SENTENCE.search(block.text)) and not block.linked and block.words > 1
+
+
 def main_text(page: str | None) -> str:
     """The main blocks joined by line ends; empty for null, for pages without text and for those without main text."""
     found = blocks(page or "")
@@ -234,8 +251,15 @@ def main_text(page: str | None) -> str:
     if "good" not in labels:
         # A page of short blocks alone: the best it has is its text.
         labels = ["good" if x == "near" else x for x in labels]
+    if "good" not in labels:
+        labels = ["good" if x == "short" and _sentence(b) else x for b, x in zip(found, labels, strict=True)]
     # Marked blocks inside, as comments and forms, say nothing about the article around them.
     sure = [x if x in ("good", "bad") and not (b.inside and (b.marked or b.doubtful)) else None for b, x in zip(found, labels, strict=True)]
+    # Nor does a single bad block between good ones, as a paragraph that is a link.
+    known = [i for i, x in enumerate(sure) if x and found[i].inside]
+    for i, j, k in zip(known, known[1:], known[2:], strict=False):
+        if (labels[i], labels[j], labels[k]) == ("good", "bad", "good"):
+            sure[j] = None
 
     def nearest(order: range) -> list[str | None]:
         last, was_inside, out = None, False, [None] * len(sure)

@@ -204,6 +204,22 @@ def test_attributes_hide_by_name_and_mark_by_word():
     assert "Share it" not in main_text(f"<article><p>{story * 3}</p><div class=share><p>Share it with all of your friends</p></div></article>")
 
 
+def test_article_text_is_kept_beside_a_few_signs_of_boilerplate():
+    long = "<p>" + "This is the text of the story and it has all of the words that one would look for in it. " * 4 + "</p>"
+    body = main_text(f"<article>{long}<p>Before.</p><p>© 2020 Smith wrote the phrase.</p><p>After.</p>{long}</article>")
+    assert [x for x in body.split("\n") if len(x) < 70] == ["Before.", "© 2020 Smith wrote the phrase.", "After."]
+    for line in ("© 2020 Some Media", "© 2020 Smith. All rights reserved.", "<a href=x>All of the story is on the other page</a>"):
+        body = main_text(f"<article>{long}<p>Before.</p><p>{line}</p><p>After.</p>{long}</article>")
+        assert [x for x in body.split("\n") if len(x) < 70] == ["Before.", "After."], line
+    prose = "The history of the town is one of trade and of the people who came to it by the river, as we have said."
+    for tag in ('p class="social history"', "section class=notice-period", "div class=legal-history"):
+        assert prose in main_text(f"<article>{long}<{tag}>{prose}</{tag.split()[0]}>{long}</article>"), tag
+    for tag in ("div class=notice", "div class='site notice'", "div class=disclaimer", "div class='share social'", "div class=cookie-notice"):
+        assert prose not in main_text(f"<article>{long}<{tag}>{prose}</{tag.split()[0]}>{long}</article>"), tag
+    assert main_text("<nav><a href=x>Home</a></nav><div class=post><h1>News</h1><p>The mayor said no on Monday.</p><p>It rained.</p></div><footer>The end.</footer>") == "News\nThe mayor said no on Monday.\nIt rained."
+    assert main_text("<ul><li><a href=1>One.</a><li><a href=2>Two of them.</a></ul><p>Login</p>") == ""
+
+
 def test_time_grows_with_the_page_alone():
     import time
 
@@ -280,11 +296,15 @@ def plain_text(page):
         labels = [first(i, inside[i], marked[i]) for i in range(len(known))]
     if "good" not in labels:
         labels = ["good" if x == "near" else x for x in labels]
+    if "good" not in labels:
+        labels = ["good" if x == "short" and n_words[i] > 1 and not known[i][1] and any(c in known[i][0] for c in ".!?") else x for i, x in enumerate(labels)]
+    heard = [i for i, x in enumerate(labels) if inside[i] and not marked[i] and x in ("good", "bad")]
+    alone = {j for i, j, k in zip(heard, heard[1:], heard[2:], strict=False) if [labels[i], labels[j], labels[k]] == ["good", "bad", "good"]}
 
     def decided(i, step):
         j = i + step
         while 0 <= j < len(known) and inside[j] == (inside[i] or inside[j]) and (not inside[i] or inside[j]):
-            if labels[j] in ("good", "bad") and not (inside[j] and marked[j]):
+            if labels[j] in ("good", "bad") and not (inside[j] and marked[j]) and j not in alone:
                 return labels[j]
             j += step
         return None
