@@ -194,7 +194,7 @@ def fit_all(rows: DataFrame) -> DataFrame:
     level = F.when(F.col("own") >= LEAST_ROWS, levels[0]).when(F.col("of_lang") >= LEAST_ROWS, levels[1]).otherwise(levels[2])
     chosen = materialize(sizes.join(of_lang, sizes["lang"].eqNullSafe(of_lang["g_lang"])).select("lang", "source", level.alias("estimate")))
     dealt = rows.select(F.explode(F.array(*levels)).alias("lang"), F.lit(None).cast("string").alias("source"), *FEATURES)
-    groups = fit(dealt.join(F.broadcast(chosen.select("estimate").distinct()), F.col("lang").eqNullSafe(F.col("estimate")), "left_semi"), 1)
+    groups = fit(dealt.join(chosen.select("estimate").distinct(), F.col("lang").eqNullSafe(F.col("estimate")), "left_semi"), 1)
     judged = chosen.withColumnsRenamed({"lang": "of", "source": "of_source"}).join(groups, F.col("estimate").eqNullSafe(F.col("g_lang")))
     return judged.drop("g_lang", "g_source", "estimate").withColumnsRenamed({"of": "g_lang", "of_source": "g_source"})
 
