@@ -22,6 +22,9 @@ UNSPACED, LONGEST = r"\\x{E00}-\\x{EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x
 #: Stands for a null doc_id in keys and in the order of documents.
 NO_ID = -(1 << 63)
 
+#: Copies of one row that are made in one place.
+RUN = 1024
+
 
 def sketch(text: str) -> Column:
     """The SKETCHES hashes as ARRAY<INT>; a text without words gives an empty array, one of under K words has one k-mer."""
@@ -74,7 +77,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def successors(rows: DataFrame) -> DataFrame:
-    """``rows`` (id, key, ...) -> with next_id and next_key: the row that follows by (id, key), the first after the last.
+    """``rows`` (id, key, ...), unique in (id, key) -> with next_id and next_key: the row that follows by (id, key), the first after the last.
 
     Rows are dealt to ranges, followed within each, and the ranges' first rows (one each) link them.
     """
@@ -97,11 +100,14 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     Further columns of ``docs``, whatever their names, are not read.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = materialize(successors(keyed.select("id", "key", F.length("text").cast("long").alias("n_chars"))))
-    # Equal rows hold one text here.
+    # Equal rows are one here, counted on the map side; all but the last of them are followed by themselves.
+    unique = keyed.groupBy("id", "key").agg(F.first(F.length("text").cast("long")).alias("n_chars"), F.count("*").alias("rows"))
+    pairs = materialize(successors(unique))
     texts = keyed.groupBy("id", "key").agg(F.first("text").alias("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    wanted = pairs.groupBy("id", "key", "next_id", "next_key", "n_chars").agg(F.count("*").cast("int").alias("copies"))
+    last = F.struct("next_id", "next_key", F.lit(1).cast("long").alias("copies"))
+    again = F.struct(F.col("id").alias("next_id"), F.col("key").alias("next_key"), (F.col("rows") - 1).alias("copies"))
+    wanted = pairs.select("id", "key", "n_chars", F.inline(F.when(F.col("rows") > 1, F.array(last, again)).otherwise(F.array(last))))
     wanted = wanted.select(F.col("id").alias("for_id"), F.col("key").alias("for_key"), F.col("next_id").alias("id"), F.col("next_key").alias("key"), "n_chars", "copies")
     given = wanted.join(texts, ["id", "key"]).select(F.col("for_id").alias("id"), F.col("for_key").alias("key"), F.col("id").alias("next_id"), F.col("key").alias("next_key"), "n_chars", "copies", F.substring("text", F.lit(1), half).alias("tail"))
     met = texts.join(given, ["id", "key"])
@@ -110,7 +116,13 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     made = made.select("id", "key", "next_id", "next_key", "copies", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch("text").alias("hashes"), sketch("edited").alias("edited_hashes"))
     made = materialize(made)
     others = made.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("hashes").alias("next_hashes")).dropDuplicates(["next_id", "next_key"])
-    found = made.join(others, ["next_id", "next_key"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    # Copies of one row are made in runs, which tasks share where a row has more than one run; few rows stand for many, so the number of tasks is given.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_many = F.col("copies") > RUN
+    few = made.where(~is_many).join(others, ["next_id", "next_key"])
+    many = made.where(is_many).join(others, ["next_id", "next_key"]).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RUN).cast("long"))))
+    many = many.withColumn("copies", F.least(F.lit(RUN).cast("long"), F.col("copies") - F.col("from"))).repartition(tasks, "id", "key", "from").drop("from")
+    found = few.unionByName(many).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return found.select(
         F.nullif("id", F.lit(NO_ID)).alias("doc_id"),
         "n_chars",

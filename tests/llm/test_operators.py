@@ -392,6 +392,23 @@ def test_mixing_meets_targets(docs):
         assert sum(r["taken"] for r in mixing.mixed_sizes(empty).collect()) == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_each_document_is_taken_as_its_blocks_say(docs):
+    rng = random.Random(8)
+    rows = [(i, words(rng.choice([0, 1, 3, 40, 700, 3000]), i), "en", rng.choice(["a", "a", "b", None])) for i in range(120)]
+    placed, spans = mixing.mix(docs(rows).select("doc_id", "text", "source"))
+    placed, spans = placed.collect(), spans.collect()
+    took = defaultdict(Counter)
+    for r in spans:
+        assert 0 < r["n_words"] <= mixing.BLOCK
+        took[r["s"]].update(range(r["block"] * mixing.BLOCK, r["block"] * mixing.BLOCK + r["n_words"]))
+    # Words of a source lie without gaps; a word is taken as often as spans cover its place.
+    for s in {r["s"] for r in placed}:
+        own = sorted((r["first_word"], r["size"]) for r in placed if r["s"] == s and r["size"])
+        assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and max(took[s].values(), default=0) <= 2
+    wanted = {r["doc_id"]: sum(took[r["s"]][r["first_word"] + k] for k in range(r["size"])) for r in placed}
+    assert {r["doc_id"]: r["taken"] for r in mixing.mixed_sizes(docs(rows)).collect()} == wanted
+
+
 def test_slots_are_made_by_many_tasks(spark):
     n = 10_000_000
     q = spark.createDataFrame([(1, n * 5 // 8, 0, n * 5 // 8), (2, n * 3 // 8, n * 5 // 8, n)], "s int, quota long, lo long, hi long")
@@ -886,6 +903,27 @@ def test_order_minhash(docs):
     assert single["near_next"] == 1.0
 
 
+def test_equal_rows_are_fingerprinted_once_and_spread(spark):
+    rows = spark.range(200_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("all of these rows are the same").alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(4, "one that comes before them"), (6, "one that comes after them"), (6, "one that comes after them")], "doc_id long, text string"))
+    got = order_minhash.edited_pairs(rows)
+    counts = {(r["doc_id"], r["near_next"] == 1.0): r["n"] for r in got.groupBy("doc_id", "near_next").agg(F.count("*").alias("n")).collect()}
+    assert counts == {(4, False): 1, (5, True): 199_999, (5, False): 1, (6, True): 1, (6, False): 1}
+    # Before they are counted, the copies lie in many tasks.
+    by_task = [r["n"] for r in got.where("doc_id = 5").groupBy(F.spark_partition_id().alias("t")).agg(F.count("*").alias("n")).collect()]
+    assert len(by_task) > 1 and max(by_task) < 150_000
+
+
+def test_very_long_texts_are_read_whole(docs):
+    long = words(300_000, 3)
+    rows = [(1, long), (2, long + " and a tail of a few more words"), (3, "a short one")] + [(10 + i, words(80, i)) for i in range(60)]
+    assert len(long) > 2_000_000
+    got = {r["doc_id"]: r for r in quality.quality(docs(rows)).collect()}
+    assert tuple(got[2][c] for c in quality.BASE) == base_by_hand(rows[1][1]) and got[1]["n_words"] == 300_000
+    prints = {r["doc_id"]: [x % (1 << 32) for x in r["hashes"]] for r in order_minhash.fingerprints(docs(rows[:3])).collect()}
+    assert prints[2] == plain_sketch(rows[1][1])
+
+
 def test_sketch_numbers_repeats_and_keeps_order(docs):
     a, b = words(200, 1).split(), words(200, 2).split()
     texts = {1: " ".join(a + b), 2: " ".join(b + a), 3: " ".join(a + b + a), 4: " ".join((a + b) * 2)}
