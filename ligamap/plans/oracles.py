@@ -324,6 +324,13 @@ SELECT CAST(i AS INT) AS ord, x.c AS contig_id, x.d AS dir FROM (SELECT unnest(s
     "layout_versions": " UNION ALL ".join(f"SELECT *, {k} AS version FROM ({BODIES[name]})" for k, name in enumerate(("reverse_range", "move_range_right", "split_contig_layout"), 1)),
 }
 
+BODIES["edits_from_requests"] = BODIES["edits_composed"]
+BODIES["requests_decoded"] = """SELECT request_id, endpoint, CASE WHEN good AND form <> 1 THEN p END AS start, CASE WHEN good THEN p + 10 END AS "end", CASE WHEN good THEN p * 3 END AS target,
+  CASE WHEN good AND form <> 1 THEN p % 100 END AS split_px, CASE WHEN good THEN 10 END AS bp_resolution, CASE WHEN good THEN 's' || p % 5 END AS scaffold_name, CAST(NULL AS BIGINT) AS spacer,
+  CASE WHEN endpoint = 'close' THEN 'unknown endpoint' WHEN NOT good THEN 'unreadable body' WHEN form = 1 THEN CASE WHEN endpoint = 'split_contig_at_bin' THEN 'missing splitPx' ELSE 'missing startBP' END END AS problem
+FROM (SELECT l_orderkey * 10 + l_linenumber AS request_id, CAST(l_partkey AS BIGINT) AS p, l_suppkey % 9 AS form, l_suppkey % 9 NOT IN (0, 2) AS good,
+    ['reverse_selection_range', 'move_selection_range', 'split_contig_at_bin', 'group_contigs_into_scaffold', 'ungroup_contigs_from_scaffold', 'move_selection_to_debris', 'close'][1 + l_partkey % 7] AS endpoint FROM lineitem)"""
+
 BODIES["atus_coalesced"] = f"""
 SELECT CAST(run AS INT) AS seq, stripe_id, CAST(min("start") AS INT) AS "start", CAST(max("end") AS INT) AS "end", dir FROM (
   SELECT *, sum(new) OVER (ORDER BY seq) AS run FROM (
@@ -340,5 +347,5 @@ def oracle_sql() -> dict[str, str]:
         direction = "CAST(CASE WHEN (contig_id + t) % 4 = 0 THEN 0 ELSE 1 END AS INT)" if name in _REVERSED else "1"
         prelude = PRELUDE.replace("DIRECTION", direction).replace("BAD_LINES", lines)
         asked = ",\nasked(pos) AS (VALUES (0), (5), (11), (57), (123))" if name == "convert_units" else ""
-        found[name] = f"WITH {'RECURSIVE ' * (name == 'edits_composed')}{prelude.strip()}{asked}\n{body.strip()}"
+        found[name] = f"WITH {'RECURSIVE ' * (name in ('edits_composed', 'edits_from_requests'))}{prelude.strip()}{asked}\n{body.strip()}"
     return found

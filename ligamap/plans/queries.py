@@ -13,7 +13,7 @@ from ligamap.operators import edits, layout, matrix, scaffolds, tiles
 from ligamap.operators.split import split
 from ligamap.plans import documents
 from ligamap.schema import Assembly
-from ligamap.sources import agp, arrays, container, files, versions
+from ligamap.sources import agp, arrays, container, files, requests, versions
 from ligamap.sources.derived import EDGE, as_arrays, derive
 from ligamap.streaming.gate import gated
 
@@ -373,6 +373,34 @@ def edits_composed(s, d):
     return edits.apply(a.with_(scaffold=a.scaffold.limit(0)), told).layout
 
 
+def requests_decoded(s, d):
+    """Bodies made of order lines, some cut off, some without a field, some with a number as text."""
+    line = s.read.parquet(f"{d}/lineitem.parquet")
+    endpoint = F.element_at(F.array(*(F.lit(e) for e in requests.NEEDED), F.lit("close")), (F.col("l_partkey") % 7 + 1).cast("int"))
+    form, at = F.col("l_suppkey") % 9, F.col("l_partkey").cast("bigint")
+    start = F.when(form == 2, F.concat(F.lit('"'), at, F.lit('"'))).otherwise(at.cast("string"))
+    body = F.concat(
+        F.lit("{"),
+        F.when(form != 1, F.concat(F.lit('"startBP": '), start, F.lit(', "splitPx": '), at % 100, F.lit(", "))).otherwise(""),
+        F.lit('"endBP": '), at + 10, F.lit(', "targetStartBP": '), at * 3, F.lit(', "bpResolution": 10, "scaffoldName": "s'), at % 5, F.lit('", "other": [1]'),
+        F.when(form == 0, "").otherwise("}"),
+    )
+    return requests.decoded(line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("request_id"), endpoint.alias("endpoint"), body.alias("body")))
+
+
+def edits_from_requests(s, d):
+    """The edits of ``edits_composed``, as JSON bodies that Spark decodes."""
+    a = derive(s, d, contact_orders=())
+    t, k = layout.total(a), F.col("n_nationkey").cast("bigint")
+    nation = s.read.parquet(f"{d}/nation.parquet")
+    lo = (k * 7919 + 13) % t
+    turned = nation.select((2 * k + 1).alias("request_id"), F.lit("reverse_selection_range").alias("endpoint"), F.to_json(F.struct(lo.alias("startBP"), (lo + 1 + k * 104729 % (t // 3)).alias("endBP"))).alias("body"))
+    lo = (k * 15485863 + 7) % t
+    moved = F.struct(lo.alias("startBP"), (lo + 1 + k * 32452843 % (t // 4)).alias("endBP"), (k * 49979687 % t).alias("targetStartBP"))
+    asked = turned.unionByName(nation.select((2 * k + 2).alias("request_id"), F.lit("move_selection_range").alias("endpoint"), F.to_json(moved).alias("body")))
+    return edits.apply(a.with_(scaffold=a.scaffold.limit(0)), requests.edits_of(requests.decoded(asked))).layout
+
+
 def layout_versions(s, d):
     """The layout at three committed versions of a dataset, each opened again: after a reversal, a move and a split."""
     path = container.scratch(s)
@@ -446,7 +474,7 @@ PLAIN = [
     range_weights, tile_apply_weights, tile_rgba, tile_stats, tile_grid_coarse, append_contig, scaffold_list, scaffold_at_bp, extend_borders, scaffolds_in_range,
     contigs_in_scaffolds, agp_export, agp_parse, agp_validate, agp_import_layout, agp_import_scaffolds, assembly_json, contig_maps, opened_json, version_gate,
     tile_raster, resolutions_discovered, block_edges, listed_files, colours_parsed, imported_atus, imported_contacts, imported_layout, imported_presence, imported_weights,
-    imported_submatrix, ranges_to_contigs, ranges_over_contigs, points_in_scaffolds, points_converted, ranges_snapped, edits_composed, layout_versions, version_gate_shared_ids, agp_read_back, tiles_encoded,
+    imported_submatrix, ranges_to_contigs, ranges_over_contigs, points_in_scaffolds, points_converted, ranges_snapped, edits_composed, requests_decoded, edits_from_requests, layout_versions, version_gate_shared_ids, agp_read_back, tiles_encoded,
 ]
 
 

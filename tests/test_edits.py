@@ -15,7 +15,7 @@ from ligamap.operators.edits import Move, PlaceMap, Reverse
 from ligamap.operators.split import split
 from ligamap.plans.service import Service
 from ligamap.schema import SCHEMAS
-from ligamap.sources import container, versions
+from ligamap.sources import container, requests, versions
 
 
 def drawn(rng, total):
@@ -197,3 +197,27 @@ def test_the_service_commits_and_opens_versions(spark, tmp_path):
     assert again.committed == 1 and order(again.assembly_info()) == [0, 2, 1] and again.list_versions() == [{"version": 1, "said": "turned"}]
     again.open("set", version=0)
     assert order(again.assembly_info()) == [0, 1, 2]
+
+
+def test_request_bodies_are_decoded_or_say_what_is_wrong(spark):
+    rows = [
+        (1, "reverse_selection_range", '{"startBP": 5, "endBP": 9}'),
+        (2, "move_selection_range", ' {"endBP": 9, "startBP": 5, "targetStartBP": 40, "more": {"a": 1}}'),
+        (2, "move_selection_range", '{"endBP": 9}'),
+        (3, "reverse_selection_range", '{"startBP": "5", "endBP": 9}'),
+        (4, "reverse_selection_range", '{"startBP": 5, "endBP"'),
+        (5, "reverse_selection_range", '[{"startBP": 5, "endBP": 9}]'),
+        (6, "reverse_selection_range", None),
+        (7, None, "{}"),
+        (None, "close", "{}"),
+        (8, "group_contigs_into_scaffold", '{"startBP": 1, "endBP": 2, "scaffoldName": null, "spacerLength": 500}'),
+        (9, "split_contig_at_bin", '{"splitPx": 1.5, "bpResolution": 10}'),
+        (10, "reverse_selection_range", ""),
+    ]
+    asked = requests.decoded(spark.createDataFrame(rows, "request_id long, endpoint string, body string"))
+    got = sorted(((r["request_id"] or 0, r["start"], r["problem"]) for r in asked.collect()), key=str)
+    bad = "unreadable body"
+    wanted = [(0, None, "unknown endpoint"), (1, 5, None), (2, 5, None), (2, None, "missing startBP, targetStartBP"), (3, None, bad), (4, None, bad), (5, None, bad), (6, None, bad), (7, None, "unknown endpoint"), (8, 1, None), (9, None, bad), (10, None, bad)]
+    assert got == sorted(wanted, key=str)
+    assert asked.where("request_id = 8").first()["spacer"] == 500
+    assert requests.edits_of(asked) == [edits.Reverse(5, 9), edits.Move(5, 9, 40)] and requests.edits_of(asked.limit(0)) == []
