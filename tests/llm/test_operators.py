@@ -220,6 +220,20 @@ def test_article_text_is_kept_beside_a_few_signs_of_boilerplate():
     assert main_text("<ul><li><a href=1>One.</a><li><a href=2>Two of them.</a></ul><p>Login</p>") == ""
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_given_pages_without_their_containers_lose_little(monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    renamed = [re.sub(r"<(/?)(?:article|main)\b", r"<\1div", h or "") for h in pages]
+    whole, got = [main_text(h) for h in pages], [main_text(h) for h in renamed]
+    assert sum(map(len, got)) > 0.95 * sum(map(len, whole)) and sum(not t for t in got) <= len(pages) / 100
+    assert all(set(b.split("\n")) <= {*a.split("\n"), ""} for a, b in zip(whole, got, strict=True))
+    # Here the passes decide: without stop words other texts come out.
+    monkeypatch.setattr(extract_module, "STOP_WORDS", frozenset())
+    assert sum(main_text(h) != t for h, t in zip(renamed, got, strict=True)) > len(pages) / 20
+
+
 def test_time_grows_with_the_page_alone():
     import time
 
