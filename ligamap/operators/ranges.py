@@ -19,6 +19,14 @@ RANGE_ROWS, MOST_RANGES = 50_000, 16_384
 #: Disjoint intervals of a range: a position is compared with those of its range alone.
 INTERVALS = 64
 
+#: Rows that a task takes where rows are dealt by key; so its memory doesn't grow with the input.
+TASK_ROWS = 200_000
+
+
+def tasks(rows: int) -> int:
+    """Partitions for ``rows`` rows. Dealt to so many by name, they aren't coalesced by their compressed bytes, which say little of their memory."""
+    return rows // TASK_ROWS + 1
+
 
 def splitters(rows: DataFrame, key: str, to_a_range: int = RANGE_ROWS) -> tuple[int, list[int]]:
     """(rows, splitters): values of the whole-number ``key`` that part its rows into even ranges, ascending and distinct.

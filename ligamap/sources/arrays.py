@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from ligamap.functions.units import block_edge, discovered, scaled
 from ligamap.operators.matrix import MOST_RANGES, within
-from ligamap.operators.ranges import places
-from ligamap.schema import SCHEMAS, Assembly, small
+from ligamap.operators.ranges import tasks
+from ligamap.schema import SCHEMAS, SMALL_ROWS, Assembly, small
 
 #: Cells of one resolution, at most; so (resolution, index) is one whole number.
 MOST_CELLS = 1 << 44
 
+#: Cells that meet the runs that overlap them; a cell is compared with these alone, however many runs there are.
+CHUNK = 64
+
 #: ``cells`` of a dense block are its rows; an ``offset`` below 0 is the dense block -(offset + 1), others start in ``coo``.
 TABLES = {
     "groups": "name string, edge int",
@@ -62,13 +65,20 @@ def directory(tables: dict[str, DataFrame], orders: DataFrame) -> DataFrame:
 def contacts(blocks: DataFrame, coo: DataFrame, dense_blocks: DataFrame, orders: DataFrame) -> DataFrame:
     """The cells of ``blocks``, sparse and dense. Of a block on the diagonal the upper triangle counts, zeros don't.
 
-    A sparse block is a run of cells. Runs don't overlap, so a cell's run is looked up by its index where the cell lies:
-    a row a run is broadcast, or shuffled beyond SMALL_ROWS of them, and no row a cell is made.
+    A sparse block is a run of cells. Runs don't overlap, so a chunk of CHUNK cells meets as many runs at most, and runs and
+    cells meet by an equi-join on the chunk: a row a run and chunk is broadcast where the cells lie, or beyond SMALL_ROWS of
+    them dealt with the cells to as many tasks as the cells ask for. No row a cell is made.
     """
     at = F.col("res_order") * MOST_CELLS
-    runs = places(blocks.where("offset >= 0").select("row_stripe", "col_stripe", (at + F.col("offset")).alias("s"), (at + F.col("offset") + F.col("length")).alias("e")), "s")
-    cells = coo.join(F.broadcast(orders), "bp").select("res_order", (at + F.col("i")).alias("at"), "r", "c", "v")
-    sparse = runs.at(cells, "at", "row_stripe", "col_stripe", how="inner").select("res_order", "row_stripe", "col_stripe", "r", "c", "v")
+    chunks = F.sequence(F.expr(f"s div {CHUNK}"), F.expr(f"(e - 1) div {CHUNK}"))
+    runs = blocks.where("offset >= 0").select("row_stripe", "col_stripe", (at + F.col("offset")).alias("s"), (at + F.col("offset") + F.col("length")).alias("e")).withColumn("chunk", F.explode(chunks))
+    cells = coo.join(F.broadcast(orders), "bp").select("res_order", (at + F.col("i")).alias("at"), "r", "c", "v").withColumn("chunk", F.expr(f"at div {CHUNK}"))
+    if runs.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        runs = F.broadcast(runs)
+    else:
+        n = tasks(coo.count())
+        cells, runs = cells.repartition(n, "chunk"), runs.repartition(n, "chunk")
+    sparse = cells.join(runs, "chunk").where("at >= s and at < e").select("res_order", "row_stripe", "col_stripe", "r", "c", "v")
     full = dense_blocks.join(small(blocks.where("offset < 0").withColumn("i", -(F.col("offset") + 1)).drop("offset", "length")), ["bp", "i"])
     rows = full.select("res_order", "row_stripe", "col_stripe", F.posexplode("cells").alias("r", "row"))
     dense = rows.select("res_order", "row_stripe", "col_stripe", "r", F.posexplode("row").alias("c", "v"))

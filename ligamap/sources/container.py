@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ligamap.operators.matrix import unique_cells
@@ -22,6 +22,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{(named or 'file://' + tempfile.mkdtemp(prefix='ligamap-')).rstrip('/')}/dataset-{uuid.uuid4().hex}"
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """``frame`` as written once to a new scratch folder, for several readers."""
+    path = scratch(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def save(a: Assembly, path: str) -> None:
     """Write the tables; contacts by resolution, rows of a block next to each other so that row groups can be skipped."""
     for name in FRAMES:

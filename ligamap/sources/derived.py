@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ligamap.operators.ranges import RANGE_ROWS, TASK_ROWS, range_of, splitters, tasks
 from ligamap.schema import Assembly, small
+from ligamap.sources.container import kept
 
 EDGE = 64
 BP = {0: 0, 1: 10, 2: 40, 3: 160}
 
+#: Blocks of one resolution, at most; so (resolution, block) is one whole number.
+MOST_BLOCKS = 1 << 48
+
 
 def _orders(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(BP.items()), "res_order int, bp bigint")
@@ -62,9 +67,13 @@ def atus(lengths: DataFrame, reversed_some: bool) -> DataFrame:
 
 
 def contacts(lineitem: DataFrame, lengths: DataFrame, orders: list[int]) -> DataFrame:
-    """Pairs of lines of an order, by storage bin, summed once. A part's bin follows from its contig's place alone."""
+    """Pairs of lines of an order, by storage bin, summed once. A part's bin follows from its contig's place alone.
+
+    Lines and then pairs are dealt to as many tasks as their number asks for; those of a block meet in one.
+    """
+    n = lineitem.count()
     at = small(lengths.where(F.col("res_order").isin(orders)).select("res_order", "contig_id", "b0", "bp", "c0"))
-    line = lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("b"))
+    line = lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("b")).repartition(tasks(n), "l_orderkey")
     other = line.select("l_orderkey", F.col("l_linenumber").alias("n2"), F.col("b").alias("b2"))
     pairs = line.join(other, "l_orderkey").where("l_linenumber < n2").select("b", "b2")
 
@@ -72,17 +81,54 @@ def contacts(lineitem: DataFrame, lengths: DataFrame, orders: list[int]) -> Data
         return frame.withColumn("contig_id", F.floor(F.sqrt(part)).cast("int")).join(at, keys).withColumn(name, F.expr(f"c0 + (({part} - b0) * 10) div bp")).select("res_order", *(c for c in ("b2", "x") if c in frame.columns and c != part), name)
 
     mapped = placed(placed(pairs, "b", ["contig_id"], "x"), "b2", ["contig_id", "res_order"], "y")
-    summed = mapped.groupBy("res_order", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.count("*").alias("v"))
-    return summed.select(
+    cell = mapped.select("res_order", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).select(
         "res_order",
         *(F.expr(f"cast({n} div {EDGE} as int)").alias(s) for n, s in (("lo", "row_stripe"), ("hi", "col_stripe"))),
         *(F.expr(f"cast({n} % {EDGE} as int)").alias(s) for n, s in (("lo", "r"), ("hi", "c"))),
-        "v",
     )
+    # An order has about four lines, so there are two pairs a line.
+    dealt = cell.repartition(tasks(2 * n * len(orders)), "res_order", "row_stripe", "col_stripe")
+    return dealt.groupBy(*dealt.columns).agg(F.count("*").alias("v"))
+
+
+def _cell_arrays(a: Assembly, orders: DataFrame, counts: DataFrame, dense_from: int) -> dict[str, DataFrame]:
+    """The arrays of cells and the directory of blocks. ``counts`` (bp, n) are the stripes of each resolution.
+
+    Cells are dealt by ranges of blocks. A cell's index is its place in its range, after the cells of the ranges before it:
+    a row a range is windowed in one task. Contacts, and cells with their places, are written once; a range's cells lie in
+    the order of their index, so that a scan by index skips pages.
+    """
+    cell = kept(a.contact).join(F.broadcast(orders), "res_order").join(F.broadcast(counts), "bp").withColumn("block", F.col("row_stripe") * F.col("n") + F.col("col_stripe"))
+    cell = cell.select("res_order", "bp", "block", "r", "c", "v", (F.col("res_order") * F.lit(MOST_BLOCKS) + F.col("block")).alias("key"))
+    _, splits = splitters(cell, "key", RANGE_ROWS)
+    to_a_task = max(1, TASK_ROWS // RANGE_ROWS)
+    ranged = cell.withColumn("_range", range_of(F.col("key"), splits)).withColumn("_task", F.expr(f"cast(_range div {to_a_task} as int)"))
+    ranged = ranged.repartitionById(len(splits) // to_a_task + 1, "_task")
+    block = Window.partitionBy("_task", "_range", "res_order", "block")
+    sized = ranged.withColumns({"inside": F.row_number().over(block.orderBy("r", "c")), "length": F.count("*").over(block)}).withColumn("full", F.col("length") >= dense_from)
+    so_far = Window.partitionBy("_task", "_range", "res_order").orderBy("block", "r", "c").rowsBetween(Window.unboundedPreceding, 0)
+    counted = F.when(~F.col("full"), 1).otherwise(0), F.when(F.col("full") & (F.col("inside") == 1), 1).otherwise(0)
+    sums = {"sparse_at": F.sum(counted[0]).over(so_far) - 1, "dense_at": F.sum(counted[1]).over(so_far) - 1}
+    listed = kept(sized.withColumns(sums).select("res_order", "bp", "_range", "block", "inside", "length", "full", "r", "c", "v", *sums))
+    before = Window.partitionBy("res_order").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = listed.groupBy("res_order", "_range").agg(*(F.max(name).alias(name) for name in sums))
+    ends = ends.select("res_order", "_range", *(F.coalesce(F.sum(F.col(name) + 1).over(before), F.lit(0)).alias(f"{name}_before") for name in sums))
+    met = listed.join(F.broadcast(kept(ends)), ["res_order", "_range"])  # a row a range
+    sparse_at, dense_at = (F.col(name) + F.col(f"{name}_before") for name in sums)
+    grid = F.expr(f"transform(sequence(0, {a.edge - 1}), r -> transform(sequence(0, {a.edge - 1}), c -> coalesce(m[r * {a.edge} + c], 0L)))")
+    full = met.where("full").groupBy("bp", dense_at.alias("i")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("r") * a.edge + F.col("c"), "v"))).alias("m"))
+    return {
+        "blocks": met.where("inside = 1").select("bp", F.col("block").cast("bigint").alias("i"), "length", F.when(F.col("full"), -dense_at - 1).otherwise(sparse_at).alias("offset")),
+        "coo": met.where("not full").select("bp", sparse_at.alias("i"), "r", "c", "v"),
+        "dense_blocks": full.select("bp", "i", grid.alias("cells")),
+    }
+
 
+def as_arrays(a: Assembly, dense_from: int, cells: bool = True) -> dict[str, DataFrame]:
+    """The tables of ``sources.arrays`` that hold this assembly; blocks of ``dense_from`` cells or more are dense, others sparse.
 
-def as_arrays(a: Assembly, dense_from: int) -> dict[str, DataFrame]:
-    """The tables of ``sources.arrays`` that hold this assembly; blocks of ``dense_from`` cells or more are dense, others sparse."""
+    Without ``cells`` those of the contacts are left out; with them the contacts are read at once.
+    """
     orders = a.resolution.where("res_order > 0").select("res_order", F.col("bp_resolution").alias("bp"))
     by_order = lambda frame: frame.join(F.broadcast(orders), "res_order").drop("res_order")
     stripes = by_order(a.stripe_weight).groupBy("bp", F.col("stripe_id").alias("i")).agg(F.transform(F.sort_array(F.collect_list(F.struct("off", "weight"))), lambda x: x["weight"]).alias("bin_weights"))
@@ -90,14 +136,6 @@ def as_arrays(a: Assembly, dense_from: int) -> dict[str, DataFrame]:
     numbered = atu.withColumn("atu_id", F.row_number().over(Window.partitionBy("bp").orderBy(F.desc("stripe_id"), "start")).cast("bigint") - 1)
     listed = numbered.select("bp", (F.row_number().over(Window.partitionBy("bp").orderBy("contig_id", "seq")) - 1).cast("bigint").alias("i"), "contig_id", "atu_id")
     counts = stripes.groupBy("bp").agg(F.count("*").alias("n"))
-    cell = by_order(a.contact).join(F.broadcast(counts), "bp").withColumn("block", F.col("row_stripe") * F.col("n") + F.col("col_stripe"))
-    sizes = cell.groupBy("bp", "block").agg(F.count("*").alias("length")).withColumn("full", F.col("length") >= dense_from)
-    before = Window.partitionBy("bp", "full").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sizes.withColumn("offset", F.when(F.col("full"), -F.count("*").over(before)).otherwise(F.sum("length").over(before) - F.col("length")))
-    placed = cell.join(sizes.select("bp", "block", "full", "offset"), ["bp", "block"])
-    inside = F.row_number().over(Window.partitionBy("bp", "block").orderBy("r", "c")) - 1
-    grid = F.expr(f"transform(sequence(0, {a.edge - 1}), r -> transform(sequence(0, {a.edge - 1}), c -> coalesce(m[r * {a.edge} + c], 0L)))")
-    full = placed.where("full").groupBy("bp", (-F.col("offset") - 1).alias("i")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("r") * a.edge + F.col("c"), "v"))).alias("m"))
     names = orders.select(F.col("bp").cast("string").alias("name"), F.lit(a.edge).alias("edge"))
     others = a.contig.sparkSession.createDataFrame([("attributes", None)], "name string, edge int")
     info = a.contig.join(a.layout.select("contig_id", F.col("dir").alias("direction")), "contig_id").join(a.layout.select((F.col("ord") - 1).alias("at"), F.col("contig_id").alias("ordered_contig_id")), F.col("contig_id") == F.col("at"))
@@ -108,10 +146,7 @@ def as_arrays(a: Assembly, dense_from: int) -> dict[str, DataFrame]:
         "atl": listed,
         "basis_atu": numbered.select("bp", F.col("atu_id").alias("i"), "stripe_id", "start", "end", "dir"),
         "stripes": stripes,
-        "blocks": sizes.select("bp", F.col("block").cast("bigint").alias("i"), "length", "offset"),
-        "coo": placed.where("not full").select("bp", (F.col("offset") + inside).cast("bigint").alias("i"), "r", "c", "v"),
-        "dense_blocks": full.select("bp", "i", grid.alias("cells")),
-    }
+    } | (_cell_arrays(a, orders, counts, dense_from) if cells else {})
 
 
 def derive(spark: SparkSession, sf_dir: str, reversed_some: bool = False, contact_orders: tuple[int, ...] = (1,)) -> Assembly:
