@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_engine import EDGE, make
 
-from ligamap.operators import ranges
+from ligamap.functions.signal import Options
+from ligamap.operators import ranges, tiles
 from ligamap.schema import SCHEMAS
 from ligamap.sources import arrays, derived
 
@@ -53,3 +54,18 @@ def test_arrays_of_many_ranges_are_without_gaps(spark, monkeypatch, tmp_path, de
     ends = [(r["bp"], r["offset"], r["offset"] + r["length"]) for r in read["blocks"].where("offset >= 0").orderBy("bp", "i").collect()]
     assert all(x[0] != y[0] or x[2] == y[1] for x, y in zip(ends, ends[1:], strict=False))
     assert sorted(map(tuple, arrays.assemble(read).contact.select(*NAMES).collect())) == sorted(map(tuple, a.contact.select(*NAMES).collect()))
+
+
+def test_tiles_are_drawn_in_passes_over_sorted_batches(spark, capsys):
+    a, _ = make(spark, [100, 60, 90], [1, 0, 1], [2, 0, 1])
+    whole = sorted(map(tuple, tiles.encoded(a, 1, Options(), 8).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # a tile goes on over many batches
+    try:
+        found = tiles.encoded(a, 1, Options(), 8)
+        assert sorted(map(tuple, found.collect())) == whole and len({r[:2] for r in whole}) == len(whole) > 4
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    assert tiles.encoded(a.with_(contact=a.contact.limit(0)), 1, Options(), 8).count() == 0
