@@ -165,7 +165,8 @@ def unique_cells(contact: DataFrame) -> DataFrame:
 def tile_stats(a: Assembly, orders: list[int], edge: int, units: str = "pixels") -> DataFrame:
     """(res_order, tile_row, tile_col, nnz, min, max, sum) over the whole symmetric map of each order, in one pass over the contacts.
 
-    The stored triangle is summed first by the tile of one orientation; the few tile rows are mirrored afterwards.
+    The stored triangle is summed once by the unordered pair of a tile's row and column, which is mirrored afterwards; cells
+    of a tile on the diagonal count twice there, but for those on the diagonal of the map.
     """
     contact = a.contact.where(F.col("res_order").isin(orders))
     placed = [placed_atus(a, order, units).withColumn("res_order", F.lit(order)) for order in orders]
@@ -176,11 +177,13 @@ def tile_stats(a: Assembly, orders: list[int], edge: int, units: str = "pixels")
     on_x, on_y = (on & (F.col("res_order") == F.col(f"{x}_res_order")) for x, on in (("x", on_x), ("y", on_y)))
     met = contact.join(sides[0], on_x).join(sides[1], on_y).select("res_order", _at("x_", "r").alias("p"), _at("y_", "c").alias("q"), "v")
     tile = [F.expr(f"{x} div {edge}") for x in ("p", "q")]
-    diagonal = F.col("p") == F.col("q")
-    half = met.groupBy("res_order", tile[0].alias("x"), tile[1].alias("y"), diagonal.alias("d")).agg(F.count("*").alias("nnz"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("v").alias("s"))
-    mirrored = F.when(F.col("d"), F.array(F.struct("x", "y"))).otherwise(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
-    both = half.select("res_order", F.explode(mirrored).alias("t"), "nnz", "lo", "hi", "s")
-    return both.groupBy("res_order", F.col("t.x").alias("tile_row"), F.col("t.y").alias("tile_col")).agg(F.sum("nnz").alias("nnz"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("s").alias("sum"))
+    times = F.when((tile[0] == tile[1]) & (F.col("p") != F.col("q")), 2).otherwise(1)
+    placed = met.select("res_order", F.least(*tile).alias("x"), F.greatest(*tile).alias("y"), times.alias("times"), "v")
+    half = placed.groupBy("res_order", "x", "y").agg(F.sum("times").alias("nnz"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum(F.col("v") * F.col("times")).alias("sum"))
+    one = F.struct(F.col("x").alias("tile_row"), F.col("y").alias("tile_col"))
+    turned = F.struct(F.col("y").alias("tile_row"), F.col("x").alias("tile_col"))
+    mirrored = F.when(F.col("x") == F.col("y"), F.array(one)).otherwise(F.array(one, turned))
+    return half.select("res_order", F.explode(mirrored).alias("t"), "nnz", "min", "max", "sum").select("res_order", "t.*", "nnz", "min", "max", "sum")
 
 
 __all__ = ["atus_for_range", "block_directory", "cells", "coalesced", "dense", "dense_rows", "intersection", "mapped", "placed_atus", "range_weights", "submatrix", "tile_stats", "total", "unique_cells"]

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_engine import EDGE, make
+from test_engine import EDGE, make, permutation
 
 from ligamap.functions.signal import Options
-from ligamap.operators import ranges, tiles
+from ligamap.operators import matrix, ranges, tiles
 from ligamap.schema import SCHEMAS
 from ligamap.sources import arrays, derived
 
+SF_DIR = "/root/testdata/sf0.001"
 NAMES = [c.split()[0] for c in SCHEMAS["contact"].split(", ")]
 
 
@@ -69,3 +72,30 @@ def test_tiles_are_drawn_in_passes_over_sorted_batches(spark, capsys):
     plan = capsys.readouterr().out
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
     assert tiles.encoded(a.with_(contact=a.contact.limit(0)), 1, Options(), 8).count() == 0
+
+
+def test_tile_sums_need_one_exchange(spark, capsys):
+    lengths, dirs, order = [400, 305, 500], [1, 0, 1], [2, 0, 1]
+    a, full = make(spark, lengths, dirs, order)
+    p = permutation(lengths, dirs, order)
+    moved = full[np.ix_(p, p)]
+    found = matrix.tile_stats(a, [1], 8)
+    wanted = []
+    for i in range(0, len(moved), 8):
+        for j in range(0, len(moved), 8):
+            held = moved[i : i + 8, j : j + 8]
+            if held.any():
+                held = held[held > 0]
+                wanted.append((1, i // 8, j // 8, held.size, held.min(), held.max(), held.sum()))
+    assert sorted(map(tuple, found.collect())) == wanted
+    found.explain()
+    assert capsys.readouterr().out.split("== Initial Plan ==")[0].count("Exchange hashpartitioning(res_order") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
+def test_contacts_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "TASK_ROWS", 500)
+    n = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+    for orders in ((1,), (1, 2, 3)):
+        contact = derived.derive(spark, SF_DIR, contact_orders=orders).contact
+        assert contact.rdd.getNumPartitions() == ranges.tasks(2 * n * len(orders)) > 20
