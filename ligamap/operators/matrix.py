@@ -149,7 +149,8 @@ def range_weights(a: Assembly, order: int, start: int, end: int, units: str = "p
 
 def block_directory(a: Assembly, order: int) -> DataFrame:
     """(row_stripe, col_stripe, nnz) of the blocks that hold anything."""
-    return a.contact.where(F.col("res_order") == order).groupBy("row_stripe", "col_stripe").agg(F.count("*").alias("nnz"))
+    counts = a.contact.where(F.col("res_order") == order).groupBy("res_order", "row_stripe", "col_stripe").agg(F.count("*").alias("nnz"))
+    return counts.drop("res_order")
 
 
 def mapped(sparse: DataFrame, value: Column) -> DataFrame:

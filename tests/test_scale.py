@@ -12,6 +12,7 @@ from test_engine import EDGE, make, permutation
 
 from ligamap.functions.signal import Options
 from ligamap.operators import matrix, ranges, tiles
+from ligamap.plans.queries import queries
 from ligamap.schema import SCHEMAS
 from ligamap.sources import arrays, derived
 
@@ -99,3 +100,5 @@ def test_contacts_are_dealt_by_their_number(spark, monkeypatch):
     for orders in ((1,), (1, 2, 3)):
         contact = derived.derive(spark, SF_DIR, contact_orders=orders).contact
         assert contact.rdd.getNumPartitions() == ranges.tasks(2 * n * len(orders)) > 20
+    # A block's cells meet in one task, so its directory needs no other exchange.
+    assert queries()["block_directory"](spark, SF_DIR).rdd.getNumPartitions() == ranges.tasks(2 * n)
