@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ligamap.operators.ranges import RANGE_ROWS, TASK_ROWS, range_of, splitters, tasks
+from ligamap.operators.ranges import MOST_RANGES, RANGE_ROWS, TASK_ROWS, range_of, running, splitters, tasks
 from ligamap.schema import Assembly, small
 from ligamap.sources.container import kept
 
@@ -41,9 +41,9 @@ def _lengths(contig: DataFrame, orders: DataFrame) -> DataFrame:
     return sized.withColumn("length_bins", bins).withColumn("shown", shown).withColumn("c0", F.coalesce(F.sum("length_bins").over(before), F.lit(0)))
 
 
-def _bins(part: DataFrame, contig: DataFrame, lengths: DataFrame, order: int) -> DataFrame:
-    """(b, bin, p_retailprice) at one order."""
-    at = lengths.where(F.col("res_order") == order).select("contig_id", "b0", "bp", "c0")
+def _bins(part: DataFrame, at: DataFrame, order: int) -> DataFrame:
+    """(b, bin, p_retailprice) at one order. ``at`` are the contigs' first bins."""
+    at = at.where(F.col("res_order") == order).drop("res_order")
     k = part.select(F.col("p_partkey").alias("b"), F.floor(F.sqrt("p_partkey")).cast("int").alias("contig_id"), "p_retailprice")
     return k.join(at, "contig_id").select("b", F.expr("c0 + ((b - b0) * 10) div bp").alias("bin"), "p_retailprice")
 
@@ -66,13 +66,13 @@ def atus(lengths: DataFrame, reversed_some: bool) -> DataFrame:
     )
 
 
-def contacts(lineitem: DataFrame, lengths: DataFrame, orders: list[int]) -> DataFrame:
-    """Pairs of lines of an order, by storage bin, summed once. A part's bin follows from its contig's place alone.
+def contacts(lineitem: DataFrame, at: DataFrame, orders: list[int]) -> DataFrame:
+    """Pairs of lines of an order, by storage bin, summed once. A part's bin follows from its contig's place (``at``) alone.
 
     Lines and then pairs are dealt to as many tasks as their number asks for; those of a block meet in one.
     """
     n = lineitem.count()
-    at = small(lengths.where(F.col("res_order").isin(orders)).select("res_order", "contig_id", "b0", "bp", "c0"))
+    at = at.where(F.col("res_order").isin(orders))
     line = lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("b")).repartition(tasks(n), "l_orderkey")
     other = line.select("l_orderkey", F.col("l_linenumber").alias("n2"), F.col("b").alias("b2"))
     pairs = line.join(other, "l_orderkey").where("l_linenumber < n2").select("b", "b2")
@@ -91,36 +91,51 @@ def contacts(lineitem: DataFrame, lengths: DataFrame, orders: list[int]) -> Data
     return dealt.groupBy(*dealt.columns).agg(F.count("*").alias("v"))
 
 
+def _even(sizes: DataFrame) -> list[int]:
+    """Splitters of the blocks' ``key`` by which a range holds TASK_ROWS cells, and at most a block's more; exact, from one running sum of ``length``."""
+    cells = sizes.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    to_a_range = max(TASK_ROWS, cells // MOST_RANGES + 1)
+    if cells <= to_a_range:
+        return []
+    upto = running(sizes.select("key", "length"), "key", {"upto": F.col("length")}, splitters(sizes, "key", RANGE_ROWS)[1])
+    firsts = upto.groupBy(F.expr(f"(upto - length) div {to_a_range}").alias("range")).agg(F.min("key").alias("key"))
+    return sorted(r["key"] for r in firsts.collect())[1:]
+
+
 def _cell_arrays(a: Assembly, orders: DataFrame, counts: DataFrame, dense_from: int) -> dict[str, DataFrame]:
     """The arrays of cells and the directory of blocks. ``counts`` (bp, n) are the stripes of each resolution.
 
-    Cells are dealt by ranges of blocks. A cell's index is its place in its range, after the cells of the ranges before it:
-    a row a range is windowed in one task. Contacts, and cells with their places, are written once; a range's cells lie in
-    the order of their index, so that a scan by index skips pages.
+    A block's cells are gathered to one row, of edge * edge cells at most, where they were summed, and written once. So what
+    is sampled, dealt and windowed is a row a block; cells are listed last. Blocks are dealt by ranges that hold equally many
+    cells. A block's place is its place in its range, after the ranges before it: a row a range is windowed in one task. A
+    range's cells lie in the order of their index, so that a scan by index skips pages.
     """
-    cell = kept(a.contact).join(F.broadcast(orders), "res_order").join(F.broadcast(counts), "bp").withColumn("block", F.col("row_stripe") * F.col("n") + F.col("col_stripe"))
-    cell = cell.select("res_order", "bp", "block", "r", "c", "v", (F.col("res_order") * F.lit(MOST_BLOCKS) + F.col("block")).alias("key"))
-    _, splits = splitters(cell, "key", RANGE_ROWS)
-    to_a_task = max(1, TASK_ROWS // RANGE_ROWS)
-    ranged = cell.withColumn("_range", range_of(F.col("key"), splits)).withColumn("_task", F.expr(f"cast(_range div {to_a_task} as int)"))
-    ranged = ranged.repartitionById(len(splits) // to_a_task + 1, "_task")
-    block = Window.partitionBy("_task", "_range", "res_order", "block")
-    sized = ranged.withColumns({"inside": F.row_number().over(block.orderBy("r", "c")), "length": F.count("*").over(block)}).withColumn("full", F.col("length") >= dense_from)
-    so_far = Window.partitionBy("_task", "_range", "res_order").orderBy("block", "r", "c").rowsBetween(Window.unboundedPreceding, 0)
-    counted = F.when(~F.col("full"), 1).otherwise(0), F.when(F.col("full") & (F.col("inside") == 1), 1).otherwise(0)
-    sums = {"sparse_at": F.sum(counted[0]).over(so_far) - 1, "dense_at": F.sum(counted[1]).over(so_far) - 1}
-    listed = kept(sized.withColumns(sums).select("res_order", "bp", "_range", "block", "inside", "length", "full", "r", "c", "v", *sums))
-    before = Window.partitionBy("res_order").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = listed.groupBy("res_order", "_range").agg(*(F.max(name).alias(name) for name in sums))
-    ends = ends.select("res_order", "_range", *(F.coalesce(F.sum(F.col(name) + 1).over(before), F.lit(0)).alias(f"{name}_before") for name in sums))
-    met = listed.join(F.broadcast(kept(ends)), ["res_order", "_range"])  # a row a range
-    sparse_at, dense_at = (F.col(name) + F.col(f"{name}_before") for name in sums)
-    grid = F.expr(f"transform(sequence(0, {a.edge - 1}), r -> transform(sequence(0, {a.edge - 1}), c -> coalesce(m[r * {a.edge} + c], 0L)))")
-    full = met.where("full").groupBy("bp", dense_at.alias("i")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("r") * a.edge + F.col("c"), "v"))).alias("m"))
+    listed = F.sort_array(F.collect_list(F.struct((F.col("r") * a.edge + F.col("c")).alias("at"), "v")))
+    block = a.contact.groupBy("res_order", "row_stripe", "col_stripe").agg(listed.alias("cells"))
+    block = block.join(F.broadcast(orders), "res_order").join(F.broadcast(counts), "bp").withColumn("block", F.col("row_stripe") * F.col("n") + F.col("col_stripe"))
+    held = kept(block.select("res_order", "bp", "block", (F.col("res_order") * F.lit(MOST_BLOCKS) + F.col("block")).alias("key"), F.size("cells").cast("bigint").alias("length"), "cells"))
+    held = held.withColumn("full", F.col("length") >= dense_from)
+    sizes = held.drop("cells")
+    splits = _even(sizes)
+    sums = {"sparse_at": F.when(~F.col("full"), F.col("length")).otherwise(0), "dense_at": F.when(F.col("full"), 1).otherwise(0)}
+    earlier = Window.partitionBy("res_order").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sizes.groupBy("res_order", range_of(F.col("key"), splits).alias("_range")).agg(*(F.sum(column).alias(name) for name, column in sums.items()))
+    before = kept(totals.select("res_order", "_range", *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}_before") for name in sums)))
+
+    def numbered(blocks: DataFrame) -> DataFrame:
+        ranged = blocks.withColumn("_range", range_of(F.col("key"), splits)).repartitionById(len(splits) + 1, "_range")
+        so_far = Window.partitionBy("_range", "res_order").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        summed = ranged.withColumns({name: F.coalesce(F.sum(column).over(so_far), F.lit(0)) for name, column in sums.items()})
+        met = summed.join(F.broadcast(before), ["res_order", "_range"])  # a row a range
+        return met.withColumns({name: F.col(name) + F.col(f"{name}_before") for name in sums})
+
+    # The map is an element of an array, so that it is made once a block and not once a cell.
+    grid = F.expr(f"transform(array(map_from_entries(cells)), m -> transform(sequence(0, {a.edge - 1}), r -> transform(sequence(0, {a.edge - 1}), c -> coalesce(m[r * {a.edge} + c], 0L))))[0]")
+    sparse = numbered(held.where("not full")).select("bp", "sparse_at", F.posexplode("cells").alias("pos", "cell"))
     return {
-        "blocks": met.where("inside = 1").select("bp", F.col("block").cast("bigint").alias("i"), "length", F.when(F.col("full"), -dense_at - 1).otherwise(sparse_at).alias("offset")),
-        "coo": met.where("not full").select("bp", sparse_at.alias("i"), "r", "c", "v"),
-        "dense_blocks": full.select("bp", "i", grid.alias("cells")),
+        "blocks": numbered(sizes).select("bp", F.col("block").cast("bigint").alias("i"), "length", F.when(F.col("full"), -F.col("dense_at") - 1).otherwise(F.col("sparse_at")).alias("offset")),
+        "coo": sparse.select("bp", (F.col("sparse_at") + F.col("pos")).alias("i"), *(F.expr(f"cast(cell.at {x} {a.edge} as int)").alias(n) for n, x in (("r", "div"), ("c", "%"))), F.col("cell.v").alias("v")),
+        "dense_blocks": numbered(held.where("full")).select("bp", F.col("dense_at").alias("i"), grid.alias("cells")),
     }
 
 
@@ -155,11 +170,13 @@ def derive(spark: SparkSession, sf_dir: str, reversed_some: bool = False, contac
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     contig = contigs(part)
     lengths = _lengths(contig, _orders(spark))
-    weights = None
+    at = small(lengths.where("res_order > 0").select("res_order", "contig_id", "b0", "bp", "c0"))
+    weights, n = None, tasks(part.count())
     for order in (1, 2, 3):
-        at = _bins(part, contig, lengths, order).groupBy("bin").agg(F.avg(F.col("p_retailprice") / 1000).alias("weight"))
-        at = at.select(F.lit(order).alias("res_order"), F.expr(f"cast(bin div {EDGE} as int)").alias("stripe_id"), F.expr(f"cast(bin % {EDGE} as int)").alias("off"), "weight")
-        weights = at if weights is None else weights.unionByName(at)
+        # Dealt by number, for compressed bytes say little of a task's memory.
+        weight = _bins(part, at, order).repartition(n, "bin").groupBy("bin").agg(F.avg(F.col("p_retailprice") / 1000).alias("weight"))
+        weight = weight.select(F.lit(order).alias("res_order"), F.expr(f"cast(bin div {EDGE} as int)").alias("stripe_id"), F.expr(f"cast(bin % {EDGE} as int)").alias("off"), "weight")
+        weights = weight if weights is None else weights.unionByName(weight)
     by_rank = Window.orderBy((F.col("contig_id") * 7) % 11, "contig_id")  # layout-sized
     layout = contig.select(F.row_number().over(by_rank).alias("ord"), "contig_id", F.when(F.col("contig_id") % 3 == 0, 0).otherwise(1).alias("dir"))
     ends = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
@@ -172,7 +189,7 @@ def derive(spark: SparkSession, sf_dir: str, reversed_some: bool = False, contac
         contig_res=lengths.select("res_order", "contig_id", "length_bins", "shown"),
         contig_atu=atus(lengths, reversed_some),
         stripe_weight=weights,
-        contact=contacts(lineitem, lengths, list(contact_orders)),
+        contact=contacts(lineitem, at, list(contact_orders)),
         layout=layout,
         scaffold=scaffold,
         edge=EDGE,

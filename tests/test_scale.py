@@ -60,6 +60,20 @@ def test_arrays_of_many_ranges_are_without_gaps(spark, monkeypatch, tmp_path, de
     assert sorted(map(tuple, arrays.assemble(read).contact.select(*NAMES).collect())) == sorted(map(tuple, a.contact.select(*NAMES).collect()))
 
 
+def test_blocks_and_not_cells_are_dealt_and_numbered(spark, monkeypatch, capsys):
+    monkeypatch.setattr(derived, "RANGE_ROWS", 20)
+    monkeypatch.setattr(derived, "TASK_ROWS", 120)
+    a, _ = make(spark, [400, 305, 500])
+    tables = derived.as_arrays(a, EDGE * EDGE + 1)  # no block is dense
+    tables["coo"].explain()
+    plan = capsys.readouterr().out
+    assert 0 <= plan.find("Generate posexplode") < plan.find("Window") < plan.find("Exchange")  # cells are listed after the window over blocks
+    in_a_task = [len(rows) for rows in tables["coo"].rdd.glom().collect()]
+    largest = tables["blocks"].agg(F.max("length")).first()[0]
+    cells = a.contact.count()
+    assert sum(in_a_task) == cells and len(in_a_task) <= cells // 120 + 1 and max(in_a_task) < 120 + largest
+
+
 def test_tiles_are_drawn_in_passes_over_sorted_batches(spark, capsys):
     a, _ = make(spark, [100, 60, 90], [1, 0, 1], [2, 0, 1])
     whole = sorted(map(tuple, tiles.encoded(a, 1, Options(), 8).collect()))
@@ -102,3 +116,10 @@ def test_contacts_are_dealt_by_their_number(spark, monkeypatch):
         assert contact.rdd.getNumPartitions() == ranges.tasks(2 * n * len(orders)) > 20
     # A block's cells meet in one task, so its directory needs no other exchange.
     assert queries()["block_directory"](spark, SF_DIR).rdd.getNumPartitions() == ranges.tasks(2 * n)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
+def test_weights_are_dealt_by_the_number_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "TASK_ROWS", 20)
+    n = spark.read.parquet(f"{SF_DIR}/part.parquet").count()
+    assert derived.derive(spark, SF_DIR).stripe_weight.rdd.getNumPartitions() == 3 * ranges.tasks(n) > 20
