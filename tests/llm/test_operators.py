@@ -745,6 +745,43 @@ def test_block_max_search_is_exact(monkeypatch):
             assert cosines == pytest.approx(np.sort(np.delete(dense @ dense[i], i))[::-1][:16]) and i not in index.docs[found]
 
 
+def test_texts_are_searched_for_together(monkeypatch):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abé", k=rng.randint(1, 9))) for _ in range(120)]
+    terms = sorted({t for w in vocabulary for t in toxicity.terms_of(w)})[::2]
+    idf = np.array([1 + rng.random() for _ in terms])
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 90))) for _ in range(300)]
+
+    def plain(text):
+        found = Counter(t for w in toxicity.WORDS.findall(text.lower()) for t in toxicity.terms_of(w) if t in terms)
+        return sorted((terms.index(t), n) for t, n in found.items())
+
+    # Terms of words, beginnings included, in Latin-1 and beyond.
+    odd = ["", "²a3bÄ_c ªº " + vocabulary[3].upper(), "œuvre’s " + vocabulary[4] + "\u0301" + vocabulary[5], "İ" + vocabulary[6]]
+    vectors = toxicity.Vectors(terms, idf)
+    place, number, n = vectors.counts(texts + odd)
+    for i, text in enumerate(texts + odd):
+        assert toxicity.words_of(text) == toxicity.WORDS.findall(text.lower())
+        assert list(zip(number[place == i].tolist(), n[place == i].tolist(), strict=True)) == plain(text)
+
+    held = toxicity.unit_weights(idf, place, number, n)
+    rows = [(i, i % 2, number[place == i], held[place == i]) for i in range(300) if (place == i).any()]
+    monkeypatch.setattr(toxicity, "BLOCK", 16)  # 19 blocks, so that some are passed over
+    index = toxicity.BlockMaxIndex(rows, len(terms))
+    scorer = toxicity.Scorer(terms, idf, 0.3, np.ones(2), vars(index))
+    # A text's score and evidence don't depend on those that are searched for with it; of copies one is, however long.
+    asked, products = [*texts[:150], *odd, None, *texts[:150]], []
+    monkeypatch.setattr(index.__class__, "nearest_of", (lambda own: lambda self, n, *a: products.append(n) or own(self, n, *a))(index.nearest_of.__func__))
+    scores, evidence = scorer.score(asked)
+    assert len(products) == -(-len(set(asked)) // toxicity.TOGETHER) and sum(products) == len(set(asked))
+    for i, text in enumerate(asked):
+        alone = scorer.score([text])
+        assert (alone[0][0].as_py(), alone[1][0].as_py()) == (scores[i].as_py(), evidence[i].as_py())
+        if text in texts:
+            near = max(evidence[i].as_py(), key=lambda e: e["cosine"], default=None)
+            assert near is None or near["cosine"] == 1 and texts[near["doc_id"]] == text or plain(texts[near["doc_id"]]) == plain(text)
+
+
 def base_by_hand(text):
     text = text or ""
     w = WORD.findall(text)
