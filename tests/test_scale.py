@@ -89,6 +89,24 @@ def test_tiles_are_drawn_in_passes_over_sorted_batches(spark, capsys):
     assert tiles.encoded(a.with_(contact=a.contact.limit(0)), 1, Options(), 8).count() == 0
 
 
+@pytest.mark.parametrize("weights", [False, True])
+def test_a_row_a_tile_is_moved_to_be_drawn(spark, monkeypatch, capsys, weights):
+    a, _ = make(spark, [100, 60, 90], [1, 0, 1], [2, 0, 1])
+    a = a.with_(contact=a.contact.coalesce(1))
+    options, frame, moved = Options(weights=weights), type(a.contact), []
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *by: moved.append(self) or repartition(self, *by))
+    found = tiles.encoded(a, 1, options, 8)
+    tile = {tuple(r[:2]): r["raster_sha256"] for r in found.drop("png").collect()}
+    # Without weights a tile across the diagonal is its mirror, which isn't moved.
+    assert moved[-1].count() == (len(tile) if weights else sum(r <= c for r, c in tile)) < a.contact.count() / 4
+    found.explain()
+    assert ("Generate explode(CASE" in capsys.readouterr().out) == weights
+    for asked in ([(3, 1)], [(1, 3)], [(2, 2)], [(3, 1), (1, 3), (0, 2), (3, 3), (3, 3)]):
+        got = tiles.encoded(a, 1, options, 8, spark.createDataFrame(asked, "tile_row int, tile_col int")).collect()
+        assert {tuple(r[:2]): r["raster_sha256"] for r in got} == {x: tile[x] for x in asked} and len(got) == len(set(asked))
+
+
 def test_tile_sums_need_one_exchange(spark, capsys):
     lengths, dirs, order = [400, 305, 500], [1, 0, 1], [2, 0, 1]
     a, full = make(spark, lengths, dirs, order)
